@@ -90,6 +90,13 @@ def updates(spark, sf_dir) -> DataFrame:
     return steps.update_steps(steps_of(spark, sf_dir), total_steps=TOTAL_STEPS)
 
 
+def stored_shards(spark, sf_dir) -> DataFrame:
+    """The budgeted data set as a table, for queries that read shard sizes several times."""
+    path = scratch(spark, "table")
+    shards.write_shards(budgeted(spark, sf_dir), path, "parquet")
+    return shards.read_shards(spark, path, format="parquet")
+
+
 def with_digests(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, digest("inputs").alias("inputs_sha"), digest("targets").alias("targets_sha"))
 
@@ -107,8 +114,8 @@ def run_log(spark, sf_dir) -> DataFrame:
         F.lit(1).cast("bigint").alias("one"),
     )
     # A user may own a third of all events: number them over key ranges, not over whole users.
-    blocked = range_blocks(rows, ["run_id", "ts", "event_id"]).withColumn("block", F.coalesce("block", F.lit(0)))
-    numbered = running_sums(blocked, ["run_id"], "block", ["ts", "event_id"], {"before": "one"}, None)
+    blocked = range_blocks(rows, ["run_id", "ts", "event_id"])
+    numbered = running_sums(blocked, ["run_id"], "block", ["ts", "event_id"], {"before": "one"})
     step = (F.col("before") + 1).alias("step")
     log = numbered.select("run_id", step, "event_type", "value")
     return log.select(
@@ -184,9 +191,7 @@ def q_shard_write_roundtrip(spark, sf_dir):
 
 
 def q_shard_table_roundtrip(spark, sf_dir):
-    path = scratch(spark, "table")
-    shards.write_shards(budgeted(spark, sf_dir), path, "parquet")
-    read = shards.read_shards(spark, path, format="parquet")
+    read = stored_shards(spark, sf_dir)
     return read.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
 
 
@@ -230,7 +235,7 @@ def q_epoch_plan(spark, sf_dir):
 
 
 def q_epoch_plan_numpy(spark, sf_dir):
-    return epochs.epoch_plan(layout(spark, sf_dir), BATCH, LENGTH, SEED, EPOCHS, mode="numpy")
+    return epochs.epoch_plan(stored_shards(spark, sf_dir), BATCH, LENGTH, SEED, EPOCHS, mode="numpy")
 
 
 def q_batch_ordinals(spark, sf_dir):
@@ -277,22 +282,24 @@ def q_schedule_alignment(spark, sf_dir):
 
 
 def q_resume_batches(spark, sf_dir):
-    own = layout(spark, sf_dir)
-    saved = state.loader_state(own, "train", BATCH, LENGTH, DRAWN, SEED)
-    order, following = state.resume_from(own, saved, "train", BATCH, LENGTH, epochs=1)
-    rows = windows.batches(budgeted(spark, sf_dir), order, BATCH, LENGTH, first=following)
+    stored = stored_shards(spark, sf_dir)
+    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
+    order, following = state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=1)
+    rows = windows.batches(stored, order, BATCH, LENGTH, first=following)
     return with_digests(rows, "split", "epoch", "ordinal", "row")
 
 
 def q_resume_equivalence(spark, sf_dir):
-    own, packed = layout(spark, sf_dir), budgeted(spark, sf_dir)
-    saved = state.loader_state(own, "train", BATCH, LENGTH, DRAWN, SEED)
-    order, following = state.resume_from(own, saved, "train", BATCH, LENGTH, epochs=1)
-    train = plan(spark, sf_dir, 1).filter("split = 'train'")
-    whole = windows.batches(packed, train, BATCH, LENGTH)
-    prefix = windows.batches(packed, train, BATCH, LENGTH, end=DRAWN)
-    resumed = prefix.unionAll(windows.batches(packed, order, BATCH, LENGTH, first=following))
-    differing = checks.difference(whole, resumed).agg(F.count("*").alias("differing_rows"))
+    stored = stored_shards(spark, sf_dir)
+    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
+    order, following = state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=1)
+    train = epochs.epoch_plan(stored, BATCH, LENGTH, SEED).filter("split = 'train'")
+
+    def draw(of: DataFrame, **limits: int) -> DataFrame:
+        return with_digests(windows.batches(stored, of, BATCH, LENGTH, **limits), "epoch", "ordinal", "row")
+
+    resumed = draw(train, end=DRAWN).unionAll(draw(order, first=following))
+    differing = checks.difference(draw(train), resumed).agg(F.count("*").alias("differing_rows"))
     rows = epochs.batch_ordinals(train, BATCH, LENGTH).agg((F.count("*") * BATCH).alias("rows"))
     return _one_row(rows, differing)
 
@@ -368,7 +375,7 @@ def q_stream_pack(spark, sf_dir):
 def q_stream_batches(spark, sf_dir):
     """One epoch and a bit drawn as a stream, stopped and restarted in the middle."""
     path, root = written_shards(spark, sf_dir), scratch(spark, "draw")
-    per_epoch = state.require_batches(layout(spark, sf_dir), "train", BATCH, LENGTH)
+    _, _, per_epoch = state.require_batches(layout(spark, sf_dir), "train", BATCH, LENGTH)
     for until in (per_epoch // 2, per_epoch + per_epoch // 4):
         stream = batch_streams.batch_stream(spark, path, "train", BATCH, LENGTH, SEED, untilordinal=until)
         batch_streams.draw_to_table(stream, f"{root}/table", f"{root}/checkpoint")

@@ -29,10 +29,12 @@ def split_leakage(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of one side without their equal on the other, duplicates counted; empty if both are equal."""
-    only_left = left.exceptAll(right).withColumn("side", F.lit("left"))
-    only_right = right.select(*left.columns).exceptAll(left).withColumn("side", F.lit("right"))
-    return only_left.unionAll(only_right)
+    """Rows that do not occur equally often on both sides, with ``surplus``: how much more often on the left.
+
+    Empty if both are equal. One shuffle, in which equal rows have been merged.
+    """
+    signed = left.withColumn("_sign", F.lit(1)).unionAll(right.select(*left.columns).withColumn("_sign", F.lit(-1)))
+    return signed.groupBy(*left.columns).agg(F.sum("_sign").alias("surplus")).filter(F.col("surplus") != 0)
 
 
 def shard_validity(headers: DataFrame) -> DataFrame:

@@ -23,43 +23,62 @@ PAYLOAD_BLOCK_BITS = 10
 SUPER_BITS = 20
 
 
-def key_block(key: Column, bits: int = BLOCK_BITS) -> Column:
-    """Block of an integer key. Keys are unique, so a block holds at most ``2**bits`` rows of a group."""
+def key_block(key: Column, bits: int = BLOCK_BITS, levels: int = 1) -> Column:
+    """Block of an integer key. Keys are unique, so a block holds at most ``2**bits`` rows of a group.
+
+    ``levels`` is how many levels of :func:`block_bases` follow; each takes 20 bits of the key. A key
+    with more bits is an error rather than a window over too many blocks.
+    """
     key = required(key.cast("bigint"), "order key is null", 0)
-    limit = 1 << (bits + 2 * SUPER_BITS)
-    message = F.concat(F.lit(f"order key outside +-2**{limit.bit_length() - 1}: "), key.cast("string"))
+    limit = 1 << (bits + levels * SUPER_BITS)
+    message = F.concat(F.lit(f"order key outside +-2**{limit.bit_length() - 1}, use more levels: "), key.cast("string"))
     bad = (key >= limit) | (key < -limit)
     return required(F.when(~bad, F.shiftright(key, bits)), message, 0)
 
 
-def range_blocks(rows: DataFrame, keys: Sequence[str], block: str = "block") -> DataFrame:
+def range_blocks(rows: DataFrame, keys: Sequence[str], block: str = "block", partitions: int | None = None) -> DataFrame:
     """Blocks for keys of any type: range-partition by them and number the partitions.
 
     The key as a whole must be (nearly) unique; then a hot leading column is spread over many
     partitions. Range bounds are sampled, so the numbering is stored before use: computed again
-    after a lost executor it might differ.
+    after a lost executor it might differ. Without ``partitions`` Spark sizes them by bytes.
     """
     shared_folder(rows.sparkSession)
-    return rows.repartitionByRange(*keys).withColumn(block, F.spark_partition_id().cast("bigint")).checkpoint()
+    ranged = rows.repartitionByRange(*keys) if partitions is None else rows.repartitionByRange(partitions, *keys)
+    return ranged.withColumn(block, F.coalesce(F.spark_partition_id().cast("bigint"), F.lit(0))).checkpoint()
 
 
 def block_bases(
-    totals: DataFrame, group: Sequence[str], block: str, sums: Sequence[str], bits: int | None = SUPER_BITS
+    totals: DataFrame, group: Sequence[str], block: str, sums: Sequence[str], levels: int = 1
 ) -> DataFrame:
-    """Exclusive running sums over block totals (one row per group and block), as ``<name>_base``."""
+    """Per group and block, from block totals: the sum over earlier blocks as ``<name>_base`` and over
+    all blocks as ``<name>_all``.
+
+    One level windows over all blocks of a group, which :func:`key_block` keeps below ``2**21``. With
+    more levels blocks are cut into superblocks first.
+    """
     zero = F.lit(0).cast("bigint")
-    if bits is None:
-        before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-        return totals.select(*group, block, *(F.coalesce(F.sum(c).over(before), zero).alias(f"{c}_base") for c in sums))
-    upper = totals.withColumn("_super", F.shiftright(block, bits))
+
+    def earlier(*keys: str) -> dict[str, Column]:
+        before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+        return {c: F.coalesce(F.sum(c).over(before), zero) for c in sums}
+
+    if levels == 1:
+        whole = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return totals.select(
+            *group, block,
+            *(total.alias(f"{c}_base") for c, total in earlier(*group).items()),
+            *(F.sum(c).over(whole).alias(f"{c}_all") for c in sums),
+        )
+    upper = totals.withColumn("_super", F.shiftright(block, SUPER_BITS))
     tops = upper.groupBy(*group, "_super").agg(*(F.sum(c).alias(c) for c in sums))
-    tops = block_bases(tops, group, "_super", sums, None).withColumnsRenamed({f"{c}_base": f"_{c}_top" for c in sums})
-    before = Window.partitionBy(*group, "_super").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    inner = upper.select(
-        *group, "_super", block, *(F.coalesce(F.sum(c).over(before), zero).alias(f"_{c}_in") for c in sums)
-    )
+    tops = block_bases(tops, group, "_super", sums, levels - 1).withColumnsRenamed({f"{c}_base": f"_{c}_top" for c in sums})
+    inside = earlier(*group, "_super").items()
+    inner = upper.select(*group, "_super", block, *(total.alias(f"_{c}_in") for c, total in inside))
     return inner.join(tops, [*group, "_super"]).select(
-        *group, block, *((F.col(f"_{c}_top") + F.col(f"_{c}_in")).alias(f"{c}_base") for c in sums)
+        *group, block,
+        *((F.col(f"_{c}_top") + F.col(f"_{c}_in")).alias(f"{c}_base") for c in sums),
+        *(f"{c}_all" for c in sums),
     )
 
 
@@ -69,9 +88,11 @@ def running_sums(
     block: str,
     order: Sequence[str],
     sums: dict[str, str],
-    bits: int | None = SUPER_BITS,
+    levels: int = 1,
+    whole: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add, for each ``out: column`` in ``sums``, the sum of ``column`` over all earlier rows of the group.
+    """Add, for each ``out: column`` in ``sums``, the sum of ``column`` over all earlier rows of the group,
+    and for each in ``whole`` (columns of ``sums`` only) the sum over the whole group.
 
     Both passes read one exchange, so the input is computed once. Two things let Spark see that they
     can share it: the totals refer to every column, or pruning would narrow one copy (so keep ``rows``
@@ -83,33 +104,29 @@ def running_sums(
     totals = rows.groupBy(*group, block).agg(
         *(F.sum(c).alias(c) for c in columns), F.bit_xor(F.xxhash64(*rows.columns)).alias("_all")
     ).filter("_all IS NOT NULL")
-    bases = block_bases(totals.drop("_all"), group, block, columns, bits)
-    return within_blocks(rows.join(bases, [*group, block]), group, block, order, sums)
+    bases = block_bases(totals.drop("_all"), group, block, columns, levels)
+    return within_blocks(rows.join(bases, [*group, block]), group, block, order, sums, whole)
 
 
 def within_blocks(
-    based: DataFrame, group: Sequence[str], block: str, order: Sequence[str], sums: dict[str, str]
+    based: DataFrame,
+    group: Sequence[str],
+    block: str,
+    order: Sequence[str],
+    sums: dict[str, str],
+    whole: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Second half of :func:`running_sums` for rows that already carry their block's ``<column>_base``."""
+    """Second half of :func:`running_sums`, for rows joined with the bases of their block."""
     inside = Window.partitionBy(*group, block).orderBy(*order)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    columns = list(dict.fromkeys(sums.values()))
-    kept = [c for c in based.columns if c not in {f"{c}_base" for c in columns}]
+    columns = set(sums.values())
+    kept = [c for c in based.columns if c not in {f"{c}{end}" for c in columns for end in ("_base", "_all")}]
+    added = {out: F.col(f"{c}_base") + F.coalesce(F.sum(c).over(before), F.lit(0)) for out, c in sums.items()}
     key = F.struct(*order)
     twice = F.lag(key).over(inside).eqNullSafe(key) & (F.row_number().over(inside) > 1)
-    staged = based.select(
-        *kept,
-        twice.alias("_twice"),
-        *(
-            (F.col(f"{c}_base") + F.coalesce(F.sum(c).over(before), F.lit(0))).cast("bigint").alias(out)
-            for out, c in sums.items()
-        ),
-    )
     message = F.concat(F.lit("duplicate order key "), F.to_json(key))
-    return staged.select(
+    return based.select(
         *kept,
-        *(
-            F.when(F.col("_twice"), F.raise_error(message).cast("bigint")).otherwise(F.col(out)).alias(out)
-            for out in sums
-        ),
+        *(F.when(~twice, total).otherwise(F.raise_error(message)).cast("bigint").alias(out) for out, total in added.items()),
+        *(F.col(f"{c}_all").alias(out) for out, c in (whole or {}).items()),
     )

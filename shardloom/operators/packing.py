@@ -20,10 +20,10 @@ def place_payload(
     reads narrow columns only, and blocks wholly past the budget are dropped by the join with them:
     before that shuffle if Spark broadcasts the totals.
     """
-    block = key_block(F.col(order_key), PAYLOAD_BLOCK_BITS).alias("block")
+    block = key_block(F.col(order_key), PAYLOAD_BLOCK_BITS, levels=2).alias("block")
     rows = rows.select(order_key, "split", "n_tokens", payload, block)
     totals = rows.groupBy("split", "block").agg(F.sum("n_tokens").alias("n_tokens"))
-    bases = block_bases(totals, ["split"], "block", ["n_tokens"])
+    bases = block_bases(totals, ["split"], "block", ["n_tokens"], levels=2)
     if targets is not None:
         bases = bases.filter(F.col("n_tokens_base") < target_of(F.col("split"), targets))
     based = rows.join(bases, ["split", "block"])

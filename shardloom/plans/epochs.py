@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.checks import required
 from shardloom.functions.names import shard_name
 from shardloom.operators.ordered import running_sums
 from shardloom.operators.windows import batch_count
@@ -75,21 +76,22 @@ def bounded_names(shards: DataFrame, split: str) -> list[str]:
     return [f"dataset_{split}_{i:06d}.bin" for i in sorted(r.shard_index for r in rows)]
 
 
-def numbered(ordered: DataFrame, shards: DataFrame, batch_size: int, sequence_length: int) -> DataFrame:
+def numbered(ordered: DataFrame, batch_size: int, sequence_length: int) -> DataFrame:
     """Position in the epoch and ordinal of the first batch, for shards that carry ``_block`` and ``_key``."""
-    count = batch_count(F.col("token_count"), batch_size, sequence_length)
     rows = ordered.select(
-        F.coalesce("split", F.lit("")).alias("split"), F.coalesce("epoch", F.lit(0)).alias("epoch"),
-        "shard_index", "shard_name", "token_count", "_block", "_key", count.alias("n_batches"),
-    ).withColumn("_one", F.lit(1).cast("bigint"))
-    summed = running_sums(
-        rows, ["split", "epoch"], "_block", ["_key", "shard_index"], {"position": "_one", "_before": "n_batches"}, None
+        required(F.col("split"), "split is null", "").alias("split"),
+        required(F.col("epoch").cast("bigint"), "epoch is null", 0).alias("epoch"),
+        "shard_index", "shard_name", "token_count", "_block", "_key",
+        batch_count(F.col("token_count"), batch_size, sequence_length).alias("n_batches"),
+        F.lit(1).cast("bigint").alias("_one"),
     )
-    # Every epoch holds the same number of batches. One row per split: at most two.
-    per_epoch = shards.groupBy("split").agg(F.sum(count).alias("_per_epoch"))
-    plan = summed.join(F.broadcast(per_epoch), "split")
-    first = F.col("epoch") * F.col("_per_epoch") + F.col("_before")
-    return plan.withColumn("first_ordinal", first).select(*PLAN_COLUMNS)
+    plan = running_sums(
+        rows, ["split", "epoch"], "_block", ["_key", "shard_index"],
+        {"position": "_one", "first_ordinal": "n_batches"}, whole={"_per_epoch": "n_batches"},
+    )
+    # Every epoch holds the same number of batches.
+    first = F.col("epoch") * F.col("_per_epoch") + F.col("first_ordinal")
+    return plan.withColumns({"first_ordinal": first, "epoch": F.col("epoch").cast("int")}).select(*PLAN_COLUMNS)
 
 
 def epoch_plan(
@@ -112,7 +114,7 @@ def epoch_plan(
     if epochs < 1 or first_epoch < 0:
         raise ValueError("need at least one epoch and a first epoch of 0 or more")
     if mode == "hash":
-        return numbered(hash_order(shards, seed, first_epoch, end), shards, batch_size, sequence_length)
+        return numbered(hash_order(shards, seed, first_epoch, end), batch_size, sequence_length)
     if mode != "numpy":
         raise ValueError("mode must be 'hash' or 'numpy'")
     names = bounded_names(shards, "train")
@@ -121,7 +123,7 @@ def epoch_plan(
     train = train.filter(F.col("epoch") >= first_epoch).select(*train.columns)
     val = hash_order(shards.filter("split = 'val'"), seed, first_epoch, end)
     val = val.withColumn("_key", F.lit(0).cast("bigint"))
-    return numbered(train.unionByName(val), shards, batch_size, sequence_length)
+    return numbered(train.unionByName(val), batch_size, sequence_length)
 
 
 def batch_ordinals(plan: DataFrame, batch_size: int, sequence_length: int) -> DataFrame:

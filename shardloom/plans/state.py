@@ -13,9 +13,7 @@ from shardloom.functions.names import shard_name
 from shardloom.functions.splits import check_split
 from shardloom.operators.checks import missing_shards
 from shardloom.operators.windows import batch_count, check_shape
-from shardloom.plans.epochs import (
-    NUMPY_LIMIT, bounded_names, epoch_plan, listed_order, numbered, numpy_orders,
-)
+from shardloom.plans.epochs import NUMPY_LIMIT, epoch_plan, listed_order, numbered, numpy_orders
 
 
 @dataclass(frozen=True)
@@ -62,14 +60,14 @@ def shard_set(shards: DataFrame, split: str, batch_size: int, sequence_length: i
     return row.n, row.digest or 0, row.batches or 0
 
 
-def require_batches(shards: DataFrame, split: str, batch_size: int, sequence_length: int) -> int:
-    """Batches per epoch; an error if the split has no shard, or none that holds a batch."""
-    count, _, per_epoch = shard_set(shards, split, batch_size, sequence_length)
+def require_batches(shards: DataFrame, split: str, batch_size: int, sequence_length: int) -> tuple[int, int, int]:
+    """:func:`shard_set`, or an error if the split has no shard, or none that holds a batch."""
+    count, digest, per_epoch = shard_set(shards, split, batch_size, sequence_length)
     if not count:
         raise ValueError(f"No shards found for split {split}")
     if not per_epoch:
         raise ValueError(f"No shard contains enough tokens for a batch of size {batch_size * sequence_length + 1}")
-    return per_epoch
+    return count, digest, per_epoch
 
 
 def loader_state(
@@ -81,28 +79,28 @@ def loader_state(
     if drawn < 0:
         raise ValueError("drawn must be 0 or more")
     shards = shards.filter(F.col("split") == split).select("split", "shard_index", "token_count")
-    per_epoch = require_batches(shards, split, batch_size, sequence_length)
-    count, digest, _ = shard_set(shards, split, batch_size, sequence_length)
+    count, digest, per_epoch = require_batches(shards, split, batch_size, sequence_length)
     last = max(drawn - 1, 0)
-    epoch, shard, position = last // per_epoch, 0, 0
+    epoch = last // per_epoch
     plan = epoch_plan(shards, batch_size, sequence_length, seed, 1, epoch, mode)
-    if drawn:
-        at = plan.filter((F.col("first_ordinal") <= last) & (F.col("first_ordinal") + F.col("n_batches") > last)).first()
-        shard, position = at.position, (last - at.first_ordinal + 1) * step
+    here = (F.col("first_ordinal") <= last) & (F.col("first_ordinal") + F.col("n_batches") > last)
+    rows = plan.select("position", "shard_name", "first_ordinal", here.alias("here"))
+    names = None
+    if count <= NUMPY_LIMIT:
+        listed = sorted(rows.collect())
+        names, at = tuple(r.shard_name for r in listed), next(r for r in listed if r.here)
+    else:
+        at = rows.filter("here").first()
+    shard, position = (at.position, (last - at.first_ordinal + 1) * step) if drawn else (0, 0)
+    rng_state = json.dumps({"mode": "hash", "seed": seed})
     if mode == "numpy":
         rng = np.random.default_rng(seed)
-        names = bounded_names(shards, split)
         if split == "train":
-            names = numpy_orders(names, rng, epoch + 1, shuffled=False)[-1]
+            numpy_orders(sorted(names), rng, epoch + 1, shuffled=False)
         rng_state = json.dumps(rng.bit_generator.state)
-    else:
-        rng_state = json.dumps({"mode": "hash", "seed": seed})
-        names = None
-        if count <= NUMPY_LIMIT:
-            names = [r.shard_name for r in sorted(plan.select("position", "shard_name").collect())]
     return LoaderState(
         split, batch_size, sequence_length, int(epoch), int(shard), int(position), rng_state,
-        None if names is None else tuple(names), count, digest,
+        names, count, digest,
     )
 
 
@@ -139,7 +137,7 @@ def resume_plan(shards: DataFrame, state: LoaderState, epochs: int = 1) -> DataF
     rng.bit_generator.state = json.loads(state.rng_state)
     orders = numpy_orders(list(state.shard_names), rng, epochs, shuffled=True)
     listed = listed_order(own, state.split, {state.epoch + i: order for i, order in enumerate(orders)})
-    return numbered(listed, own, size, length)
+    return numbered(listed, size, length)
 
 
 def resume_from(
