@@ -26,8 +26,15 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
         .options(mode="FAILFAST", recursiveFileLookup="true", pathGlobFilter="*.json*")
         .json(path)
     )
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1)
-    return lines.select(F.url_decode(F.regexp_replace(folder, "^run_id=", "")).alias("run_id"), *RECORD_COLUMNS)
+    # The path is an encoded URI; in it, Spark's own partition folders are encoded once more.
+    folder = _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
+    value = _decoded(F.regexp_replace(folder, "^run_id=", ""))
+    return lines.select(F.when(folder.startswith("run_id="), value).otherwise(folder).alias("run_id"), *RECORD_COLUMNS)
+
+
+def _decoded(text):
+    """Percent-decoded text. ``url_decode`` reads forms, where a plus is a space; in paths it is a plus."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def append_metrics(records: DataFrame, path: str) -> None:
