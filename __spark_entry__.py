@@ -153,6 +153,12 @@ def q_tokenize(spark, sf_dir):
     return tokens.select("doc_id", "n_tokens", F.element_at("tokens", -1).alias("last_token"), digest("tokens").alias("tokens_sha"))
 
 
+def q_tokenize_native(spark, sf_dir):
+    """The same by built-in expressions."""
+    tokens = tokenize(documents(spark, sf_dir), ByteTokenizer(engine="native"))
+    return tokens.select("doc_id", "n_tokens", F.element_at("tokens", -1).alias("last_token"), digest("tokens").alias("tokens_sha"))
+
+
 def q_bpe_tokenize(spark, sf_dir):
     """Byte-pair encoding with the 256 single bytes as its only ranks must give the byte ids."""
     bpe = BpeTokenizer(spark, {bytes([i]): i for i in range(256)}, name="bytes-as-bpe")
@@ -510,6 +516,7 @@ def oracle_sql() -> dict[str, str]:
         "split_filter": f"WITH {DOCS} SELECT d.doc_id, o.lang, d.split FROM docs d JOIN documents o ON o.doc_id = d.doc_id "
                         "WHERE d.split = 'val'",
         "tokenize": TOKENIZED,
+        "tokenize_native": TOKENIZED,
         "bpe_tokenize": TOKENIZED,
         "token_counts": "SELECT doc_id, (strlen(text) + 1)::BIGINT AS n_tokens FROM documents",
         "token_offsets": f"WITH {OFFSETS} SELECT * FROM offs",

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.splits import assign_split, check_split
-from shardloom.functions.tokenizers import check_token_ids
+from shardloom.functions.tokenizers import tokens_of
 from shardloom.operators.ordered import key_block, running_sums
 
 
@@ -14,9 +14,8 @@ from shardloom.operators.ordered import key_block, running_sums
 def tokenize(documents: DataFrame, tokenizer, text: str = "text") -> DataFrame:
     """Replace the text by ``tokens`` and their number. Ids that do not fit two bytes raise."""
     rest = [c for c in documents.columns if c != text]
-    tokens = documents.select(*rest, tokenizer.tokens(F.col(text)).alias("tokens"))
-    checked = tokens.select(*rest, check_token_ids(F.col("tokens")).alias("tokens"))
-    return checked.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    tokens = documents.select(*rest, tokens_of(tokenizer, F.col(text)).alias("tokens"))
+    return tokens.withColumn("n_tokens", F.size("tokens").cast("bigint"))
 
 
 def count_tokens(documents: DataFrame, tokenizer, text: str = "text") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.splits import assign_split
-from shardloom.functions.tokenizers import check_token_ids
+from shardloom.functions.tokenizers import tokens_of
 from shardloom.operators.offsets import count_tokens, target_of
 from shardloom.operators.ordered import PAYLOAD_BLOCK_BITS, block_bases, key_block, within_blocks
 
@@ -36,26 +36,25 @@ def place_payload(
 def pieces(placed: DataFrame, shard_size: int, tokens: str = "tokens") -> DataFrame:
     """One row per document and shard it reaches into: ``split, shard_index, lo, piece``.
 
-    All pieces of a document are cut in one array before exploding, so a document that spans many
-    shards is not copied once per shard.
+    Exploding and slicing compile into one loop, which copies a document's tokens once in all,
+    however many shards it spans.
     """
     if shard_size < 1:
         raise ValueError("shard_size must be at least 1")
-    size = F.lit(shard_size).cast("bigint")
-    last = F.expr(f"CAST((start + n_tokens - 1) DIV {shard_size} AS BIGINT)")
     first = F.expr(f"CAST(start DIV {shard_size} AS BIGINT)")
-
-    def cut(shard: Column) -> Column:
-        begin = F.greatest(shard * size, F.col("start"))
-        end = F.least((shard + 1) * size, F.col("start") + F.col("n_tokens"))
-        piece = F.slice(tokens, (begin - F.col("start") + 1).cast("int"), (end - begin).cast("int"))
-        return F.struct(
-            shard.cast("int").alias("shard_index"), (begin - shard * size).cast("int").alias("lo"), piece.alias("piece")
-        )
-
+    last = F.expr(f"CAST((start + n_tokens - 1) DIV {shard_size} AS BIGINT)")
     # An empty document has no pieces; sequence() would count down from its start.
-    cuts = F.when(F.col("n_tokens") > 0, F.transform(F.sequence(first, last), cut))
-    return placed.select("split", F.explode(cuts).alias("cut")).select("split", "cut.*")
+    shard = F.explode(F.when(F.col("n_tokens") > 0, F.sequence(first, last)))
+    reached = placed.select("split", "start", "n_tokens", tokens, shard.alias("shard"))
+    low = F.greatest(F.col("shard") * shard_size, F.col("start"))
+    high = F.least((F.col("shard") + 1) * shard_size, F.col("start") + F.col("n_tokens"))
+    piece = F.slice(tokens, (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
+    return reached.select(
+        "split",
+        F.col("shard").cast("int").alias("shard_index"),
+        (low - F.col("shard") * shard_size).cast("int").alias("lo"),
+        piece.alias("piece"),
+    )
 
 
 def assemble(cut: DataFrame) -> DataFrame:
@@ -93,8 +92,8 @@ def pack_documents(
         raise ValueError("shard_size must be at least 1")
     split = assign_split(documents.select(order_key, text), text)
     if not hasattr(tokenizer, "count"):
-        tokens = split.select(order_key, "split", tokenizer.tokens(F.col(text)).alias("tokens"))
+        tokens = split.select(order_key, "split", tokens_of(tokenizer, F.col(text)).alias("tokens"))
         return pack_shards(tokens, shard_size, order_key, targets)
     placed = place_payload(count_tokens(split, tokenizer, text), text, order_key, targets)
-    tokens = placed.select("split", "start", "n_tokens", check_token_ids(tokenizer.tokens(F.col(text))).alias("tokens"))
+    tokens = placed.select("split", "start", "n_tokens", tokens_of(tokenizer, F.col(text)).alias("tokens"))
     return assemble(pieces(tokens, shard_size))

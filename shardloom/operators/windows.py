@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Plan rows (about 40 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 2_000_000
+
 
 def check_shape(batch_size: int, sequence_length: int) -> int:
     if batch_size < 1 or sequence_length < 1:
@@ -47,17 +50,26 @@ def token_windows(shards: DataFrame, batch_size: int, sequence_length: int) -> D
 
 
 def batches(
-    shards: DataFrame, plan: DataFrame, batch_size: int, sequence_length: int, first: int = 0, end: int | None = None
+    shards: DataFrame,
+    plan: DataFrame,
+    batch_size: int,
+    sequence_length: int,
+    first: int = 0,
+    end: int | None = None,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Batches ``first <= ordinal < end`` of an epoch plan: ``split, epoch, ordinal, row, inputs, targets``.
 
-    Only shards that hold a batch of the range are read past the join. The plan has one row per shard
-    and epoch and so grows with the corpus: how to join it is left to Spark, which measures its size.
+    The plan has a row per shard and epoch, so it grows with the corpus. Its rows are counted: up to
+    ``broadcast_rows`` of them are sent to where the shards are read, and the tokens stay in place; a
+    longer plan is joined as Spark sees fit, which shuffles whole shards.
     """
     wanted = plan.filter(F.col("n_batches") > 0).filter(F.col("first_ordinal") + F.col("n_batches") > first)
     if end is not None:
         wanted = wanted.filter(F.col("first_ordinal") < end)
     wanted = wanted.select("split", "shard_index", "epoch", "first_ordinal")
+    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        wanted = F.broadcast(wanted)
     exploded = _explode_batches(shards.join(wanted, ["split", "shard_index"]), batch_size, sequence_length)
     exploded = exploded.withColumn("ordinal", F.col("first_ordinal") + F.col("batch_in_shard"))
     exploded = exploded.filter(F.col("ordinal") >= first)

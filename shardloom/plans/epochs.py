@@ -49,13 +49,17 @@ def hash_order(shards: DataFrame, seed: int, first_epoch: int, end_epoch: int) -
     return rows.withColumn("_block", F.coalesce(block, F.lit(0).cast("bigint")))
 
 
-def numpy_orders(names: list[str], rng: np.random.Generator, epochs: int, shuffled: bool) -> list[list[str]]:
-    """Successive in-place shuffles of one list: each epoch permutes the order of the one before."""
-    orders, order = [], list(names)
-    for epoch in range(epochs):
-        if epoch or not shuffled:
+def numpy_orders(names: list[str], rng: np.random.Generator, epochs: range, shuffled: bool) -> dict[int, list[str]]:
+    """Orders of some epochs by successive in-place shuffles of one list: each permutes the order before it.
+
+    ``names`` is the order of epoch ``epochs.start`` if ``shuffled``, else the sorted list before epoch 0.
+    """
+    orders, order = {}, list(names)
+    for epoch in range(epochs.start if shuffled else 0, epochs.stop):
+        if not (shuffled and epoch == epochs.start):
             rng.shuffle(order)
-        orders.append(list(order))
+        if epoch in epochs:
+            orders[epoch] = list(order)
     return orders
 
 
@@ -118,9 +122,10 @@ def epoch_plan(
     if mode != "numpy":
         raise ValueError("mode must be 'hash' or 'numpy'")
     names = bounded_names(shards, "train")
-    orders = numpy_orders(names, np.random.default_rng(seed), end, shuffled=False)
-    train = listed_order(shards, "train", dict(enumerate(orders)))
-    train = train.filter(F.col("epoch") >= first_epoch).select(*train.columns)
+    if len(names) * epochs > NUMPY_LIMIT:
+        raise ValueError(f"numpy mode lists at most {NUMPY_LIMIT} shards over all epochs; use mode='hash'")
+    orders = numpy_orders(names, np.random.default_rng(seed), range(first_epoch, end), shuffled=False)
+    train = listed_order(shards, "train", orders)
     val = hash_order(shards.filter("split = 'val'"), seed, first_epoch, end)
     val = val.withColumn("_key", F.lit(0).cast("bigint"))
     return numbered(train.unionByName(val), batch_size, sequence_length)

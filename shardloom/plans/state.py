@@ -96,7 +96,7 @@ def loader_state(
     if mode == "numpy":
         rng = np.random.default_rng(seed)
         if split == "train":
-            numpy_orders(sorted(names), rng, epoch + 1, shuffled=False)
+            numpy_orders(sorted(names), rng, range(epoch, epoch + 1), shuffled=False)
         rng_state = json.dumps(rng.bit_generator.state)
     return LoaderState(
         split, batch_size, sequence_length, int(epoch), int(shard), int(position), rng_state,
@@ -135,8 +135,8 @@ def resume_plan(shards: DataFrame, state: LoaderState, epochs: int = 1) -> DataF
         return epoch_plan(own, size, length, seed, epochs, state.epoch)
     rng = np.random.default_rng()
     rng.bit_generator.state = json.loads(state.rng_state)
-    orders = numpy_orders(list(state.shard_names), rng, epochs, shuffled=True)
-    listed = listed_order(own, state.split, {state.epoch + i: order for i, order in enumerate(orders)})
+    orders = numpy_orders(list(state.shard_names), rng, range(state.epoch, state.epoch + epochs), shuffled=True)
+    listed = listed_order(own, state.split, orders)
     return numbered(listed, size, length)
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
+def ship_code() -> None:
+    """Let this package's functions travel with the plan, so that workers need not have it installed."""
+    cloudpickle.register_pickle_by_value(sys.modules["shardloom"])
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

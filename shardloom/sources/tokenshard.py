@@ -9,7 +9,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -18,7 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, InputPartition,
@@ -30,6 +28,7 @@ from shardloom.functions.names import (
 )
 from shardloom.functions.splits import check_split
 from shardloom.functions.tokenizers import MAX_TOKEN_ID
+from shardloom.session import ship_code
 from shardloom.sources.files import arrow_fs
 
 SHARD_SCHEMA = "split string, shard_index int, token_count int, tokens array<int>"
@@ -370,7 +369,6 @@ class TokenShardSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``format("tokenshard")`` known. Its code travels with the plan, so that workers need not have
-    this package installed."""
-    cloudpickle.register_pickle_by_value(sys.modules["shardloom"])
+    """Make ``format("tokenshard")`` known to a session."""
+    ship_code()
     spark.dataSource.register(TokenShardSource)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shardloom.functions.splits import SPLITS, assign_split
 from shardloom.operators.offsets import count_tokens, target_of, tokenize
 from shardloom.operators.packing import assemble, pieces, place_payload
-from shardloom.functions.tokenizers import check_token_ids
+from shardloom.functions.tokenizers import tokens_of
 from shardloom.sources.files import DriverFiles
 
 POSITION = "position.json"
@@ -69,7 +69,7 @@ def pack_micro_batch(
     base = F.when(F.col("split") == "train", position["tokens"]["train"]).otherwise(position["tokens"]["val"])
     placed = placed.withColumn("start", F.col("start") + base)
     if payload == text:
-        tokens = check_token_ids(tokenizer.tokens(F.col(text)))
+        tokens = tokens_of(tokenizer, F.col(text))
         placed = placed.select("split", "start", "n_tokens", tokens.alias("tokens"))
     cut = pieces(placed, shard_size)
     if position["batch"] >= 0:

@@ -93,6 +93,8 @@ def test_numpy_mode_is_bounded(shard_table, monkeypatch):
     monkeypatch.setattr("shardloom.plans.epochs.NUMPY_LIMIT", 2)
     with pytest.raises(ValueError, match="at most 2 shards"):
         epoch_plan(shard_table("train", {i: range(9) for i in range(3)}), 1, 4, mode="numpy")
+    with pytest.raises(ValueError, match="over all epochs"):
+        epoch_plan(shard_table("train", {i: range(9) for i in range(2)}), 1, 4, epochs=2, mode="numpy")
 
 
 def test_hash_order_is_reproducible_and_differs_by_epoch_and_seed(shard_table):
@@ -116,8 +118,9 @@ def test_batches_equal_a_sequential_loader(shard_table, split):
     names = {f"dataset_{split}_{i:06d}.bin": list(t) for i, t in lists.items()}
     expected = simulate(names, split, 1, 4, 11, 20)
     plan = epoch_plan(shards, 1, 4, seed=11, epochs=4, mode="numpy")
-    got = drawn(batches(shards, plan, 1, 4, end=20))
-    assert [(e, i, t) for e, i, t, *_ in expected] == got
+    for broadcast_rows in (100, 0):
+        got = drawn(batches(shards, plan, 1, 4, end=20, broadcast_rows=broadcast_rows))
+        assert [(e, i, t) for e, i, t, *_ in expected] == got
     ordinals = batch_ordinals(plan, 1, 4).filter("ordinal < 20").orderBy("ordinal").collect()
     assert [r.token_position + 4 for r in ordinals] == [at for *_, at in expected]
 

@@ -68,6 +68,15 @@ def test_packing_does_not_depend_on_block_size(spark, monkeypatch, bits):
     check_streams(pack_shards(rows, 37).collect(), streams, 37)
 
 
+def test_a_document_may_span_very_many_shards(spark):
+    rows = spark.range(2).selectExpr("id AS doc_id", "'train' AS split", "sequence(int(id), int(id) + 1999999) AS tokens")
+    packed = pack_shards(rows, 500)
+    ends = packed.selectExpr("shard_index", "token_count", "tokens[0] AS a", "tokens[499] AS z").orderBy("shard_index").collect()
+    assert [r.token_count for r in ends] == [500] * 8000
+    assert [(r.a, r.z) for r in ends[:4000]] == [(i * 500, i * 500 + 499) for i in range(4000)]
+    assert [(r.a, r.z) for r in ends[4000:]] == [(i * 500 + 1, i * 500 + 500) for i in range(4000)]
+
+
 def test_sparse_and_negative_keys(spark):
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 48), 1 << 48, 200))
     rows, _, streams = random_documents(spark, keys=keys)

@@ -45,8 +45,9 @@ def test_val_bucket_must_exist(documents):
         assign_split(documents, num_buckets=4, val_bucket=4)
 
 
-def test_byte_tokens(documents):
-    for row, text in zip(tokenize(documents, ByteTokenizer()).orderBy("doc_id").collect(), TEXTS, strict=True):
+@pytest.mark.parametrize("engine", ["native", "arrow"])
+def test_byte_tokens(documents, engine):
+    for row, text in zip(tokenize(documents, ByteTokenizer(engine=engine)).orderBy("doc_id").collect(), TEXTS, strict=True):
         assert row.tokens == [50256, *text.encode()]
         assert row.n_tokens == len(row.tokens)
     counts = documents.orderBy("doc_id").select(ByteTokenizer().count(F.col("text")).alias("n")).collect()
@@ -77,6 +78,22 @@ def test_bpe_from_rank_file(spark, tmp_path):
     assert tokenize(rows, BpeTokenizer.from_file(spark, str(path))).first().tokens == [50256, 256, ord("e")]
 
 
+class Foreign:
+    """A tokenizer that says nothing about its ids."""
+
+    def __init__(self, token):
+        self.token = token
+
+    def tokens(self, text):
+        return F.array(F.lit(50256), F.lit(self.token))
+
+
+def test_ids_of_other_tokenizers_are_checked(documents):
+    assert tokenize(documents, Foreign(65535)).first().tokens == [50256, 65535]
+    with pytest.raises(PySparkException, match="token id outside"):
+        tokenize(documents, Foreign(65536)).collect()
+
+
 @pytest.mark.parametrize("bad", [65536, -1])
 def test_token_ids_must_fit_two_bytes(spark, bad):
     rows = spark.createDataFrame([([0, 65535],), ([1, bad],)], "tokens array<int>")
