@@ -371,7 +371,7 @@ def q_stream_pack(spark, sf_dir):
     width = (keys.high - keys.low) // 4 + 1
     for part in range(4):
         low = keys.low + part * width
-        dataset._within(rows, "doc_id", low, low + width).write.mode("append").parquet(f"{root}/incoming")
+        dataset.key_range(rows, "doc_id", low, low + width).write.mode("append").parquet(f"{root}/incoming")
         incoming = prepare_streams.document_stream(spark, f"{root}/incoming", max_files_per_trigger=1_000_000)
         prepare_streams.prepare_stream(incoming, f"{root}/out", BYTES, SHARD_SIZE).awaitTermination()
     packed = prepare_streams.streamed_shards(spark, f"{root}/out")

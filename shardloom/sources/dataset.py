@@ -12,7 +12,7 @@ from shardloom.operators.offsets import count_tokens, split_totals, tokenize
 from shardloom.operators.packing import pack_documents, pack_shards
 from shardloom.session import scratch
 from shardloom.sources.files import DriverFiles
-from shardloom.sources.shards import write_shards
+from shardloom.sources.shards import read_shards, scan_headers, write_shards
 
 MANIFEST = "manifest.json"
 # Width of the first range of order keys that is counted, and how much wider each next one is.
@@ -57,8 +57,8 @@ def manifest_row(
     )
 
 
-def _within(documents: DataFrame, order_key: str, low: int, high: int) -> DataFrame:
-    # Literal bounds reach the scan, so files and row groups outside the range are skipped.
+def key_range(documents: DataFrame, order_key: str, low: int, high: int) -> DataFrame:
+    """Documents ``low <= key < high``. The literal bounds reach the scan, which skips files and row groups."""
     return documents.filter((F.col(order_key) >= F.lit(low)) & (F.col(order_key) < F.lit(high)))
 
 
@@ -101,14 +101,14 @@ def prepare_dataset(
     width = first_wave
     while high < end and any(reached[s] < targets[s] for s in SPLITS):
         high = min(end, low + width)
-        wave = assign_split(_within(documents, order_key, low, high), text)
+        wave = assign_split(key_range(documents, order_key, low, high), text)
         open_splits = [s for s in SPLITS if reached[s] < targets[s]]
         wave = wave.filter(F.col("split").isin(open_splits))
         if counts:
             counted = count_tokens(wave, tokenizer, text)
         else:
             tokenize(wave, tokenizer, text).write.mode("append").parquet(stored)
-            counted = _within(spark.read.parquet(stored), order_key, low, high)
+            counted = key_range(spark.read.parquet(stored), order_key, low, high)
         for row in counted.groupBy("split").agg(F.sum("n_tokens").alias("tokens")).collect():
             reached[row.split] += row.tokens
         low, width = high, width * WAVE_GROWTH
@@ -118,7 +118,7 @@ def prepare_dataset(
         )
 
     if counts:
-        needed = _within(documents, order_key, bounds.low, high)
+        needed = key_range(documents, order_key, bounds.low, high)
         shards = pack_documents(needed, tokenizer, shard_size, order_key, text, targets)
     else:
         shards = pack_shards(spark.read.parquet(stored), shard_size, order_key, targets)
@@ -130,8 +130,6 @@ def write_dataset(
     format: str = "tokenshard",
 ) -> dict:
     """Write shards and, once they are all there, the manifest. A complete set is left as it is."""
-    from shardloom.sources.shards import read_shards, scan_headers
-
     spark = shards.sparkSession
     files = DriverFiles(spark, path)
     if check_write_once(files):

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
 from shardloom.functions.names import (
     HEADER_BYTES, HEADER_WORDS, MAGIC, NAME_FORMAT, NAME_PATTERN, TOKEN_BYTES, VERSION,
 )
-from shardloom.functions.splits import check_split
+from shardloom.functions.splits import SPLITS, check_split
 from shardloom.functions.tokenizers import MAX_TOKEN_ID
 from shardloom.session import ship_code
 from shardloom.sources.files import arrow_fs
@@ -35,26 +35,49 @@ SHARD_SCHEMA = "split string, shard_index int, token_count int, tokens array<int
 HEADER_SCHEMA = "shard_name string, split string, shard_index int, length bigint, header binary"
 BATCH_SCHEMA = "split string, epoch int, ordinal bigint, row int, inputs array<int>, targets array<int>"
 PARTITION_BYTES = 32 << 20
+HEADERS_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
-class ShardFile:
-    path: str
-    name: str
+class IndexRange:
+    """Shards ``low <= index < high`` of a split."""
+
     split: str
-    index: int
-    length: int
+    low: int
+    high: int
+
+
+def complete_set(folder: str) -> dict | None:
+    """The manifest of a complete set. It tells which shards there are, so no folder need be listed."""
+    fs, path = arrow_fs(folder)
+    if fs.get_file_info(f"{path}/manifest.json").type != pafs.FileType.File:
+        return None
+    with fs.open_input_file(f"{path}/manifest.json") as stream:
+        return json.loads(stream.read())
 
 
-def list_shards(folder: str, split: str | None) -> list[ShardFile]:
-    """Shard files of a split (or of both), by split and number."""
+def manifest_shards(manifest: dict, split: str) -> tuple[int, int]:
+    """Number of shards and of tokens of a split."""
+    prefix = "train" if split == "train" else "validation"
+    return manifest[f"{prefix}_shards"], manifest[f"{prefix}_tokens"]
+
+
+def list_indexes(folder: str, split: str) -> list[int]:
+    """Shard numbers of a split, from a listing of the folder."""
     fs, path = arrow_fs(folder)
     found = []
     for info in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
         match = re.fullmatch(NAME_PATTERN.rstrip("$"), info.base_name)
-        if match and info.is_file and split in (None, match[1]):
-            found.append(ShardFile(info.path, info.base_name, match[1], int(match[2]), info.size))
-    return sorted(found, key=lambda f: (f.split, f.index))
+        if match and info.is_file and match[1] == split:
+            found.append(int(match[2]))
+    return sorted(found)
+
+
+def open_shard(fs: pafs.FileSystem, path: str, name: str):
+    try:
+        return fs.open_input_file(f"{path}/{name}")
+    except FileNotFoundError:
+        raise FileNotFoundError(f"Missing shard files: {name}") from None
 
 
 def header_of(raw: bytes, length: int, name: str) -> int:
@@ -71,9 +94,9 @@ def header_of(raw: bytes, length: int, name: str) -> int:
     return int(count)
 
 
-class FileGroup(InputPartition):
-    def __init__(self, files: list[ShardFile]):
-        self.files = files
+class ShardGroup(InputPartition):
+    def __init__(self, ranges: list[IndexRange]):
+        self.ranges = ranges
 
 
 class ShardReader(DataSourceReader):
@@ -85,38 +108,55 @@ class ShardReader(DataSourceReader):
         self.target = int(options.get("partitionbytes", PARTITION_BYTES))
         self.headers = headers
 
-    def partitions(self) -> list[FileGroup]:
-        files = list_shards(self.folder, self.split)
-        if not files:
+    def partitions(self) -> list[ShardGroup]:
+        """Runs of shards of about ``partitionbytes``; of a complete set, without listing its files."""
+        splits = SPLITS if self.split is None else (self.split,)
+        manifest = complete_set(self.folder)
+        if manifest:
+            size = HEADER_BYTES + TOKEN_BYTES * manifest["shard_size"]
+            runs = [IndexRange(s, 0, manifest_shards(manifest, s)[0]) for s in splits]
+        else:
+            fs, path = arrow_fs(self.folder)
+            listed = [(s, i) for s in splits for i in list_indexes(self.folder, s)]
+            runs = [IndexRange(s, i, i + 1) for s, i in listed]
+            size = fs.get_file_info(f"{path}/{NAME_FORMAT % listed[0]}").size if listed else 1
+        runs = [run for run in runs if run.high > run.low]
+        if not runs:
             raise ValueError(f"No shards found in {self.folder}")
-        groups, size = [[]], 0
-        for file in files:
-            cost = HEADER_BYTES if self.headers else file.length
-            if groups[-1] and (size + cost > self.target or (self.headers and len(groups[-1]) >= 10_000)):
-                groups.append([])
-                size = 0
-            groups[-1].append(file)
-            size += cost
-        return [FileGroup(group) for group in groups]
-
-    def read(self, partition: FileGroup) -> Iterator[pa.RecordBatch]:
-        fs, _ = arrow_fs(self.folder)
+        each = HEADERS_PER_TASK if self.headers else max(1, self.target // size)
+        groups, room = [], 0
+        for run in runs:
+            low = run.low
+            while low < run.high:
+                if not room:
+                    groups.append(ShardGroup([]))
+                    room = each
+                high = min(run.high, low + room)
+                groups[-1].ranges.append(IndexRange(run.split, low, high))
+                low, room = high, room - (high - low)
+        return groups
+
+    def read(self, partition: ShardGroup) -> Iterator[pa.RecordBatch]:
+        fs, path = arrow_fs(self.folder)
+        wanted = ((r.split, index) for r in partition.ranges for index in range(r.low, r.high))
         if self.headers:
             rows = {"shard_name": [], "split": [], "shard_index": [], "length": [], "header": []}
-            for file in partition.files:
-                with fs.open_input_file(file.path) as stream:
-                    raw = stream.read(HEADER_BYTES)
-                for column, value in zip(rows, (file.name, file.split, file.index, file.length, raw), strict=True):
-                    rows[column].append(value)
+            for split, index in wanted:
+                name = NAME_FORMAT % (split, index)
+                with open_shard(fs, path, name) as stream:
+                    values = name, split, index, stream.size(), stream.read(HEADER_BYTES)
+                for column, value in zip(rows.values(), values, strict=True):
+                    column.append(value)
             types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary())
             yield pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
             return
-        for file in partition.files:
-            with fs.open_input_file(file.path) as stream:
-                count = header_of(stream.read(HEADER_BYTES), file.length, file.name)
+        for split, index in wanted:
+            name = NAME_FORMAT % (split, index)
+            with open_shard(fs, path, name) as stream:
+                count = header_of(stream.read(HEADER_BYTES), stream.size(), name)
                 ids = np.frombuffer(stream.read(TOKEN_BYTES * count), dtype="<u2").astype(np.int32)
             tokens = pa.ListArray.from_arrays(pa.array([0, count], pa.int32()), pa.array(ids))
-            columns = [pa.array([file.split]), pa.array([file.index], pa.int32()), pa.array([count], pa.int32()), tokens]
+            columns = [pa.array([split]), pa.array([index], pa.int32()), pa.array([count], pa.int32()), tokens]
             yield pa.record_batch(columns, names=["split", "shard_index", "token_count", "tokens"])
 
 
@@ -183,9 +223,7 @@ class ShardFileWriter(DataSourceArrowWriter):
 class Segment:
     """Consecutive batches of one shard."""
 
-    path: str
     name: str
-    length: int
     epoch: int
     first_ordinal: int
     first_batch: int
@@ -198,29 +236,34 @@ class Draw(InputPartition):
 
 
 class EpochIndex:
-    """Maps ordinals to shard files. Keeps one number per shard and remembers the latest orders."""
+    """Maps ordinals to shards. Keeps two numbers per shard and remembers the latest orders."""
 
-    def __init__(self, files: list[ShardFile], counts: np.ndarray, split: str, seed: int, mode: str):
-        self.files, self.counts, self.split, self.seed, self.mode = files, counts, split, seed, mode
+    def __init__(self, indexes: np.ndarray, counts: np.ndarray, split: str, seed: int, mode: str):
+        self.indexes, self.counts, self.split, self.seed, self.mode = indexes, counts, split, seed, mode
         self.per_epoch = int(counts.sum())
-        self._rng, self._shuffled, self._order = np.random.default_rng(seed), -1, list(range(len(files)))
-        self._cache: dict[int, tuple[list[int], np.ndarray]] = {}
+        self._restart()
+        self._cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _restart(self) -> None:
+        self._rng, self._shuffled, self._order = np.random.default_rng(self.seed), -1, list(range(len(self.indexes)))
+
+    def name(self, place: int) -> str:
+        return NAME_FORMAT % (self.split, self.indexes[place])
 
-    def order(self, epoch: int) -> list[int]:
+    def order(self, epoch: int) -> np.ndarray:
         if self.split == "val":
-            return list(range(len(self.files)))
+            return np.arange(len(self.indexes))
         if self.mode == "hash":
-            names = [f"{self.seed}:{epoch}:{f.name}".encode() for f in self.files]
-            keys = [hashlib.sha256(name).hexdigest() for name in names]
-            return sorted(range(len(self.files)), key=lambda i: (keys[i], self.files[i].index))
+            texts = (f"{self.seed}:{epoch}:{self.name(i)}" for i in range(len(self.indexes)))
+            return np.argsort(np.array([hashlib.sha256(t.encode()).digest() for t in texts]), kind="stable")
         if epoch < self._shuffled:
-            self._rng, self._shuffled, self._order = np.random.default_rng(self.seed), -1, list(range(len(self.files)))
+            self._restart()
         while self._shuffled < epoch:
             self._rng.shuffle(self._order)
             self._shuffled += 1
-        return list(self._order)
+        return np.array(self._order)
 
-    def epoch(self, epoch: int) -> tuple[list[int], np.ndarray]:
+    def epoch(self, epoch: int) -> tuple[np.ndarray, np.ndarray]:
         if epoch not in self._cache:
             order = self.order(epoch)
             starts = np.concatenate([[0], np.cumsum(self.counts[order])])
@@ -232,9 +275,8 @@ class EpochIndex:
             epoch, at = divmod(start, self.per_epoch)
             order, starts = self.epoch(epoch)
             place = int(np.searchsorted(starts, at, side="right")) - 1
-            file = self.files[order[place]]
             take = min(int(starts[place + 1]) - at, end - start)
-            yield Segment(file.path, file.name, file.length, epoch, start, at - int(starts[place]), take)
+            yield Segment(self.name(order[place]), epoch, start, at - int(starts[place]), take)
             start += take
 
 
@@ -265,24 +307,36 @@ class BatchStreamReader(DataSourceStreamReader):
 
     def index(self) -> EpochIndex:
         if self._index is None:
-            files = list_shards(self.folder, self.split)
-            if not files:
+            indexes, tokens = self._sizes()
+            counts = np.maximum(tokens - 1, 0) // (self.size * self.length)
+            if not len(indexes):
                 raise ValueError(f"No shards found in {self.folder}")
-            fs, _ = arrow_fs(self.folder)
-
-            def count(file: ShardFile) -> int:
-                with fs.open_input_file(file.path) as stream:
-                    tokens = header_of(stream.read(HEADER_BYTES), file.length, file.name)
-                return (tokens - 1) // (self.size * self.length)
-
-            with ThreadPoolExecutor(32) as pool:
-                counts = np.fromiter(pool.map(count, files), dtype=np.int64, count=len(files))
             if not counts.any():
                 need = self.size * self.length + 1
                 raise ValueError(f"No shard contains enough tokens for a batch of size {need}")
-            self._index = EpochIndex(files, counts, self.split, self.seed, self.mode)
+            self._index = EpochIndex(indexes, counts, self.split, self.seed, self.mode)
         return self._index
 
+    def _sizes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Number and token count of every shard: by the manifest, else from the headers."""
+        manifest = complete_set(self.folder)
+        if manifest:
+            shards, tokens = manifest_shards(manifest, self.split)
+            sizes = np.full(shards, manifest["shard_size"], np.int64)
+            sizes[-1:] = tokens - (shards - 1) * manifest["shard_size"]
+            return np.arange(shards), sizes
+        fs, path = arrow_fs(self.folder)
+        indexes = list_indexes(self.folder, self.split)
+
+        def count(index: int) -> int:
+            name = NAME_FORMAT % (self.split, index)
+            with open_shard(fs, path, name) as stream:
+                return header_of(stream.read(HEADER_BYTES), stream.size(), name)
+
+        with ThreadPoolExecutor(32) as pool:
+            sizes = np.fromiter(pool.map(count, indexes), dtype=np.int64, count=len(indexes))
+        return np.array(indexes, dtype=np.int64), sizes
+
     def _planned(self) -> int:
         fs, path = arrow_fs(self.progress)
         if fs.get_file_info(f"{path}/next.json").type == pafs.FileType.NotFound:
@@ -315,12 +369,14 @@ class BatchStreamReader(DataSourceStreamReader):
         return draws
 
     def read(self, partition: Draw) -> Iterator[pa.RecordBatch]:
-        fs, _ = arrow_fs(self.folder)
+        fs, path = arrow_fs(self.folder)
         size, length = self.size, self.length
         step = size * length
         for part in partition.segments:
-            with fs.open_input_file(part.path) as stream:
-                header_of(stream.read(HEADER_BYTES), part.length, part.name)
+            with open_shard(fs, path, part.name) as stream:
+                count = header_of(stream.read(HEADER_BYTES), stream.size(), part.name)
+                if count < (part.first_batch + part.batches) * step + 1:
+                    raise ValueError(f"{part.name} holds fewer tokens than the data set was planned with")
                 stream.seek(HEADER_BYTES + TOKEN_BYTES * part.first_batch * step)
                 raw = stream.read(TOKEN_BYTES * (part.batches * step + 1))
             ids = np.frombuffer(raw, dtype="<u2").astype(np.int32)

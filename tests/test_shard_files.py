@@ -174,3 +174,16 @@ def test_header_scan_reads_signed_words(spark, shard_file, tmp_path):
     shard_file(tmp_path / "dataset_val_000000.bin", [1, 2], magic=-2, version=2147483647)
     row = scan_headers(spark, str(tmp_path)).first()
     assert (row.magic, row.version, row.token_count, row.length) == (-2, 2147483647, 2, 1028)
+
+
+def test_a_complete_set_is_read_by_its_manifest(spark, documents, tmp_path):
+    path = tmp_path / "set"
+    manifest = prepare_dataset(documents, str(path), ByteTokenizer(), 64, TARGETS)
+    (path / f"dataset_train_{manifest['train_shards']:06d}.bin").write_bytes(b"left over from elsewhere")
+    rows = read_shards(spark, str(path)).select("split", "shard_index", "token_count").collect()
+    assert sum(r.token_count for r in rows) == manifest["train_tokens"] + manifest["validation_tokens"]
+    small = spark.read.format("tokenshard").option("partitionBytes", 3 * (1024 + 128)).load(str(path))
+    assert small.rdd.getNumPartitions() == -(-len(rows) // 3) and small.count() == len(rows)
+    (path / "dataset_train_000001.bin").rename(path / "elsewhere")
+    with pytest.raises(Exception, match="Missing shard files: dataset_train_000001.bin"):
+        read_shards(spark, str(path)).collect()

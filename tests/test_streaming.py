@@ -2,7 +2,7 @@ import json
 
 import pytest
 
-from shardloom import ByteTokenizer, BpeTokenizer, epoch_plan, batches, pack_documents
+from shardloom import ByteTokenizer, BpeTokenizer, epoch_plan, batches, pack_documents, prepare_dataset
 from shardloom.operators.checks import difference
 from shardloom.sources.shards import read_shards, write_shards
 from shardloom.streaming.batches import batch_stream, draw_to_table
@@ -86,6 +86,17 @@ def test_drawn_batches_equal_planned_ones(spark, tmp_path, shard_set, split, mod
     assert difference(planned, got).count() == 0
 
 
+@pytest.mark.parametrize("mode", ["hash", "numpy"])
+def test_a_complete_set_is_drawn_by_its_manifest(spark, tmp_path, mode):
+    path = str(tmp_path / "complete")
+    prepare_dataset(documents(spark), path, BYTES, 100, {"train": 3000, "val": 100})
+    stream = batch_stream(spark, path, "train", 2, 8, seed=3, mode=mode, untilordinal=400)
+    draw_to_table(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
+    shards = read_shards(spark, path, "train")
+    planned = batches(shards, epoch_plan(shards, 2, 8, seed=3, epochs=4, mode=mode), 2, 8, end=400)
+    assert difference(planned, spark.read.parquet(str(tmp_path / "table"))).count() == 0
+
+
 def test_paced_stream_goes_on_after_a_restart(spark, tmp_path, shard_set):
     table, checkpoint, progress = (str(tmp_path / n) for n in ("table", "checkpoint", "progress"))
     for until in (7, 20):
