@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from shardloom.functions.checks import required
 from shardloom.session import ship_code
 
 # GPT-2's end-of-text id, and the largest id two bytes hold.
@@ -26,6 +27,10 @@ def check_token_ids(tokens: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("token id outside 0..65535")).cast("array<int>")).otherwise(tokens)
 
 
+def present(text: Column) -> Column:
+    return required(text, "document text is null", "")
+
+
 def byte_ids(texts: pa.Array, eot: int) -> pa.Array:
     """``[eot, *bytes]`` of every text in one pass over the buffers of the whole batch."""
     raw = pa.array(texts).cast(pa.large_binary())
@@ -70,7 +75,7 @@ class ByteTokenizer:
 
     def count(self, text: Column) -> Column:
         """Length of ``tokens(text)`` without tokenizing."""
-        return (F.octet_length(text) + 1).cast("bigint")
+        return (F.octet_length(present(text)) + 1).cast("bigint")
 
     def tokens(self, text: Column) -> Column:
         if self.engine == "arrow":
@@ -80,8 +85,9 @@ class ByteTokenizer:
                 return byte_ids(batch, eot)
 
             ship_code()
-            return F.arrow_udf(encode, "array<int>")(F.coalesce(text, F.lit("")))
+            return F.arrow_udf(encode, "array<int>")(present(text))
         # Latin-1 has one character per byte, numbered like the byte.
+        text = present(text)
         chars = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "")
         ids = F.transform(chars, lambda c: F.ascii(c))
         head = F.array(F.lit(self.eot))
@@ -114,7 +120,7 @@ class BpeTokenizer:
             pattern, ranks = shared.value
             encoding = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
             for batch in texts:
-                ids = [None if t is None else [eot, *encoding.encode_ordinary(t)] for t in batch.to_pylist()]
+                ids = [[eot, *encoding.encode_ordinary(text)] for text in batch.to_pylist()]
                 yield pa.array(ids, pa.list_(pa.int32()))
 
         ship_code()
@@ -127,4 +133,4 @@ class BpeTokenizer:
         return cls(spark, load_tiktoken_bpe(path), **options)
 
     def tokens(self, text: Column) -> Column:
-        return self._encode(text)
+        return self._encode(present(text))

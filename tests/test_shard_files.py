@@ -81,11 +81,14 @@ def test_split_filter_reaches_the_reader(spark, shard_file, tmp_path):
     for split in ("train", "val"):
         for i in range(3):
             shard_file(tmp_path / f"dataset_{split}_{i:06d}.bin", range(10))
+    with_pushdown = {"pushdown": "true", "partitionBytes": "1"}
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     try:
-        val = read_shards(spark, str(tmp_path)).filter("split = 'val'")
-        assert val.count() == 3
-        assert "PushedFilters: [(split = val)" in val._jdf.queryExecution().toString() or val.rdd.getNumPartitions() == 1
+        files = spark.read.format("tokenshard").options(**with_pushdown).load(str(tmp_path))
+        assert files.rdd.getNumPartitions() == 6
+        val = files.filter("split = 'val'")
+        assert val.rdd.getNumPartitions() == 3 and val.count() == 3
+        assert read_shards(spark, str(tmp_path)).filter("split = 'val' AND shard_index > 0").count() == 2
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 

@@ -38,6 +38,9 @@ def test_null_text_is_an_error(spark):
     rows = spark.createDataFrame([(0, None), (1, "x")], "doc_id bigint, text string")
     with pytest.raises(PySparkException, match="text is null"):
         assign_split(rows).collect()
+    for tokenizer in (ByteTokenizer(), ByteTokenizer(engine="native"), BpeTokenizer(spark, {b"x": 0})):
+        with pytest.raises(PySparkException, match="text is null"):
+            tokenize(rows, tokenizer).collect()
 
 
 def test_val_bucket_must_exist(documents):
