@@ -287,25 +287,30 @@ def q_schedule_alignment(spark, sf_dir):
     )
 
 
+def resumed(stored: DataFrame) -> tuple[DataFrame, int]:
+    """Save a state after ``DRAWN`` batches and restore it for what is left of ``EPOCHS`` epochs."""
+    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
+    saved = state.LoaderState.from_json(saved.to_json())
+    return state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=max(1, EPOCHS - saved.epoch))
+
+
 def q_resume_batches(spark, sf_dir):
     stored = stored_shards(spark, sf_dir)
-    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
-    order, following = state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=1)
+    order, following = resumed(stored)
     rows = windows.batches(stored, order, BATCH, LENGTH, first=following)
     return with_digests(rows, "split", "epoch", "ordinal", "row")
 
 
 def q_resume_equivalence(spark, sf_dir):
     stored = stored_shards(spark, sf_dir)
-    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
-    order, following = state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=1)
-    train = epochs.epoch_plan(stored, BATCH, LENGTH, SEED).filter("split = 'train'")
+    order, following = resumed(stored)
+    train = epochs.epoch_plan(stored, BATCH, LENGTH, SEED, EPOCHS).filter("split = 'train'")
 
     def draw(of: DataFrame, **limits: int) -> DataFrame:
         return with_digests(windows.batches(stored, of, BATCH, LENGTH, **limits), "epoch", "ordinal", "row")
 
-    resumed = draw(train, end=DRAWN).unionAll(draw(order, first=following))
-    differing = checks.difference(draw(train), resumed).agg(F.count("*").alias("differing_rows"))
+    pieced = draw(train, end=DRAWN).unionAll(draw(order, first=following))
+    differing = checks.difference(draw(train), pieced).agg(F.count("*").alias("differing_rows"))
     rows = epochs.batch_ordinals(train, BATCH, LENGTH).agg((F.count("*") * BATCH).alias("rows"))
     return _one_row(rows, differing)
 
@@ -560,9 +565,9 @@ def oracle_sql() -> dict[str, str]:
         "schedule_alignment": f"""WITH {STEPS}, {LOG} SELECT l.run_id, l.step, l.train_loss,
     round(u.learning_rate, 12) AS planned_rate, (l.tokens - u.tokens)::BIGINT AS token_drift
   FROM log l JOIN updates u ON u.update_step = l.step""",
-        "resume_batches": f"""WITH {_batches_sql(1)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn
+        "resume_batches": f"""WITH {_batches_sql(EPOCHS)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn
   WHERE split = 'train' AND ordinal >= {DRAWN}""",
-        "resume_equivalence": f"""WITH {_plan_sql(1)} SELECT (count(*) * {BATCH})::BIGINT AS rows, 0::BIGINT AS differing_rows
+        "resume_equivalence": f"""WITH {_plan_sql(EPOCHS)} SELECT (count(*) * {BATCH})::BIGINT AS rows, 0::BIGINT AS differing_rows
   FROM ordinals WHERE split = 'train'""",
         "stream_batches": f"""WITH {_batches_sql(2)},
   size AS (SELECT count(*) // 2 AS per_epoch FROM ordinals WHERE split = 'train')
