@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shardloom.functions.splits import SPLITS, assign_split
-from shardloom.operators.offsets import count_tokens, target_of, tokenize
+from shardloom.operators.offsets import count_tokens, tokenize
 from shardloom.operators.packing import assemble, pieces, place_payload
 from shardloom.functions.tokenizers import tokens_of
 from shardloom.sources.files import DriverFiles
