@@ -29,6 +29,7 @@ from shardloom.llm.words import _Powers, mix, prefix_hash, ragged, range_hash, s
 
 VOCABULARY = "byte_bpe_50k.json"
 SLAB = 2 << 20
+_NEVER, _LONG = 1 << 40, 64
 REMEMBERED = 1 << 20  # words a worker remembers before it forgets all; results do not depend on it
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 _SPECIAL_AT = 0x110000  # code points from here on stand for special tokens
@@ -85,7 +86,7 @@ class Vocabulary:
         self.left[first[0]], self.right[first[0]] = left[first[1]], right[first[1]]
         keys = left << 32 | right
         order = np.argsort(keys)
-        self.pair_keys, self.pair_ranks = keys[order], order
+        self.pair_index, self.pair_ranks, self.made = pd.Index(keys[order]), order, made
         self.merges = {int(k): (r, int(m)) for r, (k, m) in enumerate(zip(keys, made, strict=True))}
         # Only tokens that their own bytes give may be guessed.
         whole = np.flatnonzero(self.rank >= 0)
@@ -95,10 +96,12 @@ class Vocabulary:
             sound[t] &= sound[self.left[t]] and sound[self.right[t]]
         self.ids = {self.bytes_of[i]: i for i in vocab.values() if sound[i]}
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        lengths: dict[bytes, set[int]] = {}
-        for token in self.ids:
-            lengths.setdefault(token[:2], set()).add(len(token))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+        tokens = list(self.ids)
+        sizes = np.array([len(t) for t in tokens])
+        prefix = prefix_hash(np.frombuffer(b"".join(tokens), np.uint8).astype(np.uint64) + np.uint64(1), _powers)
+        self.token_index = pd.Index(range_hash(prefix, np.cumsum(sizes) - sizes, np.cumsum(sizes), _powers))
+        self.token_of = np.array(list(self.ids.values()), np.int64)
+        self.token_sizes = sorted(set(sizes.tolist()), reverse=True)
         self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.first = np.cumsum(self.size) - self.size
@@ -107,10 +110,9 @@ class Vocabulary:
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.starts: list[int] = []
-        self.counts: list[int] = []
-        self.arena = np.zeros(1 << 20, np.int32)
-        self.used = 0
+        self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.arena = np.zeros(1 << 18, np.int32)
+        self.used = self.words = 0
 
     # ------------------------------------------------------------ words
 
@@ -121,9 +123,7 @@ class Vocabulary:
         out, open_ = np.ones(len(a), bool), np.arange(len(a))
         while len(open_):
             x, y = a[open_], b[open_]
-            key = x << 32 | y
-            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-            bad = (self.pair_keys[at] == key) & (self.pair_ranks[at] < bound[open_])
+            bad = self.pair_rank(x, y) < bound[open_]
             out[open_[bad]] = False
             undo_x = self.rank[x] > self.rank[y]
             undo_y = ~undo_x & (self.rank[y] >= 0)
@@ -133,21 +133,70 @@ class Vocabulary:
             open_ = open_[~bad & (undo_x | undo_y)]
         return out
 
-    def guess(self, word: bytes) -> list[int]:
-        out, at, ids, lengths = [], 0, self.ids, self.lengths
-        whole = ids.get(word)
-        if whole is not None:
-            return [whole]
-        while at < len(word):
-            for n in lengths.get(word[at : at + 2], ()):
-                token = ids.get(word[at : at + n]) if at + n <= len(word) else None
-                if token is not None:
-                    break
-            else:
-                n, token = 1, self.single[word[at]]
-            out.append(token)
-            at += n
-        return out
+    def guess(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match for all words at once: tokens in a row, and how many each word has. Prefixes are looked up
+        by hash, longest first; a word's next token starts where its last one ends."""
+        sizes = np.array([len(w) for w in words])
+        data = np.frombuffer(b"".join(words), np.uint8)
+        prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1), _powers)
+        at, end, word = np.cumsum(sizes) - sizes, np.cumsum(sizes), np.arange(len(words))
+        found_word, found_at, found = [], [], []
+        while len(at):
+            token = np.full(len(at), -1)
+            for n in self.token_sizes:
+                ask = np.flatnonzero((token < 0) & (end - at >= n))
+                if len(ask):
+                    hashes = range_hash(prefix, at[ask], at[ask] + n, _powers)
+                    slot = self.token_index.get_indexer(hashes)
+                    token[ask] = np.where(slot >= 0, self.token_of[slot], -1)
+            found_word.append(word)
+            found_at.append(at)
+            found.append(token)
+            at = at + self.size[token]
+            more = at < end
+            at, end, word = at[more], end[more], word[more]
+        order = np.argsort(np.concatenate(found_at), kind="stable")
+        return np.concatenate(found)[order], np.bincount(np.concatenate(found_word), minlength=len(words))
+
+    def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        slot = self.pair_index.get_indexer(a << 32 | b)
+        return np.where(slot >= 0, self.pair_ranks[slot], _NEVER)
+
+    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The merges themselves for all words at once, a merge of each word a round: the lowest rank, leftmost first."""
+        sizes = np.array([len(w) for w in words])
+        tokens = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        rank = np.full(len(tokens), _NEVER)  # of the pair that starts here
+        inside = np.flatnonzero(word[1:] == word[:-1])
+        rank[inside] = self.pair_rank(tokens[inside], tokens[inside + 1])
+        done_word, done_at, done = [], [], []
+        place = np.arange(len(tokens))
+        while len(tokens):
+            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            lowest = np.minimum.reduceat(rank, first)
+            size = np.diff(np.r_[first, len(tokens)])
+            open_ = np.repeat(lowest < _NEVER, size)
+            done_word.append(word[~open_])
+            done_at.append(place[~open_])
+            done.append(tokens[~open_])
+            tokens, word, rank, place = tokens[open_], word[open_], rank[open_], place[open_]
+            if not len(tokens):
+                break
+            low = np.repeat(lowest, size)[open_]
+            hit = np.flatnonzero(rank == low)
+            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]]
+            tokens[hit] = self.made[rank[hit]]
+            keep = np.ones(len(tokens), bool)
+            keep[hit + 1] = False
+            moved = (np.cumsum(keep) - 1)[hit]
+            tokens, word, rank, place = tokens[keep], word[keep], rank[keep], place[keep]
+            for at in (moved, moved[moved > 0] - 1):
+                last = np.minimum(at + 1, len(word) - 1)
+                fits = (at + 1 < len(word)) & (word[last] == word[at])
+                rank[at] = np.where(fits, self.pair_rank(tokens[at], tokens[last]), _NEVER)
+        order = np.argsort(np.concatenate(done_at), kind="stable")
+        return np.concatenate(done)[order], np.bincount(np.concatenate(done_word), minlength=len(words))
 
     def merge(self, word: bytes) -> list[int]:
         """The merges themselves: always the lowest rank, leftmost first."""
@@ -176,27 +225,39 @@ class Vocabulary:
         return [t for t in tokens if t >= 0]
 
     def learn(self, hashes: list[int], words: list[bytes]) -> None:
-        guesses = [self.guess(w) for w in words]
-        counts = np.array([len(g) for g in guesses])
-        flat = np.fromiter((t for g in guesses for t in g), np.int64, int(counts.sum()))
+        flat, counts = self.guess(words)
         word = np.repeat(np.arange(len(words)), counts)
         inside = np.flatnonzero(word[1:] == word[:-1])
-        pairs, back = np.unique(flat[inside] << 32 | flat[inside + 1], return_inverse=True)
-        good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[back]
+        codes, pairs = pd.factorize(flat[inside] << 32 | flat[inside + 1])
+        good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[codes] if len(pairs) else np.ones(0, bool)
         failing = np.unique(word[inside[~good]])
         if len(failing):
-            for i in failing:
-                guesses[i] = self.merge(words[i])
-            counts = np.array([len(g) for g in guesses])
-            flat = np.fromiter((t for g in guesses for t in g), np.int64, int(counts.sum()))
-        while self.used + len(flat) > len(self.arena):
-            self.arena = np.r_[self.arena, np.zeros(len(self.arena), np.int32)]
+            long = np.array([len(words[i]) > _LONG for i in failing])
+            mended = [self.merge(words[i]) for i in failing[long]]
+            short, many = self.merge_all([words[i] for i in failing[~long]]) if not long.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            right = ~np.isin(np.arange(len(words)), failing)
+            order = np.concatenate([np.flatnonzero(right), failing[long], failing[~long]])
+            new = np.concatenate([flat[np.repeat(right, counts)], np.array([t for m in mended for t in m], np.int64), short])
+            sizes = np.concatenate([counts[right], np.array([len(m) for m in mended], np.int64), many])
+            back = np.argsort(order)
+            flat, counts = new[ragged((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
+        self.keep(flat, counts)
+        base = self.words - len(words)
+        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+
+    def keep(self, flat: np.ndarray, counts: np.ndarray) -> None:
+        """Remember the tokens of more words."""
+
+        def grown(held: np.ndarray, need: int) -> np.ndarray:
+            return held if need <= len(held) else np.r_[held, np.zeros(max(len(held), need - len(held)), held.dtype)]
+
+        self.arena = grown(self.arena, self.used + len(flat))
+        self.starts, self.counts = (grown(x, self.words + len(counts)) for x in (self.starts, self.counts))
         self.arena[self.used : self.used + len(flat)] = flat
-        base = len(self.starts)
-        self.starts.extend((self.used + np.cumsum(counts) - counts).tolist())
-        self.counts.extend(counts.tolist())
+        new = slice(self.words, self.words + len(counts))
+        self.starts[new], self.counts[new] = self.used + np.cumsum(counts) - counts, counts
         self.used += len(flat)
-        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        self.words += len(counts)
 
     # ------------------------------------------------------------ texts
 
@@ -257,19 +318,14 @@ class Vocabulary:
             for i in new:
                 slots[i] = self.known[listed[i]]
         slot = np.array(slots)[codes]
-        counts = np.array(self.counts)[slot]
-        ids = self.arena[ragged(np.array(self.starts)[slot], counts)]
+        counts = self.counts[slot]
+        ids = self.arena[ragged(self.starts[slot], counts)]
         doc = np.searchsorted(ends, start, side="right")
         return ids, np.bincount(doc, counts, len(texts)).astype(np.int64)
 
     def _special_slot(self, number: int) -> int:
-        if self.used == len(self.arena):
-            self.arena = np.r_[self.arena, np.zeros(len(self.arena), np.int32)]
-        self.arena[self.used] = self.special_ids[number]
-        self.starts.append(self.used)
-        self.counts.append(1)
-        self.used += 1
-        return len(self.starts) - 1
+        self.keep(np.array([self.special_ids[number]]), np.array([1]))
+        return self.words - 1
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; ids outside the vocabulary are left out, broken characters become U+FFFD."""

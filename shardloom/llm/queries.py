@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from shardloom.llm import jaccard_join, substring_dedup
+from shardloom.llm import bpe, decontaminate, jaccard_join, language, substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_bpe": bpe.op5_bpe,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_language_id": language.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.SQL,
+}
