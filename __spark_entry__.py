@@ -32,6 +32,14 @@ from shardloom.sources import dataset, metrics, shards  # noqa: E402
 from shardloom.streaming import batches as batch_streams  # noqa: E402
 from shardloom.streaming import prepare as prepare_streams  # noqa: E402
 
+try:  # both may be taken away; all else works without them
+    import corpus_pipeline
+    from shardloom.llm import queries as llm_queries
+except ModuleNotFoundError as error:
+    if not (error.name or "").startswith(("corpus_pipeline", "shardloom.llm")):
+        raise
+    corpus_pipeline = llm_queries = None
+
 SHARD_SIZE, BATCH, LENGTH, SEED = 10_000, 4, 128, 10
 TARGETS = {"train": 1_000_000, "val": 30_000}
 ACCUMULATION, TOTAL_STEPS, EPOCHS, DRAWN = 4, 1120, 3, 1000
@@ -400,7 +408,8 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name[2:]: made for name, made in globals().items() if name.startswith("q_")}
+    own = {name[2:]: made for name, made in globals().items() if name.startswith("q_")}
+    return own | (llm_queries.QUERIES | {"pipeline": corpus_pipeline.run} if llm_queries else {})
 
 
 # ---------------------------------------------------------------- SQL to check against
@@ -515,7 +524,7 @@ PACKED_BUDGET = f"""WITH {TAKEN}, {_tokens_sql('taken')}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return (llm_queries.SQL if llm_queries else {}) | {
         "document_scan": "SELECT doc_id, text FROM documents",
         "assign_split": f"WITH {DOCS} SELECT doc_id, bucket, split FROM docs",
         "split_filter": f"WITH {DOCS} SELECT d.doc_id, o.lang, d.split FROM docs d JOIN documents o ON o.doc_id = d.doc_id "
