@@ -18,11 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import load, map_arrow, stored
+from shardloom.llm.tables import MAP_BITS, bit_map, load, map_arrow, stored
 from shardloom.llm.words import ALNUM, mix, slabs, split_words
 
 WIDTH, PERCENT = 5, 80
-MAP_BITS = 23
 
 
 def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,18 +54,6 @@ def item_sketches(items: DataFrame, key: str, text: str, width: int, percent: in
     return map_arrow(rows, task, "item bigint, width int, q bigint, size_class int, h bigint, sketched boolean")
 
 
-def bit_map(values: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``h``: two bits a value, 1 MB in all."""
-    mask = (1 << MAP_BITS) - 1
-    bits = values.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", MAP_BITS).bitwiseAND(mask))).alias("bit"))
-    at = F.col("bit") + 1
-    parts = bits.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("data"))
-    out = np.zeros(1 << MAP_BITS, bool)
-    for row in parts.toLocalIterator():
-        out[(row.part - 1) << 15 : row.part << 15] = np.unpackbits(np.frombuffer(row.data, np.uint8), bitorder="little")
-    return out
-
-
 def contained_items(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
     width: int = WIDTH, percent: int = PERCENT,

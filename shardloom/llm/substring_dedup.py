@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import load, map_arrow, shuffle_partitions
+from shardloom.llm.tables import from_planes, load, map_arrow, planes, shuffle_partitions
 from shardloom.llm.words import SPACED, mix, ragged, slabs, split_words
 
 WIDTH = 20
@@ -32,16 +32,6 @@ PACKED = pa.schema([
 PACKED_DDL = "bucket int, hashes binary, keys binary, tags binary, counts binary, places binary, key bigint, tag bigint, starts binary"
 
 
-def planes(numbers: np.ndarray) -> bytes:
-    """Byte planes: first the lowest bytes of all numbers, then the next ones. High planes are mostly zero."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
-
-
-def from_planes(data: bytes, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
-
-
 def text_tags(texts: list[bytes]) -> np.ndarray:
     """Tells different texts of one key apart: 32 bits of a digest."""
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in texts], np.int64)

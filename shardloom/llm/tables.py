@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from shardloom.session import scratch, ship_code, shared_folder
 
 
+#: Bits of :func:`bit_map`, as a power of two.
+MAP_BITS = 23
+
+
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return rows.select(*columns) if columns else rows
@@ -38,16 +42,6 @@ def shuffle_partitions(rows: DataFrame, factor: float = 1.0) -> int:
     return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(splits * factor))
 
 
-def collect_cells(cells: DataFrame, size: int, dtype: type) -> np.ndarray:
-    """A sketch of fixed ``size`` summed by Spark, as an array. ``cells`` has ``block int, data binary``
-    parts that add up; no more than ``size`` numbers ever reach the driver."""
-    out = np.zeros(size, dtype)
-    for row in cells.toLocalIterator():
-        part = np.frombuffer(row.data, dtype)
-        out[row.block * len(part) : (row.block + 1) * len(part)] = part
-    return out
-
-
 def components(edges: DataFrame, left: str = "a", right: str = "b", limit: int = 60) -> DataFrame:
     """Connected components of an undirected graph: ``node``, ``root`` (its smallest node), for every node
     of an edge. Each round lets larger neighbours point at the smallest one, then smaller ones (large-star,
@@ -73,3 +67,29 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", limit: int =
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
 
+
+def bit_map(values: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``h``: two bits a value, 1 MB in all."""
+    mask = (1 << MAP_BITS) - 1
+    bits = values.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", MAP_BITS).bitwiseAND(mask))).alias("bit"))
+    at = F.col("bit") + 1
+    parts = bits.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("data"))
+    out = np.zeros(1 << MAP_BITS, bool)
+    for row in parts.toLocalIterator():
+        out[(row.part - 1) << 15 : row.part << 15] = np.unpackbits(np.frombuffer(row.data, np.uint8), bitorder="little")
+    return out
+
+
+def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    low, values = np.uint64((1 << MAP_BITS) - 1), values.view(np.uint64)
+    return bits[(values & low).astype(np.int64)] & bits[((values >> np.uint64(MAP_BITS)) & low).astype(np.int64)]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Byte planes: first the lowest bytes of all numbers, then the next ones. High planes are mostly zero."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+
+
+def from_planes(data: bytes, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(dtype).ravel()
