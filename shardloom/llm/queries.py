@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from shardloom.llm import bpe, decontaminate, jaccard_join, language, substring_dedup
+from shardloom.llm import bpe, decontaminate, jaccard_join, language, sharding, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_sharding": sharding.op4_sharding,
     "op5_bpe": bpe.op5_bpe,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_token_files": token_files.op8_token_files,
     "op9_language_id": language.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
 }
