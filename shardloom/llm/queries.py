@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from shardloom.llm import bpe, decontaminate, jaccard_join, language, sharding, substring_dedup, token_files, url_filter
+from shardloom.llm import bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_nearest": nearest.op2_nearest,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_sharding": sharding.op4_sharding,
     "op5_bpe": bpe.op5_bpe,
     "op6_url_filter": url_filter.op6_url_filter,
