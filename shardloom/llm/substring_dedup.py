@@ -21,15 +21,49 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.tables import from_planes, load, map_arrow, planes, shuffle_partitions
-from shardloom.llm.words import SPACED, mix, ragged, slabs, split_words
+from shardloom.llm.words import SPACED, mix, slabs, split_words
 
 WIDTH = 20
 _NO_KEY = np.iinfo(np.int64).min
 PACKED = pa.schema([
-    ("bucket", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("tags", pa.binary()), ("counts", pa.binary()),
-    ("places", pa.binary()), ("key", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary()),
+    ("bucket", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("tags", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()),
 ])
-PACKED_DDL = "bucket int, hashes binary, keys binary, tags binary, counts binary, places binary, key bigint, tag bigint, starts binary"
+PACKED_DDL = "bucket int, hashes binary, keys binary, tags binary, counts binary, places binary"
+
+
+def pack(bucket, hashes, keys, tags, places):
+    """One row for each bucket, of entries ordered by bucket, key, tag and place. ``hashes`` may be None."""
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
+        k, t, p = keys[a:b], tags[a:b], places[a:b]
+        new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
+        row = [
+            int(bucket[a]), None if hashes is None else hashes[a:b].tobytes(), planes(np.diff(k[new], prepend=np.int64(0))), planes(t[new].astype(np.uint32)),
+            planes(np.diff(np.r_[new, b - a]).astype(np.uint32)), planes(np.diff(p, prepend=0).astype(np.int32)),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PACKED, strict=True)], schema=PACKED)
+
+
+def unpack(held: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, tags and places of the entries of several rows."""
+    counts = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in held]
+    keys = np.concatenate([np.repeat(np.cumsum(from_planes(r["keys"], np.int64)), c) for r, c in zip(held, counts, strict=True)])
+    tags = np.concatenate([np.repeat(from_planes(r["tags"], np.uint32).astype(np.int64), c) for r, c in zip(held, counts, strict=True)])
+    return keys, tags, np.concatenate([np.cumsum(from_planes(r["places"], np.int32)) for r in held])
+
+
+def grouped(batches, keep):
+    """Rows of a task, sorted by bucket, as one list for each bucket; ``keep`` gives the rows of a batch to take."""
+    held, bucket = [], None
+    for batch in batches:
+        for row in keep(batch).to_pylist():
+            if row["bucket"] != bucket and held:
+                yield held
+                held = []
+            bucket = row["bucket"]
+            held.append(row)
+    if held:
+        yield held
 
 
 def text_tags(texts: list[bytes]) -> np.ndarray:
@@ -37,19 +71,11 @@ def text_tags(texts: list[bytes]) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in texts], np.int64)
 
 
-def _by_text(keys, tags, starts) -> pa.RecordBatch | None:
-    """Rows of starts, one for each text; input in any order."""
-    if not len(keys):
-        return None
-    order = np.lexsort((starts, tags, keys))
-    keys, tags, starts = keys[order], tags[order], starts[order].astype(np.int32)
-    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])])
-    offsets = np.r_[new, len(keys)] * 4
-    data = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(starts)])
-    none = pa.nulls(len(new), pa.binary())
-    # Spread over the buckets by text, as these rows only pass through.
-    bucket = pa.array((mix(keys[new].view(np.uint64)) >> np.uint64(40)).astype(np.int32))
-    return pa.RecordBatch.from_arrays([bucket, none, none, none, none, none, pa.array(keys[new]), pa.array(tags[new]), data], schema=PACKED)
+def _by_text(keys, tags, starts, buckets: int):
+    """Packed rows of starts, bucketed by text; input in any order."""
+    bucket = (mix(keys.view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(20))) >> np.uint64(33)).astype(np.int64) % buckets
+    order = np.lexsort((starts, tags, keys, bucket))
+    yield from pack(bucket[order], None, keys[order], tags[order], starts[order])
 
 
 def _repeats(hashes, keys, tags, places) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +97,7 @@ def _repeats(hashes, keys, tags, places) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key, tag, starts``: windows (first words as 32-bit numbers) that also start earlier; several rows a text."""
+    """``key, tag, starts``: windows (first words as 32-bit numbers, ascending) that also start earlier; a row for each text with any."""
     buckets = shuffle_partitions(docs, 2.0)
 
     def scan(batches):
@@ -83,52 +109,40 @@ def repeated_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFr
             doc_keys, doc_tags = rest.column(0).combine_chunks().fill_null(_NO_KEY).to_numpy(), text_tags(texts)
             doc, places = slab.doc[begin], begin - slab.first[slab.doc[begin]]
             first, later = _repeats(hashes, doc_keys[doc], doc_tags[doc], places)
-            found = _by_text(doc_keys[doc[later]], doc_tags[doc[later]], places[later])
-            if found:
-                yield found
+            yield from _by_text(doc_keys[doc[later]], doc_tags[doc[later]], places[later], buckets)
             bucket = (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)).astype(np.int64) % buckets
             first = first[np.lexsort((first, bucket[first]))]
-            cuts = np.flatnonzero(np.r_[True, np.diff(bucket[first]) != 0])
-            for a, b in zip(cuts, np.r_[cuts[1:], len(first)], strict=True):
-                at = first[a:b]
-                in_doc = doc[at]
-                new = np.flatnonzero(np.r_[True, in_doc[1:] != in_doc[:-1]])
-                row = [
-                    int(bucket[at[0]]), hashes[at].tobytes(), planes(np.diff(doc_keys[in_doc[new]], prepend=np.int64(0))),
-                    planes(doc_tags[in_doc[new]].astype(np.uint32)), planes(np.diff(np.r_[new, len(at)]).astype(np.uint32)),
-                    planes(np.diff(places[at], prepend=0).astype(np.int32)), None, None, None,
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PACKED, strict=True)], schema=PACKED)
-
-    def settle(held: list[dict]):
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held])
-        counts = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in held]
-        keys = np.concatenate([np.repeat(np.cumsum(from_planes(r["keys"], np.int64)), c) for r, c in zip(held, counts, strict=True)])
-        tags = np.concatenate([np.repeat(from_planes(r["tags"], np.uint32).astype(np.int64), c) for r, c in zip(held, counts, strict=True)])
-        places = np.concatenate([np.cumsum(from_planes(r["places"], np.int32)) for r in held])
-        later = _repeats(hashes, keys, tags, places)[1]
-        return _by_text(keys[later], tags[later], places[later])
+            yield from pack(bucket[first], hashes[first], doc_keys[doc[first]], doc_tags[doc[first]], places[first])
 
     def join(batches):
-        held, bucket = [], None
-        for batch in batches:
-            through = batch.filter(batch.column("starts").is_valid())
-            if through.num_rows:
-                yield through
-            for row in batch.filter(batch.column("hashes").is_valid()).to_pylist():
-                if row["bucket"] != bucket and held:
-                    found = settle(held)
-                    held = []
-                    if found:
-                        yield found
-                bucket = row["bucket"]
-                held.append(row)
-        if held and (found := settle(held)):
-            yield found
+        passing = []
+
+        def keep(batch):
+            passing.append(batch.filter(batch.column("hashes").is_null()))
+            return batch.filter(batch.column("hashes").is_valid())
+
+        for held in grouped(batches, keep):
+            yield from passing
+            passing.clear()
+            keys, tags, places = unpack(held)
+            later = _repeats(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in held]), keys, tags, places)[1]
+            yield from _by_text(keys[later], tags[later], places[later], buckets)
+        yield from passing
+
+    def gather(batches):
+        for held in grouped(batches, lambda batch: batch):
+            keys, tags, starts = unpack(held)
+            order = np.lexsort((starts, tags, keys))
+            keys, tags, starts = keys[order], tags[order], starts[order].astype(np.int32)
+            new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])])
+            offsets = (np.r_[new, len(keys)] * 4).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(starts)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(tags[new]), data], names=["key", "tag", "starts"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), text)
-    placed = map_arrow(rows, scan, PACKED_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return map_arrow(placed, join, PACKED_DDL).select("key", "tag", "starts")
+    places = map_arrow(rows, scan, PACKED_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    texts = map_arrow(places, join, PACKED_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return map_arrow(texts, gather, "key bigint, tag bigint, starts binary")
 
 
 def covered_words(counts: np.ndarray, starts: list[bytes | None], width: int) -> np.ndarray:
@@ -145,10 +159,7 @@ def covered_words(counts: np.ndarray, starts: list[bytes | None], width: int) ->
 
 def with_starts(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """``docs`` and a column ``_starts``: all removed windows of the text, null for none."""
-    found = repeated_windows(docs, key, text, width)
-    own = found.groupBy("key", "tag").agg(F.collect_list("starts").alias("parts"))
-    joined = own.select("key", "tag", F.reduce("parts", F.lit(b""), lambda a, b: F.concat(a, b)).alias("starts"))
-
+    joined = repeated_windows(docs, key, text, width)
     names = [f.name for f in docs.schema]
     side = joined.select(F.col("key").alias("_k"), F.col("tag").alias("_t"), F.col("starts").alias("_starts"))
 
