@@ -30,7 +30,7 @@ from shardloom.llm.words import _Powers, mix, prefix_hash, ragged, range_hash, s
 VOCABULARY = "byte_bpe_50k.json"
 SLAB = 2 << 20
 _NEVER, _LONG = 1 << 40, 64
-REMEMBERED = 1 << 20  # words a worker remembers before it forgets all; results do not depend on it
+REMEMBERED = 1 << 18  # words a worker remembers before it forgets all; results do not depend on it
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 _SPECIAL_AT = 0x110000  # code points from here on stand for special tokens
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -415,32 +415,34 @@ def decode_ids(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
     return map_arrow(rows.select(F.col(key).alias("key"), ids), task, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def token_report(encoded: DataFrame, key: str = "doc_id", path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """Per row of :func:`encode_texts`: ``n_tokens``, ``ids_sha256`` (ids as little-endian 32-bit numbers) and
-    ``decoded_sha256`` of the text that the ids decode to."""
+def token_report(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """Encode, then decode the ids again. Per row: ``key``, ``n_tokens``, ``ids_sha256`` (ids as little-endian 32-bit numbers),
+    ``decoded_sha256`` of the text that the ids decode to, and ``ids`` if asked for. Both steps run in one Python task, so that
+    one worker holds the vocabulary. Nulls, repeats and other columns as in :func:`encode_texts`."""
 
     def task(batches):
         words = vocabulary(path)
-        for batch in batches:
-            ids, counts = _lists(batch.column(1))
-            texts = words.decode(ids, counts)
+        for rest, texts in slabs(batches, text, SLAB):
+            ids, counts = words.encode(texts)
             raw, at = ids.astype("<u4").tobytes(), (4 * np.r_[0, np.cumsum(counts)]).tolist()
             out = {
-                "key": batch.column(0), "n_tokens": counts.astype(np.int64),
+                "key": rest.column(0), "n_tokens": counts,
                 "ids_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
-                "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in texts],
+                "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in words.decode(ids, counts)],
             }
-            yield pa.RecordBatch.from_pydict(out | ({"ids": batch.column(1)} if keep_ids else {}))
+            if keep_ids:
+                out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
+            yield from pa.table(out).to_batches()
 
-    kind = encoded.schema[key].dataType.simpleString()
+    kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return map_arrow(encoded.select(F.col(key).alias("key"), "ids"), task, schema).withColumnRenamed("key", key)
+    return map_arrow(docs.select(F.col(key).alias("key"), text), task, schema).withColumnRenamed("key", key)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_report(encode_texts(load(spark, sf_dir, "documents", "doc_id", "text")))
+    return token_report(load(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as token ids, with the digests that show that they decode to the text."""
-    return token_report(encode_texts(docs), keep_ids=True)
+    return token_report(docs, keep_ids=True)

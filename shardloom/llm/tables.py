@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from shardloom.session import scratch, ship_code, shared_folder
 
 
+BATCH_BYTES, _BATCH_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Bits of :func:`bit_map`, as a power of two.
 MAP_BITS = 23
 
@@ -29,8 +30,12 @@ def stored(rows: DataFrame, label: str) -> DataFrame:
 
 
 def map_arrow(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` whose code travels with the plan."""
-    shared_folder(rows.sparkSession)
+    """``mapInArrow`` whose code travels with the plan, in batches bounded by bytes: long texts make short batches."""
+    spark = rows.sparkSession
+    shared_folder(spark)
+    held = spark.conf.get(_BATCH_BYTES, None) or ""
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     ship_code()
     return rows.mapInArrow(task, schema)
 

@@ -24,11 +24,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.bpe import encode_texts
+from shardloom.llm.bpe import SLAB, vocabulary
 from shardloom.llm.tables import load, map_arrow, shuffle_partitions, stored
+from shardloom.llm.words import slabs
 from shardloom.session import scratch
 from shardloom.sources.files import arrow_fs
 
+PACKED = "part int, key bigint, data binary"
 MAGIC, CHUNK, LEVEL = b"SLBITPL1", 1 << 16, 1
 _NO_KEY = np.iinfo(np.int64).min
 
@@ -135,25 +137,46 @@ def read_file(fs, path: str, batch: int = 1 << 20):
                 held, have, done, doc = [ids[used:]], have - used, done + used, upto
 
 
-def write_token_files(tokens: DataFrame, folder: str, parts: int, bounds: list[int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """Write ``key, ids`` to ``folder`` in key order (null keys first, ties by ids) and return one row for each file:
-    ``part, name, documents, tokens, bytes``. ``bounds``: ascending keys at which a new part begins."""
-    arrow_fs(folder)[0].create_dir(arrow_fs(folder)[1], recursive=True)
+def _packed(keys: pa.Array, lists: list[np.ndarray], bounds: list[int]) -> pa.RecordBatch:
+    """Part, key and ids of documents; ids take two bytes each where all of a document's fit, behind a byte that says so."""
+    data = []
+    for x in lists:
+        small = not len(x) or int(x.max()) < 1 << 16
+        data.append((b"\x02" if small else b"\x04") + x.astype("<u2" if small else "<u4").tobytes())
+    keys = (keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys).fill_null(_NO_KEY)
+    part = np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(), side="right")
+    return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "key": keys, "data": pa.array(data, pa.binary())})
+
 
-    def pack(batches):
+def pack_ids(tokens: DataFrame, bounds: list[int], key: str = "doc_id", ids: str = "ids") -> DataFrame:
+    """Rows for :func:`write_packed` from lists of ids; ``bounds`` are ascending keys at which a new part begins."""
+
+    def task(batches):
         for batch in batches:
             column = batch.column(1)
-            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64)
-            at = at - at[0]
-            # Two bytes each where a row's ids fit, behind a byte that says so.
-            data = []
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                x = flat[a:b]
-                small = not len(x) or int(x.max()) < 1 << 16
-                data.append((b"\x02" if small else b"\x04") + x.astype("<u2" if small else "<u4").tobytes())
-            keys = batch.column(0).fill_null(_NO_KEY)
-            part = np.searchsorted(np.array(bounds, np.int64), keys.to_numpy(), side="right")
-            yield pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "key": keys, "data": pa.array(data, pa.binary())})
+            flat, at = column.flatten().to_numpy(), column.offsets.to_numpy().astype(np.int64) - column.offsets[0].as_py()
+            yield _packed(batch.column(0), [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], bounds)
+
+    return map_arrow(tokens.select(F.col(key).cast("bigint").alias("key"), ids), task, PACKED)
+
+
+def pack_texts(docs: DataFrame, bounds: list[int], key: str, text: str, end: int, path: str | None) -> DataFrame:
+    """The same from texts, encoded on the way, each with ``end`` behind it."""
+
+    def task(batches):
+        words = vocabulary(path)
+        for rest, texts in slabs(batches, text, SLAB):
+            ids, counts = words.encode(texts)
+            at = np.r_[0, np.cumsum(counts)]
+            yield _packed(rest.column(0), [np.append(ids[a:b], end) for a, b in zip(at[:-1], at[1:], strict=True)], bounds)
+
+    return map_arrow(docs.select(F.col(key).cast("bigint").alias("key"), text), task, PACKED)
+
+
+def write_packed(packed: DataFrame, folder: str, parts: int) -> DataFrame:
+    """Write packed rows to ``folder`` in key order (null keys first, ties by ids) and return one row for each file:
+    ``part, name, documents, tokens, bytes``."""
+    arrow_fs(folder)[0].create_dir(arrow_fs(folder)[1], recursive=True)
 
     def write(batches):
         file, part = None, None
@@ -176,7 +199,6 @@ def write_token_files(tokens: DataFrame, folder: str, parts: int, bounds: list[i
         if file:
             yield closed()
 
-    packed = map_arrow(tokens.select(F.col(key).cast("bigint").alias("key"), ids), pack, "part int, key bigint, data binary")
     placed = packed.repartition(parts, "part").sortWithinPartitions("part", "key", "data")
     return stored(map_arrow(placed, write, "part int, name string, documents bigint, tokens bigint, bytes bigint"), "files")
 
@@ -203,8 +225,7 @@ def tokens_to_files(docs: DataFrame, folder: str, key: str = "doc_id", text: str
     """Encode all texts, add ``end`` to each, and write them. Null and empty texts are the end id alone. Returns the files."""
     parts = shuffle_partitions(docs)
     cuts = docs.agg(F.percentile_approx(F.col(key).cast("bigint"), [i / parts for i in range(1, parts)], 20 * parts).alias("q")).first().q if parts > 1 else []
-    encoded = encode_texts(docs, key, text, path).withColumn("ids", F.array_append("ids", F.lit(end)))
-    return write_token_files(encoded, folder, parts, sorted(set(cuts or [])), key)
+    return write_packed(pack_texts(docs, sorted(set(cuts or [])), key, text, end, path), folder, parts)
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
