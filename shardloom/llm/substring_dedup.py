@@ -33,7 +33,9 @@ PACKED_DDL = "bucket int, hashes binary, keys binary, tags binary, counts binary
 
 def pack(bucket, hashes, keys, tags, places):
     """One row for each bucket, of entries ordered by bucket, key, tag and place. ``hashes`` may be None."""
-    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+    if not len(bucket):
+        return
+    cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
     for a, b in zip(cuts, np.r_[cuts[1:], len(bucket)], strict=True):
         k, t, p = keys[a:b], tags[a:b], places[a:b]
         new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
