@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import MAP_BITS, bit_map, load, map_arrow, stored
+from shardloom.llm.tables import MAP_BITS, bit_map, free_name, load, map_arrow, stored
 from shardloom.llm.words import ALNUM, mix, slabs, split_words
 
 WIDTH, PERCENT = 5, 80
@@ -122,8 +122,9 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; all others stay, null and empty ones among them."""
     found = contained_items(docs, load(spark, sf_dir, "benchmark", "item_id", "text"))
-    bad = found.select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = free_name(docs, "_bad")
+    bad = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 _WORDS = r"regexp_extract_all(translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

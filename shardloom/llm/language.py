@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import load, map_arrow
+from shardloom.llm.tables import free_name, load, map_arrow
 from shardloom.llm.words import ALNUM, slabs
 
 CELLS, BLOCK = 1 << 16, 1 << 12
@@ -198,8 +198,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The decision is on the whole text, so rows that share a ``doc_id`` are decided by ``doc_id`` and text together.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("k"), "text")
-    found = predict_languages(keyed, labelled, key="k")
-    gone = found.where(F.col("lang_pred") == UNKNOWN).select("k").distinct()
     k = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    return docs.join(gone, k.eqNullSafe(F.col("k")), "left_anti")
+    found = predict_languages(docs.select(k.alias("k"), "text"), labelled, key="k")
+    name = free_name(docs, "_gone")
+    gone = found.where(F.col("lang_pred") == UNKNOWN).select(F.col("k").alias(name)).distinct()
+    return docs.join(gone, k.eqNullSafe(F.col(name)), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import from_planes, load, map_arrow, planes, shuffle_partitions
+from shardloom.llm.tables import free_name, from_planes, load, map_arrow, planes, shuffle_partitions
 from shardloom.llm.words import SPACED, mix, slabs, split_words
 
 WIDTH = 20
@@ -160,21 +160,22 @@ def covered_words(counts: np.ndarray, starts: list[bytes | None], width: int) ->
 
 
 def with_starts(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``docs`` and a column ``_starts``: all removed windows of the text, null for none."""
+    """``docs`` and a last column, ``_starts`` or the like: all removed windows of the text, null for none."""
+    k, t, mark, starts = (free_name(docs, n) for n in ("_k", "_t", "_tag", "_starts"))
     joined = repeated_windows(docs, key, text, width)
     names = [f.name for f in docs.schema]
-    side = joined.select(F.col("key").alias("_k"), F.col("tag").alias("_t"), F.col("starts").alias("_starts"))
+    side = joined.select(F.col("key").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
 
     def tag(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
             arrays = [*batch.columns, pa.array(text_tags(texts))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "_tag"])
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, mark])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = map_arrow(docs, tag, f"{fields}, _tag bigint")
-    same = F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col("_k")
-    return tagged.join(side, same & (F.col("_tag") == F.col("_t")), "left").select(*[F.col(f"`{n}`") for n in names], "_starts")
+    tagged = map_arrow(docs, tag, f"{fields}, {mark} bigint")
+    same = F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col(k)
+    return tagged.join(side, same & (F.col(mark) == F.col(t)), "left").select(*[F.col("`" + n.replace("`", "``") + "`") for n in names], starts)
 
 
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -222,7 +223,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     def task(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text)
-            texts, starts = batch.column(at).cast(pa.binary()).to_pylist(), batch.column("_starts").to_pylist()
+            texts, starts = batch.column(at).cast(pa.binary()).to_pylist(), batch.columns[-1].to_pylist()
             for i, data in enumerate(starts):
                 if data:
                     slab = split_words([texts[i]], SPACED, lower=False, hashed=False)
@@ -234,8 +235,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
                         keep.append(texts[i][last : slab.end[a - 1] if a else slab.start[0]])
                         last = slab.end[b - 1]
                     texts[i] = b"".join([*keep, texts[i][last:]])
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if j == at else c for j, c in enumerate(batch.columns) if batch.schema.names[j] != "_starts"]
-            yield pa.RecordBatch.from_arrays(columns, names=[n for n in batch.schema.names if n != "_starts"])
+            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if j == at else c for j, c in enumerate(batch.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
     return map_arrow(with_starts(docs, key, text, width), task, fields)

@@ -21,6 +21,14 @@ def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFram
     return rows.select(*columns) if columns else rows
 
 
+def free_name(rows: DataFrame, name: str) -> str:
+    """``name``, or one with more underscores, that no column of ``rows`` has."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def stored(rows: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and the rows are computed once."""
     spark = rows.sparkSession
