@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from shardloom.llm import bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, url_filter
+from shardloom.llm import (
+    bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, url_filter, vector_codes,
+)
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,8 +17,10 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_language_id": language.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
