@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from shardloom.llm import (
-    bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, url_filter, vector_codes,
+    bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, trie, url_filter,
+    vector_codes,
 )
 
 QUERIES = {
@@ -17,10 +18,12 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_language_id": language.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op11_prefix_trie": trie.op11_prefix_trie,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.SQL,
+    "op11_prefix_trie": trie.SQL,
     "op13_vector_codes": vector_codes.SQL,
 }
