@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from shardloom.llm import (
-    bpe, decontaminate, jaccard_join, language, licenses, nearest, sharding, substring_dedup, token_files, trie, url_filter,
-    vector_codes,
+    bpe, decontaminate, jaccard_join, language, licenses, nearest, quality, sharding, substring_dedup, token_files, trie,
+    url_filter, vector_codes,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op9_language_id": language.op9_language_id,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op11_prefix_trie": trie.op11_prefix_trie,
+    "op12_quality": quality.op12_quality,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
 
