@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from shardloom.functions.names import index_from_name, shard_name, split_from_name  # noqa: E402
-from shardloom.functions.schedule import tokens_seen  # noqa: E402
+from shardloom.functions.schedule import learning_rate, tokens_seen  # noqa: E402
+from shardloom.functions.shuffle import PRIME, ROUNDS  # noqa: E402
 from shardloom.functions.splits import assign_split, hash_bucket  # noqa: E402
-from shardloom.functions.tokenizers import BpeTokenizer, ByteTokenizer  # noqa: E402
+from shardloom.functions.tokenizers import BpeTokenizer, ByteTokenizer, fits_two_bytes  # noqa: E402
 from shardloom.operators import checks, runlog, windows  # noqa: E402
 from shardloom.operators.offsets import (  # noqa: E402
     apply_budget, count_tokens, counted_documents, split_totals, token_offsets, tokenize,
@@ -27,21 +28,21 @@ from shardloom.operators.offsets import (  # noqa: E402
 from shardloom.operators.ordered import range_blocks, running_sums  # noqa: E402
 from shardloom.operators.packing import pack_documents  # noqa: E402
 from shardloom.plans import epochs, state, steps  # noqa: E402
-from shardloom.session import scratch  # noqa: E402
+from shardloom.session import scratch, ship_code  # noqa: E402
 from shardloom.sources import dataset, metrics, shards  # noqa: E402
+from shardloom.sources.files import DriverFiles, arrow_fs  # noqa: E402
 from shardloom.streaming import batches as batch_streams  # noqa: E402
 from shardloom.streaming import prepare as prepare_streams  # noqa: E402
 
-try:  # both may be taken away; all else works without them
+try:  # both may be taken away, or a library that only they use be missing; all else works without them
     import corpus_pipeline
     from shardloom.llm import queries as llm_queries
-except ModuleNotFoundError as error:
-    if not (error.name or "").startswith(("corpus_pipeline", "shardloom.llm")):
-        raise
+except ImportError as error:
+    print(f"without the training-data operators: {error}", file=sys.stderr)
     corpus_pipeline = llm_queries = None
 
 SHARD_SIZE, BATCH, LENGTH, SEED = 10_000, 4, 128, 10
-TARGETS = {"train": 1_000_000, "val": 30_000}
+TARGETS, PREPARED = {"train": 1_000_000, "val": 30_000}, {"train": 200_000, "val": 5_000}
 ACCUMULATION, TOTAL_STEPS, EPOCHS, DRAWN = 4, 1120, 3, 1000
 LOG_INTERVAL, EVAL_INTERVAL, EVAL_STEPS, CHECKPOINT_INTERVAL = 10, 20, 5, 200
 BYTES = ByteTokenizer()
@@ -58,35 +59,41 @@ def digest(column: str):
     return F.sha2(F.array_join(F.col(column).cast("array<string>"), ","), 256)
 
 
+def counted(spark, sf_dir) -> DataFrame:
+    return counted_documents(documents(spark, sf_dir), BYTES)
+
+
 def offsets(spark, sf_dir) -> DataFrame:
-    return token_offsets(counted_documents(documents(spark, sf_dir), BYTES))
+    return token_offsets(counted(spark, sf_dir))
 
 
 def taken(spark, sf_dir) -> DataFrame:
     return apply_budget(offsets(spark, sf_dir), TARGETS)
 
 
-def totals(spark, sf_dir) -> DataFrame:
+def budget_totals(spark, sf_dir) -> DataFrame:
     return split_totals(taken(spark, sf_dir), SHARD_SIZE, TARGETS)
 
 
+def totals(spark, sf_dir) -> DataFrame:
+    """Totals of the whole corpus, which also tell its shards and batches."""
+    return split_totals(counted(spark, sf_dir), SHARD_SIZE)
+
+
 def layout(spark, sf_dir) -> DataFrame:
-    """Shards of the budgeted data set, without their tokens."""
     return epochs.shard_layout(totals(spark, sf_dir), SHARD_SIZE)
 
 
-def whole_layout(spark, sf_dir) -> DataFrame:
-    """Shards of the whole corpus, without their tokens."""
-    counted = counted_documents(documents(spark, sf_dir), BYTES)
-    return epochs.shard_layout(split_totals(counted, SHARD_SIZE), SHARD_SIZE)
+def packed(spark, sf_dir) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), BYTES, SHARD_SIZE)
 
 
-def budgeted(spark, sf_dir) -> DataFrame:
-    return pack_documents(documents(spark, sf_dir), BYTES, SHARD_SIZE, targets=TARGETS)
+def plan(spark, sf_dir, count: int = EPOCHS) -> DataFrame:
+    return epochs.total_plan(totals(spark, sf_dir), SHARD_SIZE, BATCH, LENGTH, SEED, count)
 
 
-def plan(spark, sf_dir, count: int = EPOCHS) -> DataFrame:
-    return epochs.epoch_plan(layout(spark, sf_dir), BATCH, LENGTH, SEED, count)
+def order(spark, sf_dir, split: str = "train") -> epochs.EpochOrder:
+    return epochs.EpochOrder.of_totals(totals(spark, sf_dir), split, SHARD_SIZE, BATCH, LENGTH, SEED)
 
 
 def steps_of(spark, sf_dir) -> DataFrame:
@@ -95,26 +102,21 @@ def steps_of(spark, sf_dir) -> DataFrame:
 
 
 def updates(spark, sf_dir) -> DataFrame:
-    return steps.update_steps(steps_of(spark, sf_dir), total_steps=TOTAL_STEPS)
+    batches = EPOCHS * order(spark, sf_dir).per_epoch
+    return steps.counted_updates(spark, batches, ACCUMULATION, BATCH, LENGTH, TOTAL_STEPS, total_steps=TOTAL_STEPS)
 
 
-def stored_shards(spark, sf_dir) -> DataFrame:
-    """The budgeted data set as a table, for queries that read shard sizes several times."""
-    path = scratch(spark, "table")
-    shards.write_shards(budgeted(spark, sf_dir), path, "parquet")
-    return shards.read_shards(spark, path, format="parquet")
+def written_set(spark, sf_dir) -> str:
+    """The whole corpus as shard files with their manifest."""
+    path = scratch(spark, "shards")
+    dataset.write_dataset(packed(spark, sf_dir), path, SHARD_SIZE, None, "documents", "all", BYTES.name)
+    return path
 
 
 def with_digests(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.select(*keys, digest("inputs").alias("inputs_sha"), digest("targets").alias("targets_sha"))
 
 
-def written_shards(spark, sf_dir) -> str:
-    path = scratch(spark, "shards")
-    shards.write_shards(budgeted(spark, sf_dir), path)
-    return path
-
-
 def run_log(spark, sf_dir) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     rows = events.select(
@@ -187,60 +189,139 @@ def q_token_budget(spark, sf_dir):
 
 
 def q_split_totals(spark, sf_dir):
-    return totals(spark, sf_dir)
+    return budget_totals(spark, sf_dir)
 
 
 def q_dataset_manifest(spark, sf_dir):
-    return dataset.manifest_row(totals(spark, sf_dir), SHARD_SIZE, TARGETS, "documents", "all", BYTES.name)
+    return dataset.manifest_row(budget_totals(spark, sf_dir), SHARD_SIZE, TARGETS, "documents", "all", BYTES.name)
+
+
+def q_prepared_dataset(spark, sf_dir):
+    """The whole preparation: early stop, budget, shards and the manifest, as its file and its shards tell."""
+    path = scratch(spark, "prepared")
+    dataset.prepare_dataset(documents(spark, sf_dir), path, BYTES, SHARD_SIZE, PREPARED, first_wave=16)
+    written = spark.read.option("multiLine", True).json(f"{path}/manifest.json")
+    found = shards.read_shards(spark, path).agg(F.count("*").alias("files"), F.sum("token_count").alias("tokens"))
+    return _one_row(written, found)
+
+
+def q_budget_shortfall(spark, sf_dir):
+    """A corpus that cannot meet its budget: what is missing, and that nothing was written."""
+    path, targets = scratch(spark, "short"), {s: 10**12 for s in TARGETS}
+    try:
+        dataset.prepare_dataset(documents(spark, sf_dir), path, BYTES, SHARD_SIZE, targets)
+    except dataset.Shortfall as error:
+        rows = [(s, t, error.reached[s], t - error.reached[s], DriverFiles(spark, path).exists()) for s, t in targets.items()]
+    return spark.createDataFrame(rows, "split string, target bigint, tokens bigint, missing bigint, written boolean")
+
+
+def q_write_once(spark, sf_dir):
+    """A complete set is left as it is, whatever is asked for; a folder that holds shards without a manifest is refused."""
+    complete, partial = written_set(spark, sf_dir), scratch(spark, "partial")
+    shards.write_shards(packed(spark, sf_dir).filter("split = 'val'"), partial)
+    rows = []
+    for case, path in (("complete", complete), ("partial", partial)):
+        try:
+            manifest = dataset.prepare_dataset(documents(spark, sf_dir), path, BYTES, 1, {"train": 1, "val": 1})
+            outcome = f"kept shards of {manifest['shard_size']}"
+        except RuntimeError:
+            outcome = "refused"
+        rows.append(shards.scan_headers(spark, path).agg(
+            F.lit(case).alias("case"), F.lit(outcome).alias("outcome"), F.count("*").alias("files"), F.sum("token_count").alias("tokens")
+        ))
+    return rows[0].unionAll(rows[1])
+
+
+def q_token_id_guard(spark, sf_dir):
+    """Ids moved up by 256 times a number of the document: which documents still fit two bytes."""
+    tokens = tokenize(documents(spark, sf_dir).withColumn("up", F.col("doc_id") % 300 * 256), BYTES)
+    moved = tokens.select("doc_id", F.transform(F.slice("tokens", F.lit(2), F.size("tokens")), lambda t: (t + F.col("up")).cast("int")).alias("ids"))
+    return moved.select("doc_id", F.size("ids").cast("bigint").alias("n_ids"), F.array_max("ids").alias("largest"), fits_two_bytes(F.col("ids")).alias("fits"))
 
 
 def q_pack_shards(spark, sf_dir):
-    packed = pack_documents(documents(spark, sf_dir), BYTES, SHARD_SIZE)
-    return packed.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
+    return packed(spark, sf_dir).select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
 
 
 def q_shard_write_roundtrip(spark, sf_dir):
-    read = shards.read_shards(spark, written_shards(spark, sf_dir))
+    read = shards.read_shards(spark, written_set(spark, sf_dir))
     return read.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
 
 
 def q_shard_table_roundtrip(spark, sf_dir):
-    read = stored_shards(spark, sf_dir)
+    path = scratch(spark, "table")
+    shards.write_shards(packed(spark, sf_dir), path, "parquet")
+    read = shards.read_shards(spark, path, format="parquet")
     return read.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
 
 
 def q_shard_header_scan(spark, sf_dir):
-    return shards.scan_headers(spark, written_shards(spark, sf_dir))
+    return shards.scan_headers(spark, written_set(spark, sf_dir))
 
 
 def q_shard_discovery(spark, sf_dir):
-    return shards.scan_headers(spark, written_shards(spark, sf_dir), "train").select("shard_name", "split", "shard_index")
+    return shards.scan_headers(spark, written_set(spark, sf_dir), "train").select("shard_name", "split", "shard_index")
+
+
+def spoiled_set(spark, sf_dir) -> str:
+    """The whole corpus as shard files, of which six in seven are then broken in one way each, by number."""
+    path = written_set(spark, sf_dir)
+
+    def spoil(batches):
+        fs, folder = arrow_fs(path)
+        for batch in batches:
+            for name, index in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                file, way = f"{folder}/{name}", index % 7
+                with fs.open_input_file(file) as stream:
+                    raw = stream.read()
+                if way in (1, 2, 3):  # magic, version, count
+                    at = 4 * (way - 1)
+                    raw = raw[:at] + b"\0\0\0\0" + raw[at + 4 :]
+                elif way in (4, 5):  # payload, header
+                    raw = raw[: len(raw) - 1 if way == 4 else 1000]
+                if way == 6:
+                    fs.delete_file(file)
+                elif way:
+                    with fs.open_output_stream(file) as stream:
+                        stream.write(raw)
+            yield batch
+
+    ship_code()
+    names = layout(spark, sf_dir).select(shard_name(F.col("split"), F.col("shard_index")).alias("shard_name"), "shard_index")
+    names.mapInArrow(spoil, "shard_name string, shard_index int").write.format("noop").mode("overwrite").save()
+    return path
 
 
 def q_shard_validation(spark, sf_dir):
-    valid = shards.validate_shards(spark, written_shards(spark, sf_dir))
-    return valid.select("shard_name", "header_ok", "magic_ok", "version_ok", "count_ok", "payload_ok", "valid")
+    valid = shards.validate_shards(spark, spoiled_set(spark, sf_dir))
+    return valid.select("shard_name", "found_ok", "header_ok", "magic_ok", "version_ok", "count_ok", "payload_ok", "valid")
+
+
+def q_shard_faults(spark, sf_dir):
+    """Reading a set of which most files are broken: the others are read, and each broken one tells its fault."""
+    read = shards.read_shards(spark, spoiled_set(spark, sf_dir), faults=True)
+    return read.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"), "fault")
 
 
 def q_shard_names(spark, sf_dir):
-    named = whole_layout(spark, sf_dir).select(shard_name(F.col("split"), F.col("shard_index")).alias("shard_name"))
+    named = layout(spark, sf_dir).select(shard_name(F.col("split"), F.col("shard_index")).alias("shard_name"))
     name = F.col("shard_name")
     return named.select(name, split_from_name(name).alias("split"), index_from_name(name).alias("shard_index"))
 
 
 def q_undersized_shards(spark, sf_dir):
-    return windows.undersized_shards(whole_layout(spark, sf_dir), BATCH, LENGTH)
+    return windows.undersized_shards(layout(spark, sf_dir), BATCH, LENGTH)
 
 
 def q_missing_shards(spark, sf_dir):
     """A state saved on the whole corpus, restored on the budgeted data set."""
     name = shard_name(F.col("split"), F.col("shard_index")).alias("shard_name")
-    return checks.missing_shards(whole_layout(spark, sf_dir).select(name), layout(spark, sf_dir).select(name))
+    budgeted = epochs.shard_layout(budget_totals(spark, sf_dir), SHARD_SIZE)
+    return checks.missing_shards(layout(spark, sf_dir).select(name), budgeted.select(name))
 
 
 def q_token_windows(spark, sf_dir):
-    packed = pack_documents(documents(spark, sf_dir), BYTES, SHARD_SIZE)
-    rows = windows.token_windows(packed, BATCH, LENGTH)
+    rows = windows.token_windows(packed(spark, sf_dir), BATCH, LENGTH)
     return with_digests(rows, "split", "shard_index", "batch_in_shard", "row")
 
 
@@ -248,8 +329,13 @@ def q_epoch_plan(spark, sf_dir):
     return plan(spark, sf_dir)
 
 
+def q_epoch_plan_general(spark, sf_dir):
+    """The same plan by running sums over the sizes of the shards, as sets of uneven shards need."""
+    return epochs.epoch_plan(layout(spark, sf_dir), BATCH, LENGTH, SEED, EPOCHS)
+
+
 def q_epoch_plan_numpy(spark, sf_dir):
-    return epochs.epoch_plan(stored_shards(spark, sf_dir), BATCH, LENGTH, SEED, EPOCHS, mode="numpy")
+    return epochs.epoch_plan(layout(spark, sf_dir), BATCH, LENGTH, SEED, EPOCHS, mode="numpy")
 
 
 def q_batch_ordinals(spark, sf_dir):
@@ -257,19 +343,29 @@ def q_batch_ordinals(spark, sf_dir):
 
 
 def q_batches(spark, sf_dir):
-    rows = windows.batches(budgeted(spark, sf_dir), plan(spark, sf_dir, 1), BATCH, LENGTH)
-    return with_digests(rows, "split", "epoch", "ordinal", "row")
+    """An epoch of both splits, read by position from the files."""
+    path = written_set(spark, sf_dir)
+    train, val = (shards.read_batches(spark, path, split, BATCH, LENGTH, SEED) for split in ("train", "val"))
+    return with_digests(train.unionAll(val), "split", "epoch", "ordinal", "row")
+
+
+def q_table_batches(spark, sf_dir):
+    """The same from the table of shards, where a shard's batches are numbered without a join."""
+    table = packed(spark, sf_dir)
+    train, val = (epochs.batches_in_order(table, order(spark, sf_dir, split)) for split in ("train", "val"))
+    return with_digests(train.unionAll(val), "split", "epoch", "ordinal", "row")
 
 
 def q_eval_batches(spark, sf_dir):
-    val = plan(spark, sf_dir, 1).filter("split = 'val'")
-    rows = windows.batches(budgeted(spark, sf_dir), val, BATCH, LENGTH, end=EVAL_STEPS)
-    return with_digests(steps.eval_batches(rows, EVAL_STEPS), "split", "ordinal", "row")
+    """More validation batches than an epoch has: the next epoch's follow."""
+    val = order(spark, sf_dir, "val")
+    rows = steps.eval_batches(packed(spark, sf_dir), val, val.per_epoch + EVAL_STEPS)
+    return with_digests(rows, "split", "epoch", "ordinal", "row")
 
 
 def q_batch_export(spark, sf_dir):
-    val = plan(spark, sf_dir, 1).filter("split = 'val'")
-    rows = windows.export_batches(windows.batches(budgeted(spark, sf_dir), val, BATCH, LENGTH))
+    path = written_set(spark, sf_dir)
+    rows = windows.export_batches(shards.read_batches(spark, path, "train", BATCH, LENGTH, SEED))
     wide = rows.withColumns({"first_input": F.element_at("inputs", 1), "last_target": F.element_at("targets", -1)})
     return with_digests(wide, "ordinal", "row", "first_input", "last_target")
 
@@ -288,39 +384,42 @@ def q_lr_schedule(spark, sf_dir):
 
 
 def q_schedule_alignment(spark, sf_dir):
-    aligned = runlog.align_schedule(run_log(spark, sf_dir), updates(spark, sf_dir))
+    """Every record beside its plan. Runs of odd users were started with half the warmup, every third one with half the
+    accumulation; the log holds rates of six digits."""
+    log = run_log(spark, sf_dir)
+    user = F.col("run_id").cast("bigint")
+    rate = F.when(user % 2 == 1, learning_rate(F.col("step"), warmup_steps=50)).otherwise(learning_rate(F.col("step")))
+    seen = F.when(user % 3 == 0, F.call_function("div", F.col("tokens"), F.lit(2))).otherwise(F.col("tokens"))
+    log = log.withColumns({"learning_rate": F.round(rate, 6), "tokens": seen})
+    aligned = runlog.align_schedule(log, ACCUMULATION, BATCH, LENGTH)
     return aligned.select(
-        "run_id", "step", "train_loss", F.round("planned_rate", 12).alias("planned_rate"),
-        (F.col("tokens") - F.col("planned_tokens")).alias("token_drift"),
+        "run_id", "step", "train_loss", F.round("planned_rate", 12).alias("planned_rate"), F.round("rate_drift", 12).alias("rate_drift"), "token_drift"
     )
 
 
-def resumed(stored: DataFrame) -> tuple[DataFrame, int]:
-    """Save a state after ``DRAWN`` batches and restore it for what is left of ``EPOCHS`` epochs."""
-    saved = state.loader_state(stored, "train", BATCH, LENGTH, DRAWN, SEED)
-    saved = state.LoaderState.from_json(saved.to_json())
-    return state.resume_from(stored, saved, "train", BATCH, LENGTH, epochs=max(1, EPOCHS - saved.epoch))
+def resumed(spark, path: str) -> int:
+    """Save a state after ``DRAWN`` batches and restore it; the number of the batch that follows."""
+    sizes = shards.scan_headers(spark, path)
+    saved = state.loader_state(sizes, "train", BATCH, LENGTH, DRAWN, SEED)
+    _, following = state.resume_order(sizes, state.LoaderState.from_json(saved.to_json()), "train", BATCH, LENGTH)
+    return following
 
 
 def q_resume_batches(spark, sf_dir):
-    stored = stored_shards(spark, sf_dir)
-    order, following = resumed(stored)
-    rows = windows.batches(stored, order, BATCH, LENGTH, first=following)
+    path = written_set(spark, sf_dir)
+    end = EPOCHS * order(spark, sf_dir).per_epoch
+    rows = shards.read_batches(spark, path, "train", BATCH, LENGTH, SEED, resumed(spark, path), end)
     return with_digests(rows, "split", "epoch", "ordinal", "row")
 
 
 def q_resume_equivalence(spark, sf_dir):
-    stored = stored_shards(spark, sf_dir)
-    order, following = resumed(stored)
-    train = epochs.epoch_plan(stored, BATCH, LENGTH, SEED, EPOCHS).filter("split = 'train'")
+    path = written_set(spark, sf_dir)
+    end = EPOCHS * order(spark, sf_dir).per_epoch
 
-    def draw(of: DataFrame, **limits: int) -> DataFrame:
-        return with_digests(windows.batches(stored, of, BATCH, LENGTH, **limits), "epoch", "ordinal", "row")
+    def draw(first: int, end: int) -> DataFrame:
+        return with_digests(shards.read_batches(spark, path, "train", BATCH, LENGTH, SEED, first, end), "epoch", "ordinal", "row")
 
-    pieced = draw(train, end=DRAWN).unionAll(draw(order, first=following))
-    differing = checks.difference(draw(train), pieced).agg(F.count("*").alias("differing_rows"))
-    rows = epochs.batch_ordinals(train, BATCH, LENGTH).agg((F.count("*") * BATCH).alias("rows"))
-    return _one_row(rows, differing)
+    return checks.equality(draw(0, end), draw(0, DRAWN).unionAll(draw(resumed(spark, path), end)))
 
 
 def _one_row(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -387,14 +486,13 @@ def q_stream_pack(spark, sf_dir):
         dataset.key_range(rows, "doc_id", low, low + width).write.mode("append").parquet(f"{root}/incoming")
         incoming = prepare_streams.document_stream(spark, f"{root}/incoming", max_files_per_trigger=1_000_000)
         prepare_streams.prepare_stream(incoming, f"{root}/out", BYTES, SHARD_SIZE).awaitTermination()
-    packed = prepare_streams.streamed_shards(spark, f"{root}/out")
-    return packed.select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
+    return prepare_streams.streamed_shards(spark, f"{root}/out").select("split", "shard_index", "token_count", digest("tokens").alias("tokens_sha"))
 
 
 def q_stream_batches(spark, sf_dir):
     """One epoch and a bit drawn as a stream, stopped and restarted in the middle."""
-    path, root = written_shards(spark, sf_dir), scratch(spark, "draw")
-    _, _, per_epoch = state.require_batches(layout(spark, sf_dir), "train", BATCH, LENGTH)
+    path, root = written_set(spark, sf_dir), scratch(spark, "draw")
+    per_epoch = order(spark, sf_dir).per_epoch
     for until in (per_epoch // 2, per_epoch + per_epoch // 4):
         stream = batch_streams.batch_stream(spark, path, "train", BATCH, LENGTH, SEED, untilordinal=until)
         batch_streams.draw_to_table(stream, f"{root}/table", f"{root}/checkpoint")
@@ -403,8 +501,7 @@ def q_stream_batches(spark, sf_dir):
 
 def entry(spark: SparkSession) -> DataFrame:
     """From raw text to training sequences: split, tokenize, pack, cut into next-token windows."""
-    packed = pack_documents(documents(spark, "/root/testdata/sf0.001"), BYTES, SHARD_SIZE)
-    return windows.token_windows(packed, BATCH, LENGTH)
+    return windows.token_windows(packed(spark, "/root/testdata/sf0.001"), BATCH, LENGTH)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -440,25 +537,42 @@ def _layout_sql(tokens_from: str, name: str) -> str:
         FROM {tokens_from}))"""
 
 
-LAYOUT = f"{TOTALS}, {_layout_sql('totals', 'layout')}"
 ALL_TOTALS = "(SELECT split, sum(n_tokens)::BIGINT AS tokens FROM docs GROUP BY split)"
-WHOLE = f"{LAYOUT}, {_layout_sql(ALL_TOTALS, 'whole')}"
+LAYOUT = f"{DOCS}, {_layout_sql(ALL_TOTALS, 'layout')}"
+BUDGETED = f"{TOTALS}, {_layout_sql(ALL_TOTALS, 'layout')}, {_layout_sql('totals', 'budgeted')}"
 STEP = BATCH * LENGTH
 
 
+def _squared(x: str) -> str:
+    return f"((({x}) % {PRIME}) * (({x}) % {PRIME}) % {PRIME})"
+
+
+def _places_sql(count: int) -> str:
+    """Places of ``sized`` shards in each epoch: train shards swap or not with their partner in every round."""
+    hexes = f"sha256('{SEED}:' || epoch)"
+    key_a, key_b = (f"('0x' || substr({hexes}, {at}, 7))::BIGINT" for at in (1, 8))
+    partner, bit = _squared(f"{_squared('a + r * 40503')} + b"), _squared(f"{_squared('b + r * 69069')} + a")
+    other = f"(((key >> 31) % n - x) % n + n) % n"
+    mixed = _squared(f"{_squared(f'greatest(x, {other}) + (key & {PRIME})')} + 1")
+    return f"""keys AS (
+  SELECT epoch, list_transform(range(0, {ROUNDS}), lambda r: {partner} * 2147483648 + {bit}) AS keys
+  FROM (SELECT epoch, {key_a} AS a, {key_b} AS b FROM (SELECT unnest(range(0, {count})) AS epoch))),
+placed AS (
+  SELECT s.*, k.epoch::INT AS epoch, CASE WHEN s.split = 'val' THEN s.shard_index::BIGINT ELSE
+    list_reduce(list_prepend(s.shard_index::BIGINT, k.keys),
+      lambda x, key: CASE WHEN ({mixed} >> 15) & 1 = 1 THEN {other} ELSE x END) END AS position
+  FROM (SELECT *, count(*) OVER (PARTITION BY split) AS n FROM sized) s CROSS JOIN keys k)"""
+
+
 def _plan_sql(count: int) -> str:
     return f"""{LAYOUT}, sized AS (
   SELECT *, ((token_count - 1) // {STEP})::BIGINT AS n_batches FROM layout),
-keyed AS (
-  SELECT s.*, e.epoch::INT AS epoch, t.per_epoch,
-    CASE WHEN s.split = 'train' THEN sha256('{SEED}:' || e.epoch || ':' || shard_name) ELSE '' END AS sort_key
-  FROM sized s CROSS JOIN (SELECT unnest(range(0, {count})) AS epoch) e
-  JOIN (SELECT split, sum(n_batches) AS per_epoch FROM sized GROUP BY split) t ON t.split = s.split),
+{_places_sql(count)},
 plan AS (
-  SELECT split, epoch, (row_number() OVER w - 1)::BIGINT AS position, shard_index, shard_name, token_count, n_batches,
-    (epoch * per_epoch + coalesce(sum(n_batches) OVER (PARTITION BY split, epoch ORDER BY sort_key, shard_index
+  SELECT split, epoch, position, shard_index, shard_name, token_count, n_batches,
+    (epoch * (sum(n_batches) OVER (PARTITION BY split, epoch)) + coalesce(sum(n_batches) OVER (PARTITION BY split, epoch ORDER BY position
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS first_ordinal
-  FROM keyed WINDOW w AS (PARTITION BY split, epoch ORDER BY sort_key, shard_index)),
+  FROM placed),
 ordinals AS (
   SELECT split, epoch, (first_ordinal + k)::BIGINT AS ordinal, shard_index, k::BIGINT AS batch_in_shard,
     (k * {STEP})::BIGINT AS token_position
@@ -488,21 +602,25 @@ SHAS = """sha256(array_to_string(inputs, ',')) AS inputs_sha, sha256(array_to_st
 
 
 def _batches_sql(count: int) -> str:
-    return f"""{_plan_sql(count)}, {_tokens_sql('taken')}, {WINDOWS}, drawn AS (
+    return f"""{_plan_sql(count)}, {_tokens_sql('docs')}, {WINDOWS}, drawn AS (
   SELECT o.split, o.epoch, o.ordinal, w."row", w.inputs, w.targets
   FROM ordinals o JOIN win w ON w.split = o.split AND w.shard_index = o.shard_index AND w.batch_in_shard = o.batch_in_shard)"""
 
 
+def _rate_sql(warmup: int, step: str = "step") -> str:
+    """The schedule at a step."""
+    return f"""CASE WHEN {step} <= {warmup} THEN {step} * (CAST(0.0003 AS DOUBLE) / {warmup})
+      WHEN {step} >= {TOTAL_STEPS} THEN CAST(0.00003 AS DOUBLE)
+      ELSE CAST(0.00003 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (1 + cos(pi() * ({step} - {warmup})::DOUBLE / {TOTAL_STEPS - warmup}))
+        * (CAST(0.0003 AS DOUBLE) - CAST(0.00003 AS DOUBLE)) END"""
+
+
 STEPS = f"""{_plan_sql(EPOCHS)}, step_rows AS (
   SELECT epoch, ordinal, shard_index, (ordinal // {ACCUMULATION} + 1)::BIGINT AS update_step,
     (ordinal % {ACCUMULATION})::INT AS micro_step, ((ordinal // {ACCUMULATION} + 1) * {ACCUMULATION * STEP})::BIGINT AS tokens
   FROM ordinals WHERE split = 'train' AND ordinal // {ACCUMULATION} + 1 <= {TOTAL_STEPS}),
 updates AS (
-  SELECT update_step, tokens, count(*)::BIGINT AS micro_steps,
-    CASE WHEN update_step <= 100 THEN update_step * (CAST(0.0003 AS DOUBLE) / 100)
-      WHEN update_step >= {TOTAL_STEPS} THEN CAST(0.00003 AS DOUBLE)
-      ELSE CAST(0.00003 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (1 + cos(pi() * (update_step - 100)::DOUBLE / {TOTAL_STEPS - 100}))
-        * (CAST(0.0003 AS DOUBLE) - CAST(0.00003 AS DOUBLE)) END AS learning_rate
+  SELECT update_step, tokens, count(*)::BIGINT AS micro_steps, {_rate_sql(100, 'update_step')} AS learning_rate
   FROM step_rows GROUP BY update_step, tokens)"""
 LOG = f"""log AS (
   SELECT user_id::VARCHAR AS run_id, step, (step * {ACCUMULATION * STEP})::BIGINT AS tokens, value AS train_loss,
@@ -519,8 +637,6 @@ TOKENIZED = f"""WITH {DOCS}, {_tokens_sql('docs')}
     sha256(array_to_string(tokens, ',')) AS tokens_sha FROM tokens"""
 PACKED = f"""WITH {DOCS}, {_tokens_sql('docs')}
   SELECT split, shard_index, token_count, sha256(array_to_string(tokens, ',')) AS tokens_sha FROM shards"""
-PACKED_BUDGET = f"""WITH {TAKEN}, {_tokens_sql('taken')}
-  SELECT split, shard_index, token_count, sha256(array_to_string(tokens, ',')) AS tokens_sha FROM shards"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -547,37 +663,66 @@ def oracle_sql() -> dict[str, str]:
   FROM totals""",
         "pack_shards": PACKED,
         "stream_pack": PACKED,
-        "shard_write_roundtrip": PACKED_BUDGET,
-        "shard_table_roundtrip": PACKED_BUDGET,
+        "shard_write_roundtrip": PACKED,
+        "shard_table_roundtrip": PACKED,
         "shard_header_scan": f"""WITH {LAYOUT} SELECT shard_name, split, shard_index, (1024 + 2 * token_count)::BIGINT AS length,
     20240520::BIGINT AS magic, 1::BIGINT AS version, token_count::BIGINT AS token_count FROM layout""",
         "shard_discovery": f"WITH {LAYOUT} SELECT shard_name, split, shard_index FROM layout WHERE split = 'train'",
-        "shard_validation": f"""WITH {LAYOUT} SELECT shard_name, true AS header_ok, true AS magic_ok, true AS version_ok,
-    true AS count_ok, true AS payload_ok, true AS valid FROM layout""",
-        "shard_names": f"WITH {WHOLE} SELECT shard_name, split, shard_index FROM whole",
-        "undersized_shards": f"WITH {WHOLE} SELECT split, shard_index, token_count FROM whole WHERE token_count < {STEP + 1}",
-        "missing_shards": f"WITH {WHOLE} SELECT w.shard_name FROM whole w ANTI JOIN layout l ON l.shard_name = w.shard_name",
+        "shard_validation": f"""WITH {LAYOUT} SELECT shard_name, w <> 6 AS found_ok, w < 5 AS header_ok, w NOT IN (1, 6) AS magic_ok,
+    w NOT IN (2, 6) AS version_ok, w NOT IN (3, 6) AS count_ok, w < 4 AS payload_ok, w = 0 AS valid
+  FROM (SELECT *, shard_index % 7 AS w FROM layout)""",
+        "shard_faults": f"""WITH {DOCS}, {_tokens_sql('docs')}
+  SELECT split, shard_index, CASE WHEN w = 0 THEN token_count END AS token_count,
+    CASE WHEN w = 0 THEN sha256(array_to_string(tokens, ',')) END AS tokens_sha,
+    CASE w WHEN 1 THEN 'magic_ok' WHEN 2 THEN 'version_ok' WHEN 3 THEN 'count_ok' WHEN 4 THEN 'payload_ok' WHEN 5 THEN 'header_ok'
+      WHEN 6 THEN 'found_ok' END AS fault
+  FROM (SELECT *, shard_index % 7 AS w FROM shards)""",
+        "prepared_dataset": f"""WITH {OFFSETS}, taken AS (
+  SELECT * FROM offs WHERE start < CASE split WHEN 'train' THEN {PREPARED['train']} ELSE {PREPARED['val']} END),
+t AS (SELECT split, sum(n_tokens)::BIGINT AS tokens, ((sum(n_tokens) + {SHARD_SIZE} - 1) // {SHARD_SIZE})::BIGINT AS shards
+  FROM taken GROUP BY split)
+  SELECT 'documents' AS source_dataset, 'all' AS source_subset, 'bytes' AS tokenizer,
+    'sha256(text), bucket 0 of 32 is validation' AS split_method, {PREPARED['train']}::BIGINT AS train_token_target,
+    (sum(tokens) FILTER (split = 'train'))::BIGINT AS train_tokens, {PREPARED['val']}::BIGINT AS validation_token_target,
+    (sum(tokens) FILTER (split = 'val'))::BIGINT AS validation_tokens, {SHARD_SIZE}::BIGINT AS shard_size,
+    (sum(shards) FILTER (split = 'train'))::BIGINT AS train_shards, (sum(shards) FILTER (split = 'val'))::BIGINT AS validation_shards,
+    sum(shards)::BIGINT AS files, sum(tokens)::BIGINT AS tokens FROM t""",
+        "budget_shortfall": f"""WITH {DOCS} SELECT s AS split, 1000000000000::BIGINT AS target, coalesce(sum(n_tokens), 0)::BIGINT AS tokens,
+    (1000000000000 - coalesce(sum(n_tokens), 0))::BIGINT AS missing, false AS written
+  FROM (SELECT unnest(['train', 'val']) AS s) LEFT JOIN docs ON docs.split = s GROUP BY s""",
+        "write_once": f"""WITH {LAYOUT} SELECT 'complete' AS case, 'kept shards of {SHARD_SIZE}' AS outcome, count(*) AS files,
+    sum(token_count)::BIGINT AS tokens FROM layout
+  UNION ALL SELECT 'partial', 'refused', count(*), sum(token_count)::BIGINT FROM layout WHERE split = 'val'""",
+        "token_id_guard": """SELECT doc_id, len(ids)::BIGINT AS n_ids, list_max(ids) AS largest, coalesce(list_max(ids) <= 65535, true) AS fits FROM (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: (('0x' || x)::INT + doc_id % 300 * 256)::INT) AS ids
+  FROM documents)""",
+        "shard_names": f"WITH {LAYOUT} SELECT shard_name, split, shard_index FROM layout",
+        "undersized_shards": f"WITH {LAYOUT} SELECT split, shard_index, token_count FROM layout WHERE token_count < {STEP + 1}",
+        "missing_shards": f"WITH {BUDGETED} SELECT w.shard_name FROM layout w ANTI JOIN budgeted l ON l.shard_name = w.shard_name",
         "token_windows": f"""WITH {DOCS}, {_tokens_sql('docs')}, {WINDOWS}
   SELECT split, shard_index, batch_in_shard, "row", {SHAS} FROM win""",
         "epoch_plan": f"WITH {_plan_sql(EPOCHS)} SELECT * FROM plan",
+        "epoch_plan_general": f"WITH {_plan_sql(EPOCHS)} SELECT * FROM plan",
         "batch_ordinals": f"WITH {_plan_sql(EPOCHS)} SELECT * FROM ordinals",
         "batches": f'WITH {_batches_sql(1)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn',
-        "eval_batches": f"""WITH {_batches_sql(1)} SELECT split, ordinal, "row", {SHAS} FROM drawn
-  WHERE split = 'val' AND ordinal < {EVAL_STEPS}""",
+        "table_batches": f'WITH {_batches_sql(1)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn',
+        "eval_batches": f"""WITH {_batches_sql(1 + EVAL_STEPS)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn
+  WHERE split = 'val' AND ordinal < {EVAL_STEPS} + (SELECT sum(n_batches) FROM sized WHERE split = 'val')""",
         "batch_export": f"""WITH {_batches_sql(1)} SELECT ordinal, "row", inputs[1]::BIGINT AS first_input,
-    targets[{LENGTH}]::BIGINT AS last_target, {SHAS} FROM drawn WHERE split = 'val'""",
+    targets[{LENGTH}]::BIGINT AS last_target, {SHAS} FROM drawn WHERE split = 'train'""",
         "step_plan": f"WITH {STEPS} SELECT * FROM step_rows",
         "step_cadence": f"""WITH {STEPS} SELECT update_step, micro_steps, update_step % {LOG_INTERVAL} = 0 AS log_due,
     update_step % {EVAL_INTERVAL} = 0 AS eval_due,
     update_step % {CHECKPOINT_INTERVAL} = 0 OR update_step = {TOTAL_STEPS} AS checkpoint_due FROM updates""",
         "lr_schedule": f"WITH {STEPS} SELECT update_step, tokens, round(learning_rate, 12) AS learning_rate FROM updates",
-        "schedule_alignment": f"""WITH {STEPS}, {LOG} SELECT l.run_id, l.step, l.train_loss,
-    round(u.learning_rate, 12) AS planned_rate, (l.tokens - u.tokens)::BIGINT AS token_drift
-  FROM log l JOIN updates u ON u.update_step = l.step""",
+        "schedule_alignment": f"""WITH {LOG}, rates AS (
+  SELECT *, {_rate_sql(100)} AS planned, CASE WHEN run_id::BIGINT % 2 = 1 THEN {_rate_sql(50)} ELSE {_rate_sql(100)} END AS used FROM log)
+  SELECT run_id, step, train_loss, round(planned, 12) AS planned_rate, round(round(used, 6) - planned, 12) AS rate_drift,
+    (CASE WHEN run_id::BIGINT % 3 = 0 THEN tokens // 2 ELSE tokens END - tokens)::BIGINT AS token_drift FROM rates""",
         "resume_batches": f"""WITH {_batches_sql(EPOCHS)} SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn
   WHERE split = 'train' AND ordinal >= {DRAWN}""",
-        "resume_equivalence": f"""WITH {_plan_sql(EPOCHS)} SELECT (count(*) * {BATCH})::BIGINT AS rows, 0::BIGINT AS differing_rows
-  FROM ordinals WHERE split = 'train'""",
+        "resume_equivalence": f"""WITH {_plan_sql(EPOCHS)} SELECT (count(*) * {BATCH})::BIGINT AS left_rows,
+    (count(*) * {BATCH})::BIGINT AS right_rows, 0::BIGINT AS differing_rows FROM ordinals WHERE split = 'train'""",
         "stream_batches": f"""WITH {_batches_sql(2)},
   size AS (SELECT count(*) // 2 AS per_epoch FROM ordinals WHERE split = 'train')
   SELECT split, epoch, ordinal, "row", {SHAS} FROM drawn, size

@@ -39,9 +39,10 @@ def header_word(content: Column, word: int) -> Column:
 
 
 def header_checks(magic: Column, version: Column, token_count: Column, length: Column) -> dict[str, Column]:
-    """One boolean per rule of a readable shard. Bytes after the payload are tolerated."""
+    """One boolean per rule of a readable shard. Bytes after the payload are tolerated; a missing file has no length."""
     return {
-        "header_ok": length >= HEADER_BYTES,
+        "found_ok": length.isNotNull(),
+        "header_ok": F.coalesce(length >= HEADER_BYTES, F.lit(False)),
         "magic_ok": F.coalesce(magic == MAGIC, F.lit(False)),
         "version_ok": F.coalesce(version == VERSION, F.lit(False)),
         "count_ok": F.coalesce(token_count > 0, F.lit(False)),

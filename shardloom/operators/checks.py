@@ -16,16 +16,21 @@ def missing_shards(saved: DataFrame, found: DataFrame) -> DataFrame:
 def split_leakage(documents: DataFrame, text: str = "text") -> DataFrame:
     """Distinct texts per split and how many lie in both (none, as the split depends on the text only).
 
-    Hashes rather than texts travel; copies of a text are merged before the shuffle.
+    Hashes rather than texts travel, in one shuffle; copies of a text are merged before it.
     """
-    hashed = documents.select("split", F.sha2(text, 256).alias("text_hash"))
-    train = hashed.filter("split = 'train'").select("text_hash").distinct()
-    val = hashed.filter("split = 'val'").select("text_hash").distinct()
-    shared = train.intersect(val).agg(F.count("*").alias("shared_texts"))
-    sizes = train.agg(F.count("*").alias("train_texts")), val.agg(F.count("*").alias("val_texts"))
-    one = F.lit(1).alias("_one")
-    parts = [part.withColumn("_one", one) for part in (*sizes, shared)]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    train = F.col("split") == "train"
+    held = documents.groupBy(F.sha2(text, 256)).agg(F.max(train).alias("train"), F.max(~train).alias("val"))
+
+    def texts(which, name: str):
+        return F.count(F.when(which, 1)).alias(name)
+
+    in_train, in_val = F.col("train"), F.col("val")
+    return held.agg(texts(in_train, "train_texts"), texts(in_val, "val_texts"), texts(in_train & in_val, "shared_texts"))
+
+
+def _signed(left: DataFrame, right: DataFrame) -> DataFrame:
+    both = left.withColumn("_left", F.lit(1)).unionAll(right.select(*left.columns).withColumn("_left", F.lit(0)))
+    return both.groupBy(*left.columns).agg(F.sum("_left").alias("_left"), F.count("*").alias("_all"))
 
 
 def difference(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -33,8 +38,16 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
 
     Empty if both are equal. One shuffle, in which equal rows have been merged.
     """
-    signed = left.withColumn("_sign", F.lit(1)).unionAll(right.select(*left.columns).withColumn("_sign", F.lit(-1)))
-    return signed.groupBy(*left.columns).agg(F.sum("_sign").alias("surplus")).filter(F.col("surplus") != 0)
+    surplus = (F.col("_left") * 2 - F.col("_all")).alias("surplus")
+    return _signed(left, right).select(*left.columns, surplus).filter(F.col("surplus") != 0)
+
+
+def equality(left: DataFrame, right: DataFrame) -> DataFrame:
+    """One row: how many rows each side was found to have, and how many differ in how often they occur."""
+    return _signed(left, right).agg(
+        F.coalesce(F.sum("_left"), F.lit(0)).alias("left_rows"), F.coalesce(F.sum(F.col("_all") - F.col("_left")), F.lit(0)).alias("right_rows"),
+        F.count(F.when(F.col("_left") * 2 != F.col("_all"), 1)).alias("differing_rows"),
+    )
 
 
 def shard_validity(headers: DataFrame) -> DataFrame:

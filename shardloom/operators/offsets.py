@@ -10,7 +10,6 @@ from shardloom.functions.tokenizers import tokens_of
 from shardloom.operators.ordered import key_block, running_sums
 
 
-
 def tokenize(documents: DataFrame, tokenizer, text: str = "text") -> DataFrame:
     """Replace the text by ``tokens`` and their number. Ids that do not fit two bytes raise."""
     rest = [c for c in documents.columns if c != text]
@@ -25,15 +24,14 @@ def count_tokens(documents: DataFrame, tokenizer, text: str = "text") -> DataFra
     return documents.withColumn("n_tokens", F.size(tokenizer.tokens(F.col(text))).cast("bigint"))
 
 
-def token_offsets(counted: DataFrame, order_key: str = "doc_id", levels: int = 1) -> DataFrame:
+def token_offsets(counted: DataFrame, order_key: str = "doc_id") -> DataFrame:
     """Start of every document in its split's token stream: ``order_key, split, n_tokens, start``.
 
-    ``counted`` has ``order_key`` (unique integers in source order), ``split`` and ``n_tokens``. One
-    narrow shuffle by blocks of the order key; no window ever covers more than one block. Keys beyond
-    36 bits need ``levels=2``, beyond 56 bits ``levels=3``.
+    ``counted`` has ``order_key`` (unique 64-bit integers in source order), ``split`` and ``n_tokens``. One
+    narrow shuffle by blocks of the order key; no window ever covers more than one block.
     """
-    rows = counted.select(order_key, "split", "n_tokens", key_block(F.col(order_key), levels=levels).alias("block"))
-    return running_sums(rows, ["split"], "block", [order_key], {"start": "n_tokens"}, levels).drop("block")
+    rows = counted.select(order_key, "split", "n_tokens", key_block(F.col(order_key)).alias("block"))
+    return running_sums(rows, ["split"], "block", [order_key], {"start": "n_tokens"}).drop("block")
 
 
 def target_of(split: Column, targets: dict[str, int]) -> Column:

@@ -16,24 +16,14 @@ from pyspark.sql import functions as F
 from shardloom.functions.checks import required
 from shardloom.session import shared_folder
 
-# Keys per block as a power of two: many where rows are a few numbers, few where they carry a payload.
+# Keys per block, and blocks per superblock, as powers of two. Two levels of blocks cover every 64-bit key.
 BLOCK_BITS = 16
-PAYLOAD_BLOCK_BITS = 10
-# Blocks per superblock, likewise. Keys are limited so that there are no more superblocks than that.
-SUPER_BITS = 20
+SUPER_BITS = 24
 
 
-def key_block(key: Column, bits: int = BLOCK_BITS, levels: int = 1) -> Column:
-    """Block of an integer key. Keys are unique, so a block holds at most ``2**bits`` rows of a group.
-
-    ``levels`` is how many levels of :func:`block_bases` follow; each takes 20 bits of the key. A key
-    with more bits is an error rather than a window over too many blocks.
-    """
-    key = required(key.cast("bigint"), "order key is null", 0)
-    limit = 1 << (bits + levels * SUPER_BITS)
-    message = F.concat(F.lit(f"order key outside +-2**{limit.bit_length() - 1}, use more levels: "), key.cast("string"))
-    bad = (key >= limit) | (key < -limit)
-    return required(F.when(~bad, F.shiftright(key, bits)), message, 0)
+def key_block(key: Column) -> Column:
+    """Block of an integer key. Keys are unique, so a block holds at most ``2**BLOCK_BITS`` rows of a group."""
+    return F.shiftright(required(key.cast("bigint"), "order key is null", 0), BLOCK_BITS)
 
 
 def range_blocks(rows: DataFrame, keys: Sequence[str], block: str = "block", partitions: int | None = None) -> DataFrame:
@@ -48,32 +38,27 @@ def range_blocks(rows: DataFrame, keys: Sequence[str], block: str = "block", par
     return ranged.withColumn(block, F.coalesce(F.spark_partition_id().cast("bigint"), F.lit(0))).checkpoint()
 
 
-def block_bases(
-    totals: DataFrame, group: Sequence[str], block: str, sums: Sequence[str], levels: int = 1
-) -> DataFrame:
+def block_bases(totals: DataFrame, group: Sequence[str], block: str, sums: Sequence[str]) -> DataFrame:
     """Per group and block, from block totals: the sum over earlier blocks as ``<name>_base`` and over
     all blocks as ``<name>_all``.
 
-    One level windows over all blocks of a group, which :func:`key_block` keeps below ``2**21``. With
-    more levels blocks are cut into superblocks first.
+    Blocks are cut into superblocks, so no window covers more than ``2**SUPER_BITS`` totals, whatever the keys.
     """
     zero = F.lit(0).cast("bigint")
 
-    def earlier(*keys: str) -> dict[str, Column]:
-        before = Window.partitionBy(*keys).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    def earlier(*keys: str, order: str) -> dict[str, Column]:
+        before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return {c: F.coalesce(F.sum(c).over(before), zero) for c in sums}
 
-    if levels == 1:
-        whole = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return totals.select(
-            *group, block,
-            *(total.alias(f"{c}_base") for c, total in earlier(*group).items()),
-            *(F.sum(c).over(whole).alias(f"{c}_all") for c in sums),
-        )
-    upper = totals.withColumn("_super", F.shiftright(block, SUPER_BITS))
+    upper = totals.withColumn("_super", F.coalesce(F.shiftright(block, SUPER_BITS), zero))
+    whole = Window.partitionBy(*group).orderBy("_super").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     tops = upper.groupBy(*group, "_super").agg(*(F.sum(c).alias(c) for c in sums))
-    tops = block_bases(tops, group, "_super", sums, levels - 1).withColumnsRenamed({f"{c}_base": f"_{c}_top" for c in sums})
-    inside = earlier(*group, "_super").items()
+    tops = tops.select(
+        *group, "_super",
+        *(total.alias(f"_{c}_top") for c, total in earlier(*group, order="_super").items()),
+        *(F.sum(c).over(whole).alias(f"{c}_all") for c in sums),
+    )
+    inside = earlier(*group, "_super", order=block).items()
     inner = upper.select(*group, "_super", block, *(total.alias(f"_{c}_in") for c, total in inside))
     return inner.join(tops, [*group, "_super"]).select(
         *group, block,
@@ -88,7 +73,6 @@ def running_sums(
     block: str,
     order: Sequence[str],
     sums: dict[str, str],
-    levels: int = 1,
     whole: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add, for each ``out: column`` in ``sums``, the sum of ``column`` over all earlier rows of the group,
@@ -104,7 +88,7 @@ def running_sums(
     totals = rows.groupBy(*group, block).agg(
         *(F.sum(c).alias(c) for c in columns), F.bit_xor(F.xxhash64(*rows.columns)).alias("_all")
     ).filter("_all IS NOT NULL")
-    bases = block_bases(totals.drop("_all"), group, block, columns, levels)
+    bases = block_bases(totals.drop("_all"), group, block, columns)
     return within_blocks(rows.join(bases, [*group, block]), group, block, order, sums, whole)
 
 

@@ -1,4 +1,9 @@
-"""Cut the ordered token stream of each split into shards of fixed size."""
+"""Cut the ordered token stream of each split into shards of fixed size.
+
+Documents are counted first; their numbers are stored as a narrow table, which also keeps their split, so a text is hashed
+once and read twice. Positions come from the narrow table and return to the texts by key. Tokens travel to their
+shard as two bytes each and become numbers only once a shard is whole.
+"""
 
 from __future__ import annotations
 
@@ -6,35 +11,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shardloom.functions.splits import assign_split
-from shardloom.functions.tokenizers import tokens_of
-from shardloom.operators.offsets import count_tokens, target_of
-from shardloom.operators.ordered import PAYLOAD_BLOCK_BITS, block_bases, key_block, within_blocks
+from shardloom.functions.tokenizers import pack_ids, packed_slice, packed_tokens, unpack_ids
+from shardloom.operators.offsets import apply_budget, count_tokens, token_offsets
+from shardloom.session import scratch
 
 
-def place_payload(
-    rows: DataFrame, payload: str, order_key: str, targets: dict[str, int] | None
-) -> DataFrame:
-    """``split, start, n_tokens, payload`` of every document taken under the budget.
+def document_counts(documents: DataFrame, tokenizer, order_key: str, text: str) -> DataFrame:
+    """``order_key, split, n_tokens`` of every document; also ``packed`` tokens if the tokenizer cannot count."""
+    split = assign_split(documents.select(order_key, text), text)
+    if hasattr(tokenizer, "count"):
+        return count_tokens(split, tokenizer, text).select(order_key, "split", "n_tokens")
+    rows = split.select(order_key, "split", packed_tokens(tokenizer, F.col(text)).alias("packed"))
+    return rows.withColumn("n_tokens", F.call_function("div", F.octet_length("packed").cast("bigint"), F.lit(2)))
 
-    Rows are shuffled by block together with their payload. Block totals come from a separate pass that
-    reads narrow columns only, and blocks wholly past the budget are dropped by the join with them:
-    before that shuffle if Spark broadcasts the totals.
-    """
-    block = key_block(F.col(order_key), PAYLOAD_BLOCK_BITS, levels=2).alias("block")
-    rows = rows.select(order_key, "split", "n_tokens", payload, block)
-    totals = rows.groupBy("split", "block").agg(F.sum("n_tokens").alias("n_tokens"))
-    bases = block_bases(totals, ["split"], "block", ["n_tokens"], levels=2)
-    if targets is not None:
-        bases = bases.filter(F.col("n_tokens_base") < target_of(F.col("split"), targets))
-    based = rows.join(bases, ["split", "block"])
-    placed = within_blocks(based, ["split"], "block", [order_key], {"start": "n_tokens"})
-    if targets is not None:
-        placed = placed.filter(F.col("start") < target_of(F.col("split"), targets))
-    return placed.select("split", "start", "n_tokens", payload)
+
+def stored_counts(documents: DataFrame, tokenizer, order_key: str, text: str) -> DataFrame:
+    """:func:`document_counts`, stored: texts are hashed once, and tokenized at most once."""
+    return stored(document_counts(documents, tokenizer, order_key, text), "counts")
+
+
+def stored(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def pieces(placed: DataFrame, shard_size: int, tokens: str = "tokens") -> DataFrame:
-    """One row per document and shard it reaches into: ``split, shard_index, lo, piece``.
+def pieces(placed: DataFrame, shard_size: int) -> DataFrame:
+    """One row per document and shard it reaches into: ``split, shard_index, lo, piece`` (packed ids), from ``split, start,
+    n_tokens, packed``.
 
     Exploding and slicing compile into one loop, which copies a document's tokens once in all,
     however many shards it spans.
@@ -45,37 +49,57 @@ def pieces(placed: DataFrame, shard_size: int, tokens: str = "tokens") -> DataFr
     last = F.expr(f"CAST((start + n_tokens - 1) DIV {shard_size} AS BIGINT)")
     # An empty document has no pieces; sequence() would count down from its start.
     shard = F.explode(F.when(F.col("n_tokens") > 0, F.sequence(first, last)))
-    reached = placed.select("split", "start", "n_tokens", tokens, shard.alias("shard"))
+    reached = placed.select("split", "start", "n_tokens", "packed", shard.alias("shard"))
     low = F.greatest(F.col("shard") * shard_size, F.col("start"))
     high = F.least((F.col("shard") + 1) * shard_size, F.col("start") + F.col("n_tokens"))
-    piece = F.slice(tokens, (low - F.col("start") + 1).cast("int"), (high - low).cast("int"))
     return reached.select(
         "split",
         F.col("shard").cast("int").alias("shard_index"),
         (low - F.col("shard") * shard_size).cast("int").alias("lo"),
-        piece.alias("piece"),
+        packed_slice(F.col("packed"), low - F.col("start"), high - low).alias("piece"),
     )
 
 
 def assemble(cut: DataFrame) -> DataFrame:
     """Join pieces to shards: ``split, shard_index, token_count, tokens``. Groups hold one shard each."""
     ordered = F.sort_array(F.collect_list(F.struct("lo", "piece")))
-    shards = cut.groupBy("split", "shard_index").agg(F.flatten(ordered["piece"]).alias("tokens"))
-    return shards.select("split", "shard_index", F.size("tokens").alias("token_count"), "tokens")
+    shards = cut.groupBy("split", "shard_index").agg(ordered["piece"].alias("pieces"))
+    tokens = shards.select("split", "shard_index", unpack_ids(F.col("pieces")).alias("tokens"))
+    return tokens.select("split", "shard_index", F.size("tokens").alias("token_count"), "tokens")
+
+
+def _within(offsets: DataFrame, payload: DataFrame, order_key: str, targets: dict[str, int] | None) -> DataFrame:
+    """Payload beside its place, for documents taken under the budget. Under one, the scan of the payload ends at the last key
+    taken."""
+    if targets is not None:
+        offsets = stored(apply_budget(offsets, targets), "offsets")
+        last = offsets.agg(F.max(order_key)).first()[0]
+        payload = payload.filter(F.col(order_key) <= F.lit(last))
+    return offsets.join(payload, order_key)
 
 
 def pack_shards(
     tokenized: DataFrame, shard_size: int, order_key: str = "doc_id", targets: dict[str, int] | None = None
 ) -> DataFrame:
-    """Shards from ``order_key, split, tokens`` (and ``n_tokens`` if at hand).
-
-    Store the result of a costly tokenizer first: the block totals then read only its narrow columns.
-    """
+    """Shards from ``order_key, split, tokens`` (and ``n_tokens`` if at hand). Store the result of a costly tokenizer first."""
     if shard_size < 1:
         raise ValueError("shard_size must be at least 1")
     if "n_tokens" not in tokenized.columns:
         tokenized = tokenized.withColumn("n_tokens", F.size("tokens").cast("bigint"))
-    return assemble(pieces(place_payload(tokenized, "tokens", order_key, targets), shard_size))
+    payload = tokenized.select(order_key, pack_ids(F.col("tokens")).alias("packed"))
+    placed = _within(token_offsets(tokenized, order_key), payload, order_key, targets)
+    return assemble(pieces(placed, shard_size))
+
+
+def place_documents(
+    documents: DataFrame, counts: DataFrame, tokenizer, order_key: str, text: str, targets: dict[str, int] | None
+) -> DataFrame:
+    """``split, start, n_tokens, packed`` of the documents taken, from their stored ``counts``. Only they are tokenized."""
+    offsets = token_offsets(counts, order_key)
+    if "packed" in counts.columns:
+        return _within(offsets, counts.select(order_key, "packed"), order_key, targets)
+    placed = _within(offsets, documents.select(order_key, text), order_key, targets)
+    return placed.select("split", "start", "n_tokens", packed_tokens(tokenizer, F.col(text)).alias("packed"))
 
 
 def pack_documents(
@@ -86,14 +110,8 @@ def pack_documents(
     text: str = "text",
     targets: dict[str, int] | None = None,
 ) -> DataFrame:
-    """Shards straight from raw text. With a counting tokenizer the text is what travels to the blocks
-    and only documents within the budget are tokenized."""
+    """Shards straight from raw text. The documents are counted at once, tokenized when the shards are used."""
     if shard_size < 1:
         raise ValueError("shard_size must be at least 1")
-    split = assign_split(documents.select(order_key, text), text)
-    if not hasattr(tokenizer, "count"):
-        tokens = split.select(order_key, "split", tokens_of(tokenizer, F.col(text)).alias("tokens"))
-        return pack_shards(tokens, shard_size, order_key, targets)
-    placed = place_payload(count_tokens(split, tokenizer, text), text, order_key, targets)
-    tokens = placed.select("split", "start", "n_tokens", tokens_of(tokenizer, F.col(text)).alias("tokens"))
-    return assemble(pieces(tokens, shard_size))
+    counts = stored_counts(documents, tokenizer, order_key, text)
+    return assemble(pieces(place_documents(documents, counts, tokenizer, order_key, text, targets), shard_size))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shardloom.functions.checks import required
+from shardloom.functions.schedule import learning_rate, tokens_seen
 
 # Intervals per block of one run.
 BLOCK_INTERVALS = 1 << 12
@@ -101,9 +102,14 @@ def update_loss_mean(losses: DataFrame, accumulation_steps: int) -> DataFrame:
     return means.filter(F.col("micro_steps") == accumulation_steps).drop("micro_steps")
 
 
-def align_schedule(metrics: DataFrame, updates: DataFrame) -> DataFrame:
-    """Records beside the planned learning rate and tokens of their step."""
-    planned = updates.select(
-        F.col("update_step").alias("step"), F.col("learning_rate").alias("planned_rate"), F.col("tokens").alias("planned_tokens")
-    )
-    return metrics.join(planned, "step")
+def align_schedule(
+    metrics: DataFrame, accumulation_steps: int, batch_size: int, sequence_length: int, **schedule
+) -> DataFrame:
+    """Every record with ``planned_rate`` and ``planned_tokens`` of its step, and how far the logged values are from them:
+    ``rate_drift``, ``token_drift`` (null where nothing was logged). The plan is an expression of the step: nothing is joined."""
+    step = F.col("step")
+    rate = learning_rate(step, **schedule)
+    tokens = tokens_seen(step, accumulation_steps, batch_size, sequence_length)
+    return metrics.withColumns({
+        "planned_rate": rate, "planned_tokens": tokens, "rate_drift": F.col("learning_rate") - rate, "token_drift": F.col("tokens") - tokens,
+    })

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Plan rows (about 40 bytes each) that are broadcast at most.
-BROADCAST_ROWS = 2_000_000
-
 
 def check_shape(batch_size: int, sequence_length: int) -> int:
     if batch_size < 1 or sequence_length < 1:
@@ -49,28 +46,12 @@ def token_windows(shards: DataFrame, batch_size: int, sequence_length: int) -> D
     return _rows(exploded, batch_size, sequence_length, ["split", "shard_index", "batch_in_shard"])
 
 
-def batches(
-    shards: DataFrame,
-    plan: DataFrame,
-    batch_size: int,
-    sequence_length: int,
-    first: int = 0,
-    end: int | None = None,
-    broadcast_rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """Batches ``first <= ordinal < end`` of an epoch plan: ``split, epoch, ordinal, row, inputs, targets``.
-
-    The plan has a row per shard and epoch, so it grows with the corpus. Its rows are counted: up to
-    ``broadcast_rows`` of them are sent to where the shards are read, and the tokens stay in place; a
-    longer plan is joined as Spark sees fit, which shuffles whole shards.
-    """
-    wanted = plan.filter(F.col("n_batches") > 0).filter(F.col("first_ordinal") + F.col("n_batches") > first)
+def cut_batches(planned: DataFrame, batch_size: int, sequence_length: int, first: int = 0, end: int | None = None) -> DataFrame:
+    """Batches ``first <= ordinal < end`` of shards that carry ``epoch``, ``n_batches`` and ``first_ordinal``."""
+    wanted = planned.filter(F.col("n_batches") > 0).filter(F.col("first_ordinal") + F.col("n_batches") > first)
     if end is not None:
         wanted = wanted.filter(F.col("first_ordinal") < end)
-    wanted = wanted.select("split", "shard_index", "epoch", "first_ordinal")
-    if wanted.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    exploded = _explode_batches(shards.join(wanted, ["split", "shard_index"]), batch_size, sequence_length)
+    exploded = _explode_batches(wanted, batch_size, sequence_length)
     exploded = exploded.withColumn("ordinal", F.col("first_ordinal") + F.col("batch_in_shard"))
     exploded = exploded.filter(F.col("ordinal") >= first)
     if end is not None:
@@ -78,6 +59,24 @@ def batches(
     return _rows(exploded, batch_size, sequence_length, ["split", "epoch", "ordinal"])
 
 
+def batches(
+    shards: DataFrame, plan: DataFrame, batch_size: int, sequence_length: int, first: int = 0, end: int | None = None
+) -> DataFrame:
+    """Batches ``first <= ordinal < end`` of an epoch plan: ``split, epoch, ordinal, row, inputs, targets``.
+
+    For tables of uneven shards, whose plan must be joined; Spark chooses how. An evenly cut set needs no join
+    (:func:`~shardloom.plans.epochs.batches_in_order`), shard files are read by position
+    (:func:`~shardloom.sources.shards.read_batches`). An ``end`` beyond the plan is an error.
+    """
+    if end is not None:
+        # One row of totals; a plan that is too short must not pass for the whole.
+        planned = plan.agg(F.max(F.col("first_ordinal") + F.col("n_batches"))).first()[0] or 0
+        if planned < end:
+            raise ValueError(f"the plan ends at batch {planned}, before {end}: plan more epochs")
+    wanted = plan.select("split", "shard_index", "epoch", "n_batches", "first_ordinal")
+    return cut_batches(shards.join(wanted, ["split", "shard_index"]), batch_size, sequence_length, first, end)
+
+
 def export_batches(batch_rows: DataFrame) -> DataFrame:
     """Token ids widened to 64 bits, as a trainer takes them."""
     wide = {c: F.col(c).cast("array<bigint>") for c in ("inputs", "targets")}

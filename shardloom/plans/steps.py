@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.schedule import due, learning_rate, tokens_seen
+from shardloom.plans.epochs import EpochOrder, batches_in_order
 
 
 def step_plan(
@@ -42,8 +43,27 @@ def update_steps(planned: DataFrame, **schedule) -> DataFrame:
     return updates.withColumn("learning_rate", learning_rate(F.col("update_step"), **schedule))
 
 
-def eval_batches(rows: DataFrame, eval_steps: int) -> DataFrame:
-    """The first validation batches, the same ones at every evaluation."""
+def counted_updates(
+    spark: SparkSession, batches: int, accumulation_steps: int, batch_size: int, sequence_length: int, limit: int | None = None, **schedule
+) -> DataFrame:
+    """:func:`update_steps` of ``batches`` consecutive batches (of the first ``limit`` updates, if given), from their number alone: no
+    batch is listed."""
+    if accumulation_steps < 1:
+        raise ValueError("accumulation_steps must be at least 1")
+    count = -(-batches // accumulation_steps)
+    count = count if limit is None else min(count, limit)
+    step = F.col("update_step")
+    micro = F.least(F.lit(accumulation_steps).cast("bigint"), F.lit(batches) - (step - 1) * accumulation_steps)
+    return spark.range(1, count + 1).toDF("update_step").select(
+        step, tokens_seen(step, accumulation_steps, batch_size, sequence_length).alias("tokens"), micro.alias("micro_steps"),
+        learning_rate(step, **schedule).alias("learning_rate"),
+    )
+
+
+def eval_batches(shards: DataFrame, order: EpochOrder, eval_steps: int) -> DataFrame:
+    """The first validation batches, the same ones at every evaluation; where an epoch has fewer, those of the next follow."""
     if eval_steps < 1:
         raise ValueError("eval_steps must be at least 1")
-    return rows.filter((F.col("split") == "val") & (F.col("ordinal") < eval_steps))
+    if order.split != "val":
+        raise ValueError("evaluation takes the order of the val split")
+    return batches_in_order(shards, order, 0, eval_steps)

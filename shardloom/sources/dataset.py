@@ -7,19 +7,26 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shardloom.functions.splits import SPLITS, assign_split
-from shardloom.operators.offsets import count_tokens, split_totals, tokenize
-from shardloom.operators.packing import pack_documents, pack_shards
+from shardloom.functions.splits import SPLITS
+from shardloom.operators.offsets import split_totals
+from shardloom.operators.packing import assemble, document_counts, pieces, place_documents
 from shardloom.session import scratch
 from shardloom.sources.files import DriverFiles
-from shardloom.sources.shards import read_shards, scan_headers, write_shards
+from shardloom.sources.shards import MANIFEST, read_shards, scan_headers, write_shards
 
-MANIFEST = "manifest.json"
 # Width of the first range of order keys that is counted, and how much wider each next one is.
 FIRST_WAVE = 1 << 20
 WAVE_GROWTH = 4
 
 
+class Shortfall(RuntimeError):
+    """All documents together do not meet the budget; ``reached`` has the tokens of each split."""
+
+    def __init__(self, reached: dict[str, int], targets: dict[str, int]):
+        self.reached, self.targets = dict(reached), dict(targets)
+        super().__init__("too few documents: " + ", ".join(f"{s} has {reached[s]} of {targets[s]} tokens" for s in SPLITS))
+
+
 def scan_documents(spark, path: str) -> DataFrame:
     """Documents as ``doc_id, text``; other columns are not read."""
     return spark.read.parquet(path).select("doc_id", "text")
@@ -30,7 +37,7 @@ def check_write_once(files: DriverFiles) -> bool:
     if files.exists(MANIFEST):
         return True
     if files.has_entries():
-        raise RuntimeError("Incomplete dataset already exists")
+        raise RuntimeError("the folder holds a data set without a manifest, or something else")
     return False
 
 
@@ -78,8 +85,8 @@ def prepare_dataset(
     """Split, tokenize, cut the budget, pack and write; the manifest comes last and marks success.
 
     Ranges of the order key, each wider than the one before, are counted until both budgets are met;
-    later documents are never read again, nor tokenized at all. Tokens of a tokenizer that cannot
-    count are stored on the way, so that every document is tokenized once.
+    later documents are never read again, nor tokenized at all. Counts are stored on the way, or the tokens of a
+    tokenizer that cannot count, so that every document is hashed and tokenized once.
     """
     spark = documents.sparkSession
     targets = {"train": 60_000_000, "val": 2_000_000} if targets is None else targets
@@ -93,43 +100,36 @@ def prepare_dataset(
 
     documents = documents.select(order_key, text)
     bounds = documents.agg(F.min(order_key).alias("low"), F.max(order_key).alias("high")).first()
-    counts = hasattr(tokenizer, "count")
-    stored = None if counts else scratch(spark, "tokens")
+    counted = scratch(spark, "counts")
     reached = dict.fromkeys(SPLITS, 0)
     low = high = bounds.low if bounds.low is not None else 0
     end = bounds.high + 1 if bounds.high is not None else 0
     width = first_wave
     while high < end and any(reached[s] < targets[s] for s in SPLITS):
         high = min(end, low + width)
-        wave = assign_split(key_range(documents, order_key, low, high), text)
         open_splits = [s for s in SPLITS if reached[s] < targets[s]]
-        wave = wave.filter(F.col("split").isin(open_splits))
-        if counts:
-            counted = count_tokens(wave, tokenizer, text)
-        else:
-            tokenize(wave, tokenizer, text).write.mode("append").parquet(stored)
-            counted = key_range(spark.read.parquet(stored), order_key, low, high)
-        for row in counted.groupBy("split").agg(F.sum("n_tokens").alias("tokens")).collect():
+        rows = document_counts(key_range(documents, order_key, low, high), tokenizer, order_key, text)
+        rows = rows.filter(F.col("split").isin(open_splits))
+        rows.write.mode("append").parquet(counted)
+        wave = key_range(spark.read.schema(rows.schema).parquet(counted), order_key, low, high)
+        for row in wave.groupBy("split").agg(F.sum("n_tokens").alias("tokens")).collect():
             reached[row.split] += row.tokens
         low, width = high, width * WAVE_GROWTH
     if any(reached[s] < targets[s] for s in SPLITS):
-        raise RuntimeError(
-            f"Target tokens not hit, Train Tokens: {reached['train']}, Validation Tokens: {reached['val']}"
-        )
-
-    if counts:
-        needed = key_range(documents, order_key, bounds.low, high)
-        shards = pack_documents(needed, tokenizer, shard_size, order_key, text, targets)
-    else:
-        shards = pack_shards(spark.read.parquet(stored), shard_size, order_key, targets)
+        raise Shortfall(reached, targets)
+
+    needed = key_range(documents, order_key, bounds.low, high) if bounds.low is not None else documents
+    counts = spark.read.schema(document_counts(documents, tokenizer, order_key, text).schema).parquet(counted)
+    shards = assemble(pieces(place_documents(needed, counts, tokenizer, order_key, text, targets), shard_size))
     return write_dataset(shards, path, shard_size, targets, source, subset, tokenizer.name, format)
 
 
 def write_dataset(
-    shards: DataFrame, path: str, shard_size: int, targets: dict[str, int], source: str, subset: str, tokenizer: str,
+    shards: DataFrame, path: str, shard_size: int, targets: dict[str, int | None] | None, source: str, subset: str, tokenizer: str,
     format: str = "tokenshard",
 ) -> dict:
-    """Write shards and, once they are all there, the manifest. A complete set is left as it is."""
+    """Write shards and, once they are all there, the manifest. A complete set is left as it is. Without ``targets`` the set
+    is a whole corpus, and the manifest names none."""
     spark = shards.sparkSession
     files = DriverFiles(spark, path)
     if check_write_once(files):
@@ -137,7 +137,7 @@ def write_dataset(
     write_shards(shards, path, format)
     written = scan_headers(spark, path) if format == "tokenshard" else read_shards(spark, path, format=format)
     totals = split_totals(written.select("split", F.col("token_count").cast("bigint").alias("n_tokens")), shard_size)
-    row = manifest_row(totals, shard_size, targets, source, subset, tokenizer).first()
+    row = manifest_row(totals, shard_size, targets or dict.fromkeys(SPLITS), source, subset, tokenizer).first()
     manifest = row.asDict()
     files.publish(MANIFEST, json.dumps(manifest, indent=2))
     return manifest

@@ -47,15 +47,6 @@ class DriverFiles:
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._fs.getConf())
         context.rename(temporary, self.path(name), options)
 
-    def swap(self, new_folder: str) -> str:
-        """Put ``new_folder`` in this folder's place; the old one is kept beside it and its path returned."""
-        kept = self._jvm.org.apache.hadoop.fs.Path(f"{self._folder}.before-{uuid.uuid4().hex}")
-        if self.exists() and not self._fs.rename(self._folder, kept):
-            raise OSError(f"cannot move {self._folder}")
-        if not self._fs.rename(self._jvm.org.apache.hadoop.fs.Path(new_folder), self._folder):
-            raise OSError(f"cannot move {new_folder}")
-        return kept.toString()
-
 
 def arrow_fs(folder: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a folder named by URI or absolute path; usable on any executor."""

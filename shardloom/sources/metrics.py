@@ -1,7 +1,13 @@
-"""Metric logs: JSON lines, one folder per run."""
+"""Metric logs: JSON lines, one folder per run.
+
+A log that has been trimmed is a version: a folder of its own under ``_log``, which the file ``_current`` names. Trimming writes a new
+version and then replaces that file, in one step; so a reader finds the old log or the new one, wherever a trim stops.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +22,25 @@ FILE_STEPS = 1_000_000
 RECORD_COLUMNS = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
 
 
+CURRENT, VERSIONS = "_current", "_log"
+
+
+def current_log(spark: SparkSession, path: str) -> str:
+    """Folder of the version in use: ``path`` itself as long as nothing was trimmed."""
+    files = DriverFiles(spark, path)
+    return f"{path.rstrip('/')}/{VERSIONS}/{files.read(CURRENT)}" if files.exists(CURRENT) else path
+
+
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all runs under ``path`` (``<run>/*.jsonl`` or ``run_id=<run>/*.json``), with ``run_id``.
+    """Records of all runs under ``path`` (``<run>/*.jsonl``, or the files Spark wrote under ``run_id=<run>``), with ``run_id``.
+    Other files of a run's folder, such as its config, are passed over.
 
     Blank lines are skipped; a malformed line fails the read.
     """
     lines = (
         spark.read.schema(RECORD_SCHEMA)
-        .options(mode="FAILFAST", recursiveFileLookup="true", pathGlobFilter="*.json*")
-        .json(path)
+        .options(mode="FAILFAST", recursiveFileLookup="true", pathGlobFilter="{*.jsonl,part-*.json*}")
+        .json(current_log(spark, path))
     )
     # The path is an encoded URI; in it, Spark's own partition folders are encoded once more.
     folder = _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
@@ -42,20 +58,19 @@ def append_metrics(records: DataFrame, path: str) -> None:
     rows = records.select("run_id", *RECORD_COLUMNS)
     # Few files per run, yet no run whole in one task.
     rows = rows.repartition("run_id", F.call_function("div", F.col("step"), F.lit(FILE_STEPS)))
-    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy("run_id").json(path)
+    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy("run_id").json(current_log(records.sparkSession, path))
 
 
 def sync_metrics(spark: SparkSession, path: str, saved: DataFrame) -> str | None:
     """Drop records past the saved step of their run, as a resumed run must. 0 empties a run's log.
 
-    The trimmed log is written beside the old one, then takes its place. Returns where the old one is
-    kept; None if there was no log.
+    The trimmed log is written as a new version, which then takes the old one's place at once. A trim that was stopped leaves a
+    version that nothing names; trimming again starts afresh. Returns the folder of the old version; None if there was no log.
     """
     files = DriverFiles(spark, path)
     if not files.exists():
         return None
-    fresh = f"{path.rstrip('/')}.trimmed"
-    if DriverFiles(spark, fresh).exists():
-        raise RuntimeError(f"an earlier trim was interrupted: {fresh} exists")
-    append_metrics(trim(read_metrics(spark, path), saved), fresh)
-    return files.swap(fresh)
+    before, version = current_log(spark, path), uuid.uuid4().hex
+    append_metrics(trim(read_metrics(spark, path), saved), f"{path.rstrip('/')}/{VERSIONS}/{version}")
+    files.publish(CURRENT, version)
+    return before

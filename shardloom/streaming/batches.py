@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from shardloom.sources.tokenshard import register
+from shardloom.sources.shards import batch_stream
 
-
-def batch_stream(
-    spark: SparkSession, path: str, split: str, batch_size: int, sequence_length: int, seed: int = 32, **options
-) -> DataFrame:
-    """Batches as ``split, epoch, ordinal, row, inputs, targets``, read from shard files by position.
-
-    Restarting with the same checkpoint goes on after the last batch drawn. See
-    :class:`~shardloom.sources.tokenshard.BatchStreamReader` for ``options``.
-    """
-    register(spark)
-    fixed = {"split": split, "batchsize": batch_size, "sequencelength": sequence_length, "seed": seed}
-    return spark.readStream.format("tokenshard").options(**fixed, **options).load(path)
+__all__ = ["batch_stream", "draw_to_table"]
 
 
 def draw_to_table(stream: DataFrame, table: str, checkpoint: str) -> None:

@@ -14,14 +14,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shardloom.functions.splits import SPLITS, assign_split
-from shardloom.operators.offsets import count_tokens, tokenize
-from shardloom.operators.packing import assemble, pieces, place_payload
-from shardloom.functions.tokenizers import tokens_of
+from shardloom.functions.splits import SPLITS
+from shardloom.functions.tokenizers import pack_ids
+from shardloom.operators.packing import assemble, pieces, place_documents, stored_counts
 from shardloom.sources.files import DriverFiles
 
 POSITION = "position.json"
-PACKED_SCHEMA = "shard_index int, token_count int, tokens array<int>, batch bigint, closed boolean, split string"
+SHARDS = "shard_index int, token_count int, tokens array<int>, closed boolean, split string"
+PACKED_SCHEMA = f"{SHARDS}, batch bigint"
+
+
+def batch_folder(root: str, batch: int) -> str:
+    return f"{root}/packed/batch={batch}"
+
+
+def open_shards(spark: SparkSession, root: str, position: dict) -> DataFrame | None:
+    """The shards that the last micro-batch left open, found by path alone; at most one for each split."""
+    name = f"{batch_folder('', position['batch'])}/closed=false".lstrip("/")
+    if position["batch"] < 0 or not DriverFiles(spark, root).exists(name):
+        return None
+    folder = f"{root}/{name}"
+    return spark.read.schema("shard_index int, token_count int, tokens array<int>, split string").option("basePath", folder).parquet(folder)
 
 
 def document_stream(spark: SparkSession, path: str, max_files_per_trigger: int = 1) -> DataFrame:
@@ -40,48 +53,38 @@ def position_of(spark: SparkSession, root: str) -> dict:
     return json.loads(files.read(POSITION))
 
 
-def _packed(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.schema(PACKED_SCHEMA).parquet(f"{root}/packed")
-
-
 def pack_micro_batch(
     documents: DataFrame, batch_id: int, root: str, tokenizer, shard_size: int, targets: dict[str, int] | None,
     order_key: str, text: str,
 ) -> None:
+    """Pack the documents of one micro-batch behind those before it. What came before is two totals and, by path, the shards
+    the last micro-batch left open, so the cost does not grow with what has been packed. Documents are read twice."""
     spark = documents.sparkSession
     position = position_of(spark, root)
     done = targets is not None and all(position["tokens"][s] >= targets[s] for s in SPLITS)
     if position["batch"] >= batch_id or done:
         return
-    keys = documents.agg(F.min(order_key).alias("low"), F.max(order_key).alias("high")).first()
+    counts = stored_counts(documents, tokenizer, order_key, text)
+    keys = counts.agg(F.min(order_key).alias("low"), F.max(order_key).alias("high")).first()
     if keys.low is None:
         return
     if position["last_key"] is not None and keys.low <= position["last_key"]:
         raise ValueError(f"documents out of order: key {keys.low} after {position['last_key']}")
 
-    split = assign_split(documents.select(order_key, text), text)
-    if hasattr(tokenizer, "count"):
-        rows, payload = count_tokens(split, tokenizer, text), text
-    else:
-        rows, payload = tokenize(split, tokenizer, text), "tokens"
     left = None if targets is None else {s: targets[s] - position["tokens"][s] for s in SPLITS}
-    placed = place_payload(rows, payload, order_key, left)
+    placed = place_documents(documents, counts, tokenizer, order_key, text, left)
     base = F.when(F.col("split") == "train", position["tokens"]["train"]).otherwise(position["tokens"]["val"])
-    placed = placed.withColumn("start", F.col("start") + base)
-    if payload == text:
-        tokens = tokens_of(tokenizer, F.col(text))
-        placed = placed.select("split", "start", "n_tokens", tokens.alias("tokens"))
-    cut = pieces(placed, shard_size)
-    if position["batch"] >= 0:
+    cut = pieces(placed.withColumn("start", F.col("start") + base), shard_size)
+    still_open = open_shards(spark, root, position)
+    if still_open is not None:
         # The open shard of each split, less than one shard of tokens, goes first.
-        still_open = _packed(spark, root).filter((F.col("batch") == position["batch"]) & ~F.col("closed"))
-        carried = still_open.select("split", "shard_index", F.lit(0).alias("lo"), F.col("tokens").alias("piece"))
+        carried = still_open.select("split", "shard_index", F.lit(0).alias("lo"), pack_ids(F.col("tokens")).alias("piece"))
         cut = cut.unionByName(carried)
     shards = assemble(cut).withColumn("closed", F.col("token_count") == shard_size)
-    shards.write.mode("overwrite").partitionBy("closed", "split").parquet(f"{root}/packed/batch={batch_id}")
+    shards.write.mode("overwrite").partitionBy("closed", "split").parquet(batch_folder(root, batch_id))
 
-    written = _packed(spark, root).filter(F.col("batch") == batch_id)
     end = F.max(F.col("shard_index").cast("bigint") * shard_size + F.col("token_count"))
+    written = spark.read.schema(SHARDS).parquet(batch_folder(root, batch_id))
     totals = {r.split: r.tokens for r in written.groupBy("split").agg(end.alias("tokens")).collect()}
     position = {
         "batch": batch_id,
@@ -126,4 +129,4 @@ def streamed_shards(spark: SparkSession, root: str, include_open: bool = True) -
     wanted = F.col("closed") & (F.col("batch") <= last)
     if include_open:
         wanted = wanted | (~F.col("closed") & (F.col("batch") == last))
-    return _packed(spark, root).filter(wanted).select("split", "shard_index", "token_count", "tokens")
+    return spark.read.schema(PACKED_SCHEMA).parquet(f"{root}/packed").filter(wanted).select("split", "shard_index", "token_count", "tokens")

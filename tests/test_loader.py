@@ -2,10 +2,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shardloom import LoaderState, batch_ordinals, batches, epoch_plan, export_batches, resume_from, step_plan, token_windows
+from shardloom import (
+    EpochOrder, LoaderState, batch_ordinals, batches, batches_in_order, epoch_plan, export_batches, loader_state, resume_from, step_plan,
+    token_windows, total_plan,
+)
+from shardloom.functions.shuffle import permuted, permuted_column, round_keys, round_keys_column
 from shardloom.operators.windows import undersized_shards
-from shardloom.plans.state import loader_state, require_batches
-from shardloom.plans.steps import eval_batches, step_cadence
+from shardloom.plans.epochs import ordered_shards
+from shardloom.plans.state import check_state, missing_of_state, require_batches, resume_order
+from shardloom.plans.steps import counted_updates, eval_batches, step_cadence, update_steps
 
 
 def drawn(rows):
@@ -97,7 +102,7 @@ def test_numpy_mode_is_bounded(shard_table, monkeypatch):
         epoch_plan(shard_table("train", {i: range(9) for i in range(2)}), 1, 4, epochs=2, mode="numpy")
 
 
-def test_hash_order_is_reproducible_and_differs_by_epoch_and_seed(shard_table):
+def test_keyed_order_is_reproducible_and_differs_by_epoch_and_seed(shard_table):
     shards = shard_table("train", {i: range(i * 10, i * 10 + 10) for i in range(8)})
 
     def orders(seed, partitions):
@@ -111,6 +116,71 @@ def test_hash_order_is_reproducible_and_differs_by_epoch_and_seed(shard_table):
     assert all(sorted(order) == list(range(8)) for order in first)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 4097])
+def test_permutation_and_its_inverse(spark, n):
+    keys = round_keys(10, 3)
+    places = permuted(np.arange(n), n, keys)
+    assert sorted(places) == list(range(n)) and (permuted(places, n, keys, inverse=True) == np.arange(n)).all()
+    made = spark.range(min(n, 300)).withColumn("k", round_keys_column(10, F.lit(3))).select(
+        "id", permuted_column(F.col("id"), F.lit(n), F.col("k")).alias("p"), permuted_column(F.col("id"), F.lit(n), F.col("k"), inverse=True).alias("q")
+    )
+    back = permuted(np.arange(n), n, keys, inverse=True)
+    assert all((r.p, r.q) == (places[r.id], back[r.id]) for r in made.collect())
+
+
+def test_permutations_are_even():
+    seen = np.zeros((5, 5))
+    orders = {}
+    for epoch in range(2000):
+        order = permuted(np.arange(5), 5, round_keys(1, epoch))
+        seen[np.arange(5), order] += 1
+        orders[tuple(order[:3])] = orders.get(tuple(order[:3]), 0) + 1
+    assert ((seen - 400) ** 2 / 400).sum() < 45 and len(orders) == 60 and max(orders.values()) < 65
+
+
+def test_order_of_a_billion_shards_is_an_expression(spark):
+    order = EpochOrder("train", 10**9, 1_000_000, 10**15 - 7, 4, 128, seed=9)
+    shards = spark.createDataFrame([("train", i, 1) for i in (0, 12_345, 10**9 - 1)], "split string, shard_index int, token_count int")
+    rows = {r.shard_index: r for r in ordered_shards(shards, order, range(5, 6)).collect()}
+    for index, r in rows.items():
+        place = int(order.place(index, 5))
+        assert (r.position, r.first_ordinal) == (place, order.first_ordinal(place, 5)) and int(order.shard_at(place, 5)) == index
+        assert order.locate(r.first_ordinal) == (5, place, 0) and order.locate(r.first_ordinal - 1)[1] == place - 1
+    assert next(order.segments(rows[0].first_ordinal + 3, rows[0].first_ordinal + 9)) == (0, 5, rows[0].first_ordinal + 3, 3, 6)
+
+
+@pytest.mark.parametrize("tokens", [40, 41, 44, 45, 49, 50])
+def test_closed_form_equals_the_general_plan(spark, shard_table, tokens):
+    lists = {i: range(i * 10, min(i * 10 + 10, tokens)) for i in range(-(-tokens // 10))}
+    shards = shard_table("train", lists).unionAll(shard_table("val", {0: range(10), 1: range(10), 2: range(6)}))
+    totals = spark.createDataFrame([("train", tokens), ("val", 26), ("none", 0)], "split string, tokens bigint")
+    plan = sorted(epoch_plan(shards, 1, 4, seed=5, epochs=3, first_epoch=2).collect())
+    assert plan == sorted(total_plan(totals, 10, 1, 4, seed=5, epochs=3, first_epoch=2).collect())
+    order = EpochOrder.of_totals(totals, "train", 10, 1, 4, seed=5)
+    for first, end in ((0, None), (0, 3 * order.per_epoch), (order.per_epoch - 1, order.per_epoch + 3)):
+        whole = batches(shards.filter("split = 'train'"), epoch_plan(shards.filter("split = 'train'"), 1, 4, seed=5, epochs=3), 1, 4, first, end or order.per_epoch)
+        assert drawn(batches_in_order(shards, order, first, end)) == drawn(whole)
+    pieces = [p for at in range(0, 3 * order.per_epoch, 3) for p in order.segments(at, min(at + 3, 3 * order.per_epoch))]
+    listed = {r.ordinal: (r.shard_index, r.epoch, r.batch_in_shard) for r in batch_ordinals(epoch_plan(shards.filter("split = 'train'"), 1, 4, seed=5, epochs=3), 1, 4).collect()}
+    assert {o + i: (s, e, b + i) for s, e, o, b, n in pieces for i in range(n)} == listed
+
+
+def test_narrow_batches_move_no_token(spark, shard_table):
+    order = EpochOrder("train", 3, 10, 30, 1, 4)
+    plan = batches_in_order(shard_table("train", {i: range(10) for i in range(3)}), order)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_uneven_or_empty_sets_have_no_closed_form(spark):
+    for shards, size, tokens in ((3, 10, 31), (3, 10, 20)):
+        with pytest.raises(ValueError, match="not of one size"):
+            EpochOrder("train", shards, size, tokens, 1, 4)
+    with pytest.raises(ValueError, match="No shards found"):
+        EpochOrder("train", 0, 10, 0, 1, 4)
+    with pytest.raises(ValueError, match="No shard contains enough tokens"):
+        EpochOrder("train", 1, 10, 4, 1, 4)
+
+
 @pytest.mark.parametrize("split", ["train", "val"])
 def test_batches_equal_a_sequential_loader(shard_table, split):
     lists = {1: range(100, 109), 2: range(200, 203), 3: range(300, 317), 4: range(400, 405)}
@@ -118,27 +188,28 @@ def test_batches_equal_a_sequential_loader(shard_table, split):
     names = {f"dataset_{split}_{i:06d}.bin": list(t) for i, t in lists.items()}
     expected = simulate(names, split, 1, 4, 11, 20)
     plan = epoch_plan(shards, 1, 4, seed=11, epochs=4, mode="numpy")
-    for broadcast_rows in (100, 0):
-        got = drawn(batches(shards, plan, 1, 4, end=20, broadcast_rows=broadcast_rows))
-        assert [(e, i, t) for e, i, t, *_ in expected] == got
+    got = drawn(batches(shards, plan, 1, 4, end=20))
+    assert [(e, i, t) for e, i, t, *_ in expected] == got
+    with pytest.raises(ValueError, match="plan more epochs"):
+        batches(shards, plan, 1, 4, end=10_000)
     ordinals = batch_ordinals(plan, 1, 4).filter("ordinal < 20").orderBy("ordinal").collect()
     assert [r.token_position + 4 for r in ordinals] == [at for *_, at in expected]
 
 
-@pytest.mark.parametrize("mode", ["numpy", "hash"])
+@pytest.mark.parametrize("first", [0, 1])
 @pytest.mark.parametrize("n", [0, 1, 5, 8, 9])
-def test_resume_equals_the_tail_of_the_whole_run(spark, shard_table, mode, n):
-    shards = shard_table("train", {i: range(i * 100, i * 100 + 9) for i in range(1, 5)})
-    whole = drawn(batches(shards, epoch_plan(shards, 1, 4, seed=11, epochs=4, mode=mode), 1, 4))
-    state = LoaderState.from_json(loader_state(shards, "train", 1, 4, n, seed=11, mode=mode).to_json())
-    assert state.mode == mode
+def test_resume_equals_the_tail_of_the_whole_run(spark, shard_table, first, n):
+    """Sets numbered from 0 have a closed form, others do not."""
+    shards = shard_table("train", {i + first: range(i * 100, i * 100 + 9) for i in range(4)})
+    whole = drawn(batches(shards, epoch_plan(shards, 1, 4, seed=11, epochs=4), 1, 4))
+    state = LoaderState.from_json(loader_state(shards, "train", 1, 4, n, seed=11).to_json())
     plan, following = resume_from(shards, state, "train", 1, 4, epochs=4 - state.epoch)
     assert following == n
     assert drawn(batches(shards, plan, 1, 4, first=following)) == whole[n:]
-    if n and mode == "numpy":
-        names = {f"dataset_train_{i:06d}.bin": list(range(i * 100, i * 100 + 9)) for i in range(1, 5)}
-        *_, place, at = simulate(names, "train", 1, 4, 11, n)[-1]
-        assert (state.current_shard, state.token_position) == (place, at)
+    order, following = resume_order(shards, state, "train", 1, 4)
+    assert (order is None) == (first == 1) and following == n
+    if order:
+        assert drawn(batches_in_order(shards, order, following, 4 * order.per_epoch)) == whole[n:]
 
 
 def test_states_are_checked(spark, shard_table):
@@ -148,12 +219,13 @@ def test_states_are_checked(spark, shard_table):
     state = loader_state(shards, "train", 1, 4, 3)
     with pytest.raises(ValueError, match="mismatch"):
         resume_from(shards, state, "train", 2, 4)
-    with pytest.raises(ValueError, match="no shards"):
-        resume_from(shards, replace(state, shard_count=0), "train", 1, 4)
+    with pytest.raises(ValueError, match="without any shards"):
+        resume_from(shards, replace(state, shards=replace(state.shards, counts=(0, 0, 0))), "train", 1, 4)
     with pytest.raises(FileNotFoundError, match="dataset_train_000002"):
         resume_from(shards.filter("shard_index = 1"), state, "train", 1, 4)
-    with pytest.raises(ValueError, match="differ"):
-        resume_from(shard_table("train", {1: range(20), 2: range(21)}), state, "train", 1, 4)
+    for other in ({1: range(20), 2: range(21)}, {1: range(20), 2: range(20), 3: range(20)}, {0: range(9), 1: range(20), 2: range(20)}):
+        with pytest.raises(ValueError, match="differ"):
+            resume_from(shard_table("train", other), state, "train", 1, 4)
     for broken, message in (
         ({"current_shard": 2}, "shard index"), ({"current_shard": -1}, "shard index"),
         ({"token_position": -4}, "token position"), ({"token_position": 3}, "token position"),
@@ -165,6 +237,22 @@ def test_states_are_checked(spark, shard_table):
         loader_state(shards, "test", 1, 4, 0)
 
 
+def test_a_state_knows_which_of_many_shards_are_gone(spark):
+    rows = spark.range(100_000).selectExpr("'train' AS split", "CAST(id AS INT) AS shard_index", "100 AS token_count")
+    state = LoaderState.from_json(loader_state(rows, "train", 1, 4, 12_345).to_json())
+    assert len(state.to_json()) < 16_000 and state.shards.shards == 100_000
+    check_state(rows, state, "train", 1, 4)
+    gone = {0, 5, 777, 50_000, 99_999}
+    left = rows.filter(~F.col("shard_index").isin(*gone))
+    assert {r.shard_name for r in missing_of_state(left, state).collect()} == {f"dataset_train_{i:06d}.bin" for i in gone}
+    with pytest.raises(FileNotFoundError) as raised:
+        check_state(left, state, "train", 1, 4)
+    assert str(raised.value).count("there)") == 4  # 0 and 5 share a range
+    resized = rows.withColumn("token_count", F.when(F.col("shard_index") == 50_000, 99).otherwise(100))
+    with pytest.raises(ValueError, match="differ.*dataset_train_04"):
+        check_state(resized, state, "train", 1, 4)
+
+
 def test_steps_group_batches_and_mark_what_is_due(spark):
     ordinals = spark.range(40).withColumnRenamed("id", "ordinal")
     rows = step_plan(ordinals, 4, 2, 8, total_steps=7).orderBy("ordinal").collect()
@@ -177,8 +265,20 @@ def test_steps_group_batches_and_mark_what_is_due(spark):
         step_plan(ordinals, 0, 1, 1)
 
 
-def test_eval_batches_are_the_first_of_validation(spark):
-    rows = spark.createDataFrame([("val", i) for i in range(5)] + [("train", 0)], "split string, ordinal bigint")
-    assert sorted(r.ordinal for r in eval_batches(rows, 3).filter(F.col("split") == "val").collect()) == [0, 1, 2]
+@pytest.mark.parametrize("count, total", [(10, None), (8, 7), (29, 7), (1, 7)])
+def test_updates_follow_from_the_number_of_batches(spark, count, total):
+    planned = step_plan(spark.range(count).withColumnRenamed("id", "ordinal"), 4, 2, 8, total_steps=total)
+    schedule = {"warmup_steps": 2, "total_steps": total or 9}
+    listed = sorted(update_steps(planned, **schedule).collect())
+    assert sorted(counted_updates(spark, count, 4, 2, 8, total, **schedule).collect()) == listed
+
+
+def test_eval_batches_are_the_first_of_validation_over_epochs(spark, shard_table):
+    shards = shard_table("val", {0: range(10), 1: range(10, 16)}).unionAll(shard_table("train", {0: range(50, 60)}))
+    order = EpochOrder("val", 2, 10, 16, 1, 4)
+    got = drawn(eval_batches(shards, order, 5))
+    assert [(e, i[0][0]) for e, i, _ in got] == [(0, 0), (0, 4), (0, 10), (1, 0), (1, 4)]
     with pytest.raises(ValueError, match="eval_steps"):
-        eval_batches(rows, 0)
+        eval_batches(shards, order, 0)
+    with pytest.raises(ValueError, match="val split"):
+        eval_batches(shards, EpochOrder("train", 1, 10, 10, 1, 4), 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shardloom import ByteTokenizer, apply_budget, pack_documents, pack_shards, split_totals, token_offsets, tokenize
 from shardloom.functions.splits import assign_split
+from shardloom.functions.tokenizers import pack_ids, packed_slice, packed_tokens, unpack_ids
 from shardloom.operators.offsets import counted_documents
 from shardloom.operators.ordered import range_blocks, running_sums
 from shardloom.plans.epochs import shard_layout
@@ -63,18 +64,19 @@ def test_packing_does_not_depend_on_partitions(spark, partitions):
 
 @pytest.mark.parametrize("bits", [1, 4, 20])
 def test_packing_does_not_depend_on_block_size(spark, monkeypatch, bits):
-    monkeypatch.setattr("shardloom.operators.packing.PAYLOAD_BLOCK_BITS", bits)
+    monkeypatch.setattr("shardloom.operators.ordered.BLOCK_BITS", bits)
+    monkeypatch.setattr("shardloom.operators.ordered.SUPER_BITS", bits)
     rows, _, streams = random_documents(spark, 150)
     check_streams(pack_shards(rows, 37).collect(), streams, 37)
 
 
 def test_a_document_may_span_very_many_shards(spark):
-    rows = spark.range(2).selectExpr("id AS doc_id", "'train' AS split", "sequence(int(id), int(id) + 1999999) AS tokens")
+    rows = spark.range(2).selectExpr("id AS doc_id", "'train' AS split", "transform(sequence(int(id), int(id) + 1999999), x -> x % 65536) AS tokens")
     packed = pack_shards(rows, 500)
     ends = packed.selectExpr("shard_index", "token_count", "tokens[0] AS a", "tokens[499] AS z").orderBy("shard_index").collect()
     assert [r.token_count for r in ends] == [500] * 8000
-    assert [(r.a, r.z) for r in ends[:4000]] == [(i * 500, i * 500 + 499) for i in range(4000)]
-    assert [(r.a, r.z) for r in ends[4000:]] == [(i * 500 + 1, i * 500 + 500) for i in range(4000)]
+    assert [(r.a, r.z) for r in ends[:4000]] == [(i * 500 % 65536, (i * 500 + 499) % 65536) for i in range(4000)]
+    assert [(r.a, r.z) for r in ends[4000:]] == [((i * 500 + 1) % 65536, (i * 500 + 500) % 65536) for i in range(4000)]
 
 
 def test_sparse_and_negative_keys(spark):
@@ -87,7 +89,7 @@ def test_superblocks_are_summed_in_order(spark):
     # Keys far apart fall into different superblocks of the second level.
     keys = [i << 31 for i in range(12)] + [(i << 31) + 5 for i in range(12)]
     rows, plain, _ = random_documents(spark, keys=keys)
-    offsets = token_offsets(rows.withColumn("n_tokens", F.size("tokens").cast("bigint")), levels=2).collect()
+    offsets = token_offsets(rows.withColumn("n_tokens", F.size("tokens").cast("bigint"))).collect()
     start = {"train": 0, "val": 0}
     expected = {}
     for key, split, tokens in sorted(plain):
@@ -99,18 +101,47 @@ def test_superblocks_are_summed_in_order(spark):
 @pytest.mark.parametrize("rows, message", [
     ([(1, "train", [1]), (1, "train", [2])], "duplicate order key"),
     ([(None, "train", [1])], "order key is null"),
-    ([(1 << 51, "train", [1])], "order key outside"),
 ])
 def test_bad_order_keys(spark, rows, message):
     with pytest.raises(JOB_ERRORS, match=message):
         pack_shards(spark.createDataFrame(rows, TOKENIZED), 10).collect()
 
 
-def test_narrow_offsets_reject_keys_their_levels_do_not_cover(spark):
-    rows = spark.createDataFrame([(1 << 40, "train", 3)], "doc_id bigint, split string, n_tokens bigint")
-    with pytest.raises(JOB_ERRORS, match="use more levels"):
-        token_offsets(rows).collect()
-    assert token_offsets(rows, levels=2).first().start == 0
+def test_offsets_and_packing_take_every_64_bit_key(spark):
+    keys = [-(1 << 63), -(1 << 62) - 7, -1, 0, 1 << 40, (1 << 40) + 1, 1 << 51, (1 << 63) - 1]
+    rows, plain, streams = random_documents(spark, keys=keys)
+    check_streams(pack_shards(rows, 7).collect(), streams, 7)
+    start, expected = {"train": 0, "val": 0}, {}
+    for key, split, tokens in sorted(plain):
+        expected[key] = start[split]
+        start[split] += len(tokens)
+    counted = rows.withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    assert {r.doc_id: r.start for r in token_offsets(counted).collect()} == expected
+
+
+def test_packed_ids_take_two_bytes_and_come_back(spark):
+    lists = [[], [0], [65535, 1, 256], list(range(300))]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "id int, tokens array<int>")
+    packed = rows.select("id", pack_ids(F.col("tokens")).alias("p"))
+    assert {r.id: bytes(r.p) for r in packed.collect()} == {i: np.array(x, "<u2").tobytes() for i, x in enumerate(lists)}
+    both = packed.select("id", unpack_ids(F.array("p", packed_slice(F.col("p"), F.lit(1), F.lit(2)))).alias("t"))
+    assert {r.id: r.t for r in both.collect()} == {i: x + x[1:3] for i, x in enumerate(lists)}
+    text = spark.createDataFrame([("",), ("aé",)], "text string")
+    assert [bytes(r[0]) for r in text.select(packed_tokens(ByteTokenizer(), F.col("text"))).collect()] == [
+        np.array(x, "<u2").tobytes() for x in ([50256], [50256, 97, 195, 169])
+    ]
+    for bad in ([-1], [65536]):
+        with pytest.raises(JOB_ERRORS, match="token id outside"):
+            spark.createDataFrame([(bad,)], "t array<int>").select(pack_ids(F.col("t"))).collect()
+
+
+def test_text_is_hashed_once_and_tokens_travel_in_two_bytes(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(100)], "doc_id bigint, text string")
+    rows.write.parquet(str(tmp_path / "docs"))
+    plan = pack_documents(spark.read.parquet(str(tmp_path / "docs")), ByteTokenizer(), 64)._jdf.queryExecution().executedPlan().toString()
+    assert "sha2" not in plan and plan.count("text#") > 0
+    exchange = [line for line in plan.splitlines() if "Exchange" in line and "shard_index" in line]
+    assert len(exchange) == 1 and "array<int>" not in exchange[0]
 
 
 def test_budget_keeps_the_overshooting_document_whole(spark):

@@ -1,5 +1,4 @@
 import json
-import math
 
 import numpy as np
 import pytest
@@ -8,6 +7,8 @@ from pyspark.sql import functions as F
 from shardloom import append_metrics, learning_rate, read_metrics, sync_metrics
 from shardloom.functions.schedule import tokens_seen
 from shardloom.operators import runlog
+from shardloom.sources import metrics
+from shardloom.sources.files import DriverFiles
 
 RECORDS = "run_id string, step bigint, tokens bigint, train_loss double, val_loss double, learning_rate double, gradient_norm double"
 
@@ -30,6 +31,8 @@ def log(spark, runs):
 def test_read_all_runs_and_skip_blank_lines(spark, tmp_path):
     write_log(tmp_path / "runs" / "a", [json.dumps(record(1)), "", json.dumps(record(2, val_loss=2.5)), "   "])
     write_log(tmp_path / "runs" / "b", [json.dumps(record(1))])
+    # A run's folder also holds its config, which is JSON of another shape.
+    (tmp_path / "runs" / "b" / "config.json").write_text(json.dumps({"seed": 10, "batch_size": 4}, indent=2))
     (tmp_path / "runs" / "b" / "notes.txt").write_text("not a log")
     rows = sorted(read_metrics(spark, str(tmp_path / "runs")).collect())
     assert [(r.run_id, r.step, r.val_loss) for r in rows] == [("a", 1, None), ("a", 2, 2.5), ("b", 1, None)]
@@ -52,13 +55,46 @@ def test_append_and_sync(spark, tmp_path):
     kept = sync_metrics(spark, path, saved)
     left = sorted((r.run_id, r.step) for r in read_metrics(spark, path).collect())
     assert left == [("b", 1), ("run a+%/1", 1), ("run a+%/1", 2)]
-    assert read_metrics(spark, kept).count() == 6
+    assert read_metrics(spark, kept).count() == 3  # the old path now leads to the new version
+    append_metrics(log(spark, {"b": [(2, 4.0, None)]}), path)
+    again = sync_metrics(spark, path, spark.createDataFrame([("b", 1)], "run_id string, saved_step bigint"))
+    assert sorted((r.run_id, r.step) for r in read_metrics(spark, path).collect()) == left
+    assert again != path and read_metrics(spark, again).count() == 4
+
+
+@pytest.mark.parametrize("stop", ["before writing", "while writing", "before the switch", "after the switch"])
+def test_a_trim_may_stop_anywhere(spark, tmp_path, monkeypatch, stop):
+    path, saved = str(tmp_path / "log"), spark.createDataFrame([("a", 2)], "run_id string, saved_step bigint")
+    append_metrics(log(spark, {"a": [(s, 1.0, None) for s in range(1, 6)]}), path)
+    append, publish = metrics.append_metrics, DriverFiles.publish
+
+    def torn(records, target):
+        if stop == "while writing":
+            append(records.limit(1), target)
+        raise KeyboardInterrupt
+
+    def halted(self, name, text):
+        if stop == "after the switch":
+            publish(self, name, text)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        if stop.endswith("writing"):
+            patched.setattr(metrics, "append_metrics", torn)
+        else:
+            patched.setattr(DriverFiles, "publish", halted)
+        with pytest.raises(KeyboardInterrupt):
+            sync_metrics(spark, path, saved)
+    steps = sorted(r.step for r in read_metrics(spark, path).collect())
+    assert steps == ([1, 2] if stop == "after the switch" else [1, 2, 3, 4, 5])
+    sync_metrics(spark, path, saved)
+    assert sorted(r.step for r in read_metrics(spark, path).collect()) == [1, 2]
 
 
 @pytest.mark.parametrize("saved, left", [(0, 0), (5, 5), (99, 8)])
 def test_trim(spark, saved, left):
-    metrics = log(spark, {"a": [(s, 1.0, None) for s in range(1, 9)]})
-    assert runlog.trim(metrics, spark.createDataFrame([("a", saved)], "run_id string, saved_step bigint")).count() == left
+    records = log(spark, {"a": [(s, 1.0, None) for s in range(1, 9)]})
+    assert runlog.trim(records, spark.createDataFrame([("a", saved)], "run_id string, saved_step bigint")).count() == left
 
 
 def random_runs():
@@ -113,34 +149,31 @@ def test_means_over_batches(spark):
     assert means == {1: 1.5, 2: 5.5}
 
 
-def schedule(step, warmup=100, total=1120, low=3e-5, high=3e-4):
-    if step <= warmup:
-        return step * (high / warmup)
-    if step >= total:
-        return low
-    return low + 0.5 * (1 + math.cos(math.pi * (step - warmup) / (total - warmup))) * (high - low)
-
-
 def test_schedule(spark):
-    rows = spark.range(0, 1300).select("id", learning_rate(F.col("id")).alias("rate")).collect()
-    assert all(r.rate == pytest.approx(schedule(r.id), rel=1e-14) for r in rows)
-    rates = {r.id: r.rate for r in rows}
+    low, high, warmup, total = 2e-5, 4e-4, 60, 560
+    rate = learning_rate(F.col("id"), max_lr=high, min_lr=low, warmup_steps=warmup, total_steps=total)
+    rates = [r.rate for r in spark.range(0, 700).select("id", rate.alias("rate")).orderBy("id").collect()]
+    assert rates[0] == 0 and rates[warmup] == pytest.approx(high) and all(r == low for r in rates[total:])
+    assert np.allclose(np.diff(rates[: warmup + 1]), high / warmup)  # linear warmup
+    fall = np.array(rates[warmup : total + 1])
+    assert (np.diff(fall) < 0).all() and fall[len(fall) // 2] == pytest.approx((low + high) / 2)
+    assert np.allclose(fall + fall[::-1], low + high)  # the cosine is odd about its middle
+    assert max(abs(np.diff(rates))) < high / warmup * 1.01  # no jump anywhere
     # Rates a real run logged at some of its last steps.
     logged = {1111: 3.0051863328339198e-05, 1115: 3.0016007908759617e-05, 1119: 3.000064032849907e-05, 1120: 3e-05}
-    assert all(rates[s] == pytest.approx(v, rel=1e-14) for s, v in logged.items())
+    rows = spark.range(1111, 1121).select("id", learning_rate(F.col("id")).alias("rate")).collect()
+    assert all(r.rate == pytest.approx(logged[r.id], rel=1e-14) for r in rows if r.id in logged)
     assert spark.range(3, 4).select(tokens_seen(F.col("id"), 4, 4, 128)).first()[0] == 6144
 
 
+def test_every_record_is_aligned_with_its_plan(spark):
+    rows = [("a", s, s * 64, 1.0, None, rate, None) for s, rate in ((1, 1e-3), (2, None), (5000, 3e-5))]
+    found = {r.step: r for r in runlog.align_schedule(spark.createDataFrame(rows, RECORDS), 2, 4, 8).collect()}
+    assert {s: r.token_drift for s, r in found.items()} == {1: 0, 2: 0, 5000: 0}
+    assert found[1].rate_drift == pytest.approx(1e-3 - 3e-6) and found[2].rate_drift is None and found[5000].rate_drift == 0
+
+
 @pytest.mark.parametrize("options", [{"min_lr": 0}, {"min_lr": 1.0}, {"warmup_steps": 0}, {"warmup_steps": 1120}])
 def test_schedule_rules(options):
     with pytest.raises(ValueError):
         learning_rate(F.lit(1), **options)
-
-
-def test_alignment_shows_drift(spark):
-    metrics = spark.createDataFrame([("a", 5, 5 * 2048, 1.0, None, schedule(5), 1.0)], RECORDS)
-    updates = spark.range(1, 10).select(
-        F.col("id").alias("update_step"), tokens_seen(F.col("id"), 4, 4, 128).alias("tokens"), learning_rate(F.col("id")).alias("learning_rate")
-    )
-    row = runlog.align_schedule(metrics, updates).first()
-    assert (row.planned_rate, row.planned_tokens) == (row.learning_rate, row.tokens)

@@ -1,12 +1,14 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shardloom import BpeTokenizer, ByteTokenizer, prepare_dataset, read_shards, validate_shards
 from shardloom.functions.names import index_from_name, shard_name, split_from_name
 from shardloom.operators.checks import difference, missing_shards
 from shardloom.sources.shards import require_valid, scan_headers, write_shards
+from shardloom.sources.tokenshard import ShardFileWriter
 from pyspark.sql import functions as F
 
 TARGETS = {"train": 3_000, "val": 200}
@@ -49,6 +51,33 @@ def test_writer_rejects_bad_rows(spark, shard_table, tmp_path, tokens, split):
         write_shards(shard_table(split, {0: tokens}), str(tmp_path / "set"))
 
 
+def test_a_failed_job_leaves_nothing_and_can_be_repeated(spark, shard_table, tmp_path):
+    folder = tmp_path / "set"
+    good = shard_table("train", {i: range(5) for i in range(6)}).repartition(3, "shard_index")
+    bad = good.unionAll(shard_table("train", {9: [70_000]}).coalesce(1))
+    with pytest.raises(Exception, match="token id outside"):
+        write_shards(bad, str(folder))
+    assert not [p for p in folder.iterdir() if p.is_dir() or p.name.endswith(".bin")]
+    write_shards(good, str(folder))
+    assert sorted(p.name for p in folder.iterdir()) == [f"dataset_train_{i:06d}.bin" for i in range(6)]
+
+
+def test_only_committed_attempts_are_seen(tmp_path):
+    writer = ShardFileWriter({"path": str(tmp_path / "set")}, overwrite=False)
+    rows = pa.record_batch({"split": ["val"], "shard_index": pa.array([0], pa.int32()), "tokens": pa.array([[1, 2]], pa.list_(pa.int32()))})
+    first, second = writer.write(iter([rows])), writer.write(iter([rows]))  # a speculative attempt
+    assert first.attempt != second.attempt and not list((tmp_path / "set").glob("*.bin"))
+    writer.commit([None, second])
+    assert [p.name for p in (tmp_path / "set").iterdir()] == ["dataset_val_000000.bin"]
+    with pytest.raises(FileExistsError, match="written once"):
+        ShardFileWriter({"path": str(tmp_path / "set")}, overwrite=False)
+    twice = ShardFileWriter({"path": str(tmp_path / "twice")}, overwrite=False)
+    with pytest.raises(RuntimeError, match="share a name"):
+        twice.commit([twice.write(iter([rows, rows]))])
+    twice.abort([])
+    assert not list((tmp_path / "twice").iterdir())
+
+
 def test_shard_sets_are_written_once(spark, shard_table, tmp_path):
     write_shards(shard_table("train", {0: [1]}), str(tmp_path / "set"))
     with pytest.raises(FileExistsError, match="written once"):
@@ -89,6 +118,8 @@ def test_split_filter_reaches_the_reader(spark, shard_file, tmp_path):
         val = files.filter("split = 'val'")
         assert val.rdd.getNumPartitions() == 3 and val.count() == 3
         assert read_shards(spark, str(tmp_path)).filter("split = 'val' AND shard_index > 0").count() == 2
+        for none in ("split = 'test'", "split = 'val' AND split = 'train'"):
+            assert files.filter(none).count() == 0
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
 
@@ -107,14 +138,18 @@ def test_validation_finds_every_fault(spark, shard_file, tmp_path):
     rows = {names.get(r.shard_name, "trailing"): r for r in validate_shards(spark, str(tmp_path)).collect()}
     assert {fault for fault, r in rows.items() if r.valid} == {"ok", "trailing"}
     assert not rows["magic"].magic_ok and not rows["version"].version_ok and not rows["words"].header_ok
+    assert all(r.found_ok for r in rows.values())
     assert not rows["zero"].count_ok and not rows["negative"].count_ok and rows["negative"].token_count == -5
     assert rows["short"].count_ok and not rows["short"].payload_ok
     assert read_shards(spark, str(tmp_path), "val").first().tokens == [0, 1, 2, 3]
     require_valid(spark, str(tmp_path), "val")
-    with pytest.raises(ValueError, match="Token count not positive"):
+    with pytest.raises(ValueError, match="count_ok broken by 2, first dataset_train_000003.*payload_ok broken by 1"):
         require_valid(spark, str(tmp_path), "train")
-    with pytest.raises(Exception, match="File not right format|Token count not positive"):
+    with pytest.raises(Exception, match="unreadable shard dataset_train_"):
         read_shards(spark, str(tmp_path), "train").collect()
+    read = {r.shard_index: (r.fault, r.tokens) for r in read_shards(spark, str(tmp_path), "train", faults=True).collect()}
+    rules = [None, "magic_ok", "version_ok", "count_ok", "count_ok", "payload_ok", "header_ok"]
+    assert read == {i: (rule, None if rule else list(range(10))) for i, rule in enumerate(rules)}
 
 
 def test_names(spark):
@@ -152,12 +187,12 @@ def test_prepare_with_a_tokenizer_that_cannot_count(spark, documents, tmp_path):
 
 
 def test_shortfall_and_leftovers_are_errors(spark, documents, tmp_path):
-    with pytest.raises(RuntimeError, match=r"Train Tokens: \d+, Validation Tokens: \d+"):
+    with pytest.raises(RuntimeError, match=r"train has \d+ of 1000000000 tokens, val has \d+ of 1 "):
         prepare_dataset(documents, str(tmp_path / "set"), ByteTokenizer(), 256, {"train": 10**9, "val": 1})
     assert not (tmp_path / "set").exists()
     (tmp_path / "part").mkdir()
     (tmp_path / "part" / "dataset_train_000000.bin").write_bytes(b"")
-    with pytest.raises(RuntimeError, match="Incomplete dataset"):
+    with pytest.raises(RuntimeError, match="without a manifest"):
         prepare_dataset(documents, str(tmp_path / "part"), ByteTokenizer(), 256, TARGETS)
 
 

@@ -2,9 +2,10 @@ import json
 
 import pytest
 
-from shardloom import ByteTokenizer, BpeTokenizer, epoch_plan, batches, pack_documents, prepare_dataset
+from shardloom import ByteTokenizer, BpeTokenizer, epoch_plan, batches, pack_documents, prepare_dataset, read_batches
 from shardloom.operators.checks import difference
 from shardloom.sources.shards import read_shards, write_shards
+from shardloom.sources.tokenshard import BatchStreamReader
 from shardloom.streaming.batches import batch_stream, draw_to_table
 from shardloom.streaming.prepare import (
     document_stream, pack_micro_batch, position_of, prepare_stream, streamed_shards,
@@ -71,30 +72,65 @@ def shard_set(spark, tmp_path):
     return path
 
 
-@pytest.mark.parametrize("split, mode", [("train", "hash"), ("train", "numpy"), ("val", "hash")])
-def test_drawn_batches_equal_planned_ones(spark, tmp_path, shard_set, split, mode):
+@pytest.mark.parametrize("split", ["train", "val"])
+def test_drawn_batches_equal_planned_ones(spark, tmp_path, shard_set, split):
     table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
     # Stopped at 10, gone on to 57: more than two epochs of val, in small tasks.
     for until in (10, 57):
-        stream = batch_stream(spark, shard_set, split, 2, 8, seed=7, mode=mode, untilordinal=until, batchespertask=6)
+        stream = batch_stream(spark, shard_set, split, 2, 8, seed=7, untilordinal=until, batchespertask=6)
         draw_to_table(stream, table, checkpoint)
     shards = read_shards(spark, shard_set, split)
-    plan = epoch_plan(shards, 2, 8, seed=7, epochs=12, mode=mode)
+    plan = epoch_plan(shards, 2, 8, seed=7, epochs=12)
     planned = batches(shards, plan, 2, 8, end=57)
     got = spark.read.parquet(table)
     assert got.count() == 2 * 57
     assert difference(planned, got).count() == 0
 
 
-@pytest.mark.parametrize("mode", ["hash", "numpy"])
-def test_a_complete_set_is_drawn_by_its_manifest(spark, tmp_path, mode):
+def test_a_complete_set_is_drawn_by_its_manifest(spark, tmp_path):
     path = str(tmp_path / "complete")
     prepare_dataset(documents(spark), path, BYTES, 100, {"train": 3000, "val": 100})
-    stream = batch_stream(spark, path, "train", 2, 8, seed=3, mode=mode, untilordinal=400)
+    stream = batch_stream(spark, path, "train", 2, 8, seed=3, untilordinal=400)
     draw_to_table(stream, str(tmp_path / "table"), str(tmp_path / "checkpoint"))
     shards = read_shards(spark, path, "train")
-    planned = batches(shards, epoch_plan(shards, 2, 8, seed=3, epochs=4, mode=mode), 2, 8, end=400)
+    planned = batches(shards, epoch_plan(shards, 2, 8, seed=3, epochs=4), 2, 8, end=400)
     assert difference(planned, spark.read.parquet(str(tmp_path / "table"))).count() == 0
+    assert difference(planned, read_batches(spark, path, "train", 2, 8, seed=3, end=400, batchespertask=7)).count() == 0
+    some = planned.filter("ordinal >= 250")
+    assert difference(some, read_batches(spark, path, "train", 2, 8, seed=3, first=250, end=400)).count() == 0
+
+
+def test_reading_by_position_moves_no_token_and_lists_no_shard(spark, tmp_path, monkeypatch):
+    path = tmp_path / "large"
+    path.mkdir()
+    manifest = {"shard_size": 1000, "train_shards": 10**9, "train_tokens": 10**12, "validation_shards": 1, "validation_tokens": 9}
+    (path / "manifest.json").write_text(json.dumps(manifest))
+    rows = read_batches(spark, str(path), "train", 2, 8, first=10**10, end=10**10 + 5000)
+    assert rows.rdd.getNumPartitions() == 5 and "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    reader = BatchStreamReader({"path": str(path), "batchsize": "2", "sequencelength": "8", "untilordinal": str(10**10)})
+    assert len(reader.partitions({"ordinal": 10**10 - 10_000}, {"ordinal": 10**10})) == 10
+
+
+def test_uneven_sets_are_read_by_a_table_of_sizes(spark, tmp_path, shard_file):
+    for i, n in ((1, 60), (2, 17), (5, 3), (7, 33)):
+        shard_file(tmp_path / f"dataset_train_{i:06d}.bin", range(i * 100, i * 100 + n))
+    shards = read_shards(spark, str(tmp_path), "train")
+    planned = batches(shards, epoch_plan(shards, 1, 8, seed=2, epochs=3), 1, 8, end=30)
+    assert difference(planned, read_batches(spark, str(tmp_path), "train", 1, 8, seed=2, end=30, batchespertask=4)).count() == 0
+    with pytest.raises(ValueError, match="no complete data set"):
+        read_batches(spark, str(tmp_path), "train", 1, 8)
+
+
+def test_a_micro_batch_reads_what_is_open_only(spark, tmp_path):
+    root = str(tmp_path / "out")
+    for batch in range(4):
+        pack_micro_batch(documents(spark, batch * 50, batch * 50 + 50), batch, root, BYTES, 64, None, "doc_id", "text")
+        if batch == 2:  # what is closed is not needed again
+            for old in range(2):
+                (tmp_path / "out" / "packed" / f"batch={old}").rename(tmp_path / f"kept-{old}")
+    for old in range(2):
+        (tmp_path / f"kept-{old}").rename(tmp_path / "out" / "packed" / f"batch={old}")
+    assert difference(pack_documents(documents(spark, 0, 200), BYTES, 64), streamed_shards(spark, root)).count() == 0
 
 
 def test_paced_stream_goes_on_after_a_restart(spark, tmp_path, shard_set):
