@@ -16,7 +16,7 @@ at one node travel as packed pieces, in order, through a running SHA-256.
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
+from itertools import groupby, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,8 +31,8 @@ WIDTH = 8
 DIGEST = 16
 #: Conversations share the opening of the first of their family of ``FAMILY`` ids, up to ``OPENING - 1`` turns of it.
 FAMILY, OPENING = 100, 6
-#: Member ids in one packed piece, and turns of one conversation that meet in a task.
-PIECE, STRETCH = 8192, 1 << 16
+#: Member ids in one packed piece, rows in a batch of pieces, and turns of one conversation that meet in a task.
+PIECE, BATCH, STRETCH = 2048, 256, 1 << 16
 COLUMNS = [f"t{i}" for i in range(1, WIDTH + 1)]
 
 
@@ -186,20 +186,29 @@ def ends_digests(blocks: DataFrame) -> DataFrame:
         for batch in batches:
             yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
 
-    def pack(batches):
+    def together(made, names):
+        """Rows of a generator in batches of bounded size."""
+        while held := list(islice(made, BATCH)):
+            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*held, strict=True), strict=True)))
+
+    def pieces_of(batches):
         for name, members in groupby(rows(batches), lambda r: r[0]):
-            ids = [c for _, (_, c) in zip(range(PIECE), members, strict=False)]
-            while ids:
-                yield pa.RecordBatch.from_pydict({"name": [name], "first": [ids[0]], "ids": [",".join(map(str, ids))]})
-                ids = [c for _, (_, c) in zip(range(PIECE), members, strict=False)]
+            while ids := [c for _, c in islice(members, PIECE)]:
+                yield name, ids[0], ",".join(map(str, ids))
 
-    def hash_pieces(batches):
+    def digests_of(batches):
         for name, pieces in groupby(rows(batches), lambda r: r[0]):
             state, comma = hashlib.sha256(), b""
             for _, _, ids in pieces:
                 state.update(comma + ids.encode())
                 comma = b","
-            yield pa.RecordBatch.from_pydict({"name": [name], "ends_sha256": [state.hexdigest()]})
+            yield name, state.hexdigest()
+
+    def pack(batches):
+        return together(pieces_of(batches), ["name", "first", "ids"])
+
+    def hash_pieces(batches):
+        return together(digests_of(batches), ["name", "ends_sha256"])
 
     parts = shuffle_partitions(blocks)
     ranges = ends.repartitionByRange(parts, "name", "conv_id").sortWithinPartitions("name", "conv_id")
