@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.tables import load, map_arrow
-from shardloom.llm.words import _Powers, mix, prefix_hash, ragged, range_hash, slabs
+from shardloom.llm.words import Powers, hash_ranges, prefix_hash, ragged, range_hash, slabs
 
 VOCABULARY = "byte_bpe_50k.json"
 SLAB = 2 << 20
@@ -34,7 +34,7 @@ REMEMBERED = 1 << 18  # words a worker remembers before it forgets all; results
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 _SPECIAL_AT = 0x110000  # code points from here on stand for special tokens
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_powers = _Powers(np.uint64(0xF1357AEA2E62A9C5))
+_powers = Powers(0x11357AEA2E62A9C5)
 
 
 @cache
@@ -98,8 +98,8 @@ class Vocabulary:
         self.single = [self.ids[bytes([b])] for b in range(256)]
         tokens = list(self.ids)
         sizes = np.array([len(t) for t in tokens])
-        prefix = prefix_hash(np.frombuffer(b"".join(tokens), np.uint8).astype(np.uint64) + np.uint64(1), _powers)
-        self.token_index = pd.Index(range_hash(prefix, np.cumsum(sizes) - sizes, np.cumsum(sizes), _powers))
+        data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.token_index = pd.Index(hash_ranges(data, np.cumsum(sizes) - sizes, np.cumsum(sizes), _powers))
         self.token_of = np.array(list(self.ids.values()), np.int64)
         self.token_sizes = sorted(set(sizes.tolist()), reverse=True)
         self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
@@ -293,7 +293,7 @@ class Vocabulary:
         begin[np.cumsum(pieces) - pieces] = True
         start = word_starts(cp, begin)
         end = np.r_[start[1:], len(cp)]
-        hashes = range_hash(prefix_hash(mix(cp.astype(np.uint64)), _powers), start, end, _powers)
+        hashes = hash_ranges(cp, start, end, _powers)
         codes, unique = pd.factorize(hashes)
         if len(self.known) > REMEMBERED:
             self.forget()
@@ -444,5 +444,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token ids, with the digests that show that they decode to the text."""
+    """What is left as token ids, with the digests that show that they decode to the text: one row for each document. Null texts
+    count as empty and have no ids; rows that repeat a ``doc_id`` stay rows of their own. A text is encoded in one slab, however
+    long, which takes some 60 bytes of memory a character."""
     return token_report(docs, keep_ids=True)

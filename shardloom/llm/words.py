@@ -1,11 +1,12 @@
-"""Words of many texts at once, as numpy arrays: where they stand and a 64-bit hash of each.
+"""Words of many texts at once, as numpy arrays: where they stand and a hash of each.
 
 All operators on words share this. A *slab* is a run of consecutive texts of one task, a few MB long (one
 longer text makes a longer slab). Its UTF-8 bytes are classified by a 256-entry table, so a word is a
 maximal run of word bytes; texts are separated by a byte that belongs to no word. A word's hash is the
-value of its bytes, each mapped to a random 64-bit number, as a polynomial modulo 2**64, mixed; windows
+value of its bytes as a polynomial modulo the prime 2**61 - 1, mixed to 64 bits; windows
 of words are hashed the same way one level up. Prefix sums give every hash from two entries, which is
-the Rabin-Karp recurrence for all positions at once.
+the Rabin-Karp recurrence for all positions at once. Modulo a prime two different words of ``n`` bytes agree for at
+most ``n`` of the 2**61 bases; modulo a power of two some words agree for every base.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLAB_BYTES = 4 << 20
+SLAB_BYTES = 2 << 20
 
-_BASE, _WORD_BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _U = np.uint64
+_P, _LOW31, _LOW30 = _U((1 << 61) - 1), _U((1 << 31) - 1), _U((1 << 30) - 1)
+_BASE, _WORD_BASE, _OTHER_BASE = 0x1E3779B97F4A7C15, 0x1342543DE82EF95, 0x0F1357AEA2E62A9C
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,36 +35,109 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.where(x >= _P, x - _P, x)
 
 
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it, by halves: 2**61 is 1 and 2**62 is 2."""
+    a1, a0, b1, b0 = a >> _U(31), a & _LOW31, b >> _U(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _U(1)) + (middle >> _U(30)) + ((middle & _LOW30) << _U(31)) + a0 * b0)
 
-    def __init__(self, base: np.uint64):
-        self.base, self.inverse = base, _U(pow(int(base), -1, 1 << 64))
+
+class Powers:
+    """Powers of a base and of its inverse modulo 2**61 - 1, grown on demand."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, int(_P))
         self.up = self.down = np.ones(1, np.uint64)
 
     def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 1 << 16)
-            self.up = np.cumprod(np.r_[_U(1), np.full(size - 1, self.base, np.uint64)])
-            self.down = np.cumprod(np.r_[_U(1), np.full(size - 1, self.inverse, np.uint64)])
+        for name, base in (("up", self.base), ("down", self.inverse)):
+            held = getattr(self, name)
+            while len(held) < n:
+                held = np.r_[held, times(held, _U(pow(base, len(held), int(_P))))]
+            setattr(self, name, held)
+
+    def halves(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Upper and lower 31 bits of the first ``n`` powers of a block."""
+        if not hasattr(self, "_halves"):
+            self.grow(_BLOCK)
+            self._halves = self.up[:_BLOCK] >> _U(31), self.up[:_BLOCK] & _LOW31
+        return self._halves[0][:n], self._halves[1][:n]
+
 
+_bytes_powers, _word_powers, _other_powers = Powers(_BASE), Powers(_WORD_BASE), Powers(_OTHER_BASE)
 
-_bytes_powers, _word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+Prefix = tuple[np.ndarray, np.ndarray]
 
 
-def prefix_hash(values: np.ndarray, powers: _Powers) -> np.ndarray:
+#: Numbers hashed at a time: what a step holds besides its result stays small, however long the texts.
+_BLOCK = 1 << 18
+
+
+def prefix_hash(values: np.ndarray, powers: Powers) -> Prefix:
+    """Prefix sums of the polynomial's terms, as sums of their upper and of their lower halves; ``values`` lie below 2**61 - 1."""
     powers.grow(len(values) + 1)
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers.up[: len(values)], out=out[1:])
+    upper, lower = np.zeros((2, len(values) + 1), np.uint64)
+    for a in range(0, len(values), _BLOCK):
+        b = min(a + _BLOCK, len(values))
+        terms = times(values[a:b], powers.up[a:b])
+        upper[a + 1 : b + 1] = np.cumsum(terms >> _U(31)) + upper[a]
+        lower[a + 1 : b + 1] = np.cumsum(terms & _LOW31) + lower[a]
+    return upper, lower
+
+
+def _block_prefix(values: np.ndarray, powers: Powers) -> Prefix:
+    """:func:`prefix_hash` of one block. Products of numbers below 2**14 need no reduction before they are summed."""
+    if not len(values) or int(values.max()) >> 14:
+        return prefix_hash(values, powers)
+    upper, lower = np.zeros((2, len(values) + 1), np.uint64)
+    for out, half in zip((upper, lower), powers.halves(len(values)), strict=True):
+        np.cumsum(values * half, out=out[1:])
+    return upper, lower
+
+
+def range_values(prefix: Prefix, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """The polynomial of ``values[start:end]`` for each pair, as if it stood at 0."""
+    out = np.empty(len(start), np.uint64)
+    for a in range(0, len(start), _BLOCK):
+        some = slice(a, a + _BLOCK)
+        upper, lower = (_reduced(half[end[some]] - half[start[some]]) for half in prefix)
+        out[some] = times(_reduced(times(upper, _U(1 << 31)) + lower), powers.down[start[some]])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: _Powers) -> np.ndarray:
-    """Hash of ``values[start:end]`` for each pair; the length takes part."""
-    return mix((prefix[end] - prefix[start]) * powers.down[start] + (end - start).astype(np.uint64) * _U(0xA24BAED4963EE407))
+def _with_length(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    return mix(values + lengths.astype(np.uint64) * _U(0xA24BAED4963EE407))
+
+
+def range_hash(prefix: Prefix, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """64-bit hash of ``values[start:end]`` for each pair; the length takes part."""
+    return _with_length(range_values(prefix, start, end, powers), end - start)
+
+
+def hash_ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, powers: Powers) -> np.ndarray:
+    """:func:`range_hash` of ascending, disjoint ranges of small numbers, block by block; a longer range is summed in pieces."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        low = int(start[at])
+        to = int(np.searchsorted(end, low + _BLOCK, side="right"))
+        if to > at:
+            prefix = _block_prefix(values[low : end[to - 1]].astype(np.uint64) + _U(1), powers)
+            out[at:to] = range_hash(prefix, start[at:to] - low, end[at:to] - low, powers)
+        else:
+            to, total, one = at + 1, 0, np.zeros(1, np.int64)
+            for a in range(low, int(end[at]), _BLOCK):
+                piece = values[a : min(a + _BLOCK, int(end[at]))].astype(np.uint64) + _U(1)
+                value = int(range_values(prefix_hash(piece, powers), one, one + len(piece), powers)[0])
+                total = (total + value * pow(powers.base, a - low, int(_P))) % int(_P)
+            out[at] = _with_length(np.array([total], np.uint64), end[at : at + 1] - start[at : at + 1])[0]
+        at = to
+    return out
 
 
 def _table(word: list[tuple[int, int]]) -> np.ndarray:
@@ -121,7 +196,11 @@ class Slab:
             begin, end = begin[order], end[order]
         if not len(begin):
             return begin, np.zeros(0, np.uint64)
-        return begin, range_hash(prefix_hash(self.hashes, _word_powers), begin, end, _word_powers)
+        return begin, range_hash(prefix_hash(self.hashes >> _U(4), _word_powers), begin, end, _word_powers)
+
+    def other_hashes(self, begin: np.ndarray, width: int) -> np.ndarray:
+        """A second hash of windows of ``width`` words, with a base of its own: 61 more bits that tell them apart."""
+        return range_values(prefix_hash(self.hashes >> _U(4), _other_powers), begin, begin + width, _other_powers)
 
 
 def split_words(texts: list[bytes], word: np.ndarray, lower: bool, hashed: bool = True) -> Slab:
@@ -137,7 +216,7 @@ def split_words(texts: list[bytes], word: np.ndarray, lower: bool, hashed: bool
     first = np.r_[0, np.cumsum(np.bincount(doc, minlength=len(texts)))]
     slab = Slab(data, start, end, doc, first)
     if hashed:
-        slab.hashes = range_hash(prefix_hash(_BYTE_VALUES[data], _bytes_powers), start, end, _bytes_powers)
+        slab.hashes = hash_ranges(data, start, end, _bytes_powers)
     return slab
 
 
