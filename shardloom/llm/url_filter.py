@@ -88,19 +88,23 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url", rules:
     total = rates.agg(F.sum("_blocked").alias("blocked"), F.sum("_all").alias("rows")).first()
     rows, hits = total.rows or 0, total.blocked or 0.0
     base = (hits + 1) / (rows + 2)
-    rated = rates.select("_suffix", ((F.col("_blocked") + 10 * base) / (F.col("_all") + 10)).alias("suffix_rate"))
 
-    def features(of: DataFrame) -> DataFrame:
-        wide = of.withColumns(lexical_features(F.col("_url"), F.col("host"), F.col("path")))
-        wide = wide.join(rated, "_suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(base)))
+    def features(of: DataFrame, own_rows: Column | int = 0, own_blocked: Column | int = 0) -> DataFrame:
+        """Features of URLs; what a URL's own rows say of its suffix is left out where they are given."""
+        wide = of.withColumns(lexical_features(F.col("_url"), F.col("host"), F.col("path"))).join(rates, "_suffix", "left")
+        others, bad = (F.coalesce(F.col(c), F.lit(0)) - own for c, own in (("_all", own_rows), ("_blocked", own_blocked)))
+        wide = wide.withColumn("suffix_rate", (bad + 10 * base) / (others + 10))
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(wide)
 
     if hits == 0 or hits == rows:
         found = parsed.withColumn("block_score", F.lit(1.0 if rows and hits else 0.0))
     else:
-        one_in = max(1, math.ceil(rows / training_rows))
-        chosen = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(one_in)) == 0).groupBy("_url", "host", "path", "_suffix").agg(F.first(blocked).alias("label"))
-        fit = stored(features(chosen).select("label", "features").repartition(4), "training")
+        # The sample is one of different URLs, so they are what is counted: copies of a few must not thin it out.
+        different = labelled.agg(F.count_distinct(F.xxhash64("_url"))).first()[0]
+        one_in = max(1, math.ceil(different / training_rows))
+        chosen = labelled.where(F.pmod(F.xxhash64("_url"), F.lit(one_in)) == 0).groupBy("_url", "host", "path", "_suffix")
+        chosen = chosen.agg(F.first(blocked).alias("label"), F.count("*").alias("_own"))
+        fit = stored(features(chosen, F.col("_own"), F.col("_own") * F.col("label")).select("label", "features").repartition(4), "training")
         model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, cacheNodeIds=False).fit(fit)
         scored = model.transform(features(parsed))
         found = scored.withColumn("block_score", F.round(vector_to_array("probability")[1], 9))
