@@ -185,7 +185,8 @@ def rules() -> list[Rule]:
 @cache
 def _compiled() -> tuple[list[Rule], list[re.Pattern], list[str], np.ndarray, list[list[int]]]:
     listed = rules()
-    patterns = [re.compile(rf"(?<!\S)(?:{r.pattern})(?!\S)") for r in listed]
+    # Words are joined by spaces; other blanks of Unicode are letters of words.
+    patterns = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in listed]
     keywords = sorted({k for r in listed for k in r.keywords})
     slab = split_words([k.encode() for k in keywords], ALNUM, lower=True)
     gates = [[i for i, r in enumerate(listed) if k in r.keywords] for k in keywords]
