@@ -7,7 +7,7 @@ size class also tells the largest hash that any of its sketches uses, so larger
 that holds an item holds one of its sketch, so none is missed, which sketches of fixed size for both sides
 would do when the document is a thousand times longer. Candidates are then verified by their full shingles.
 
-Sketches and shingles of the items reach the tasks as two bit maps of fixed size, whatever the benchmark's size;
+Shingles of the items, and the sketches of each size class, reach the tasks as bit maps sized by their number, up to 16 MB;
 a bit that is set by chance costs a row, as what passes is joined with the real values.
 """
 
@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import MAP_BITS, bit_map, free_name, load, map_arrow, stored
+from shardloom.llm.tables import bit_map, free_name, load, map_arrow, stored
 from shardloom.llm.words import ALNUM, mix, slabs, split_words
 
 WIDTH, PERCENT = 5, 80
@@ -33,25 +33,32 @@ def _distinct(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def item_sketches(items: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    """Rows ``item, width, q, size_class, h, sketched`` for every distinct shingle of every item. ``h`` orders shingles
-    at random; ``width`` is smaller than asked for items of fewer words, which are one shingle."""
+    """Rows ``item, width, q, size_class, h, sketched`` for every distinct shingle of every item, stored. ``h`` orders shingles
+    at random; ``width`` is smaller than asked for items of fewer words, which are one shingle. Rows of one key are one item:
+    its size and sketch are those of all its shingles."""
 
     def task(batches):
         for rest, texts in slabs(batches, text):
             slab = split_words(texts, ALNUM, lower=True)
             begin, hashes = slab.windows(width, short=True)
             doc, hashes = _distinct(slab.doc[begin], mix(hashes))
-            sizes = np.bincount(doc, minlength=len(texts))
-            rank = np.arange(len(doc)) - (np.cumsum(sizes) - sizes)[doc]  # hashes ascend within a text
-            q = sizes[doc]
             yield from pa.table({
-                "item": rest.column(0).take(pa.array(doc)), "width": np.minimum(slab.counts[doc], width).astype(np.int32), "q": q.astype(np.int64),
-                "size_class": np.floor(np.log2(np.maximum(q, 1))).astype(np.int32), "h": hashes.view(np.int64),
-                "sketched": rank < q - -(-q * percent // 100) + 1,
+                "item": rest.column(0).take(pa.array(doc)), "width": np.minimum(slab.counts[doc], width).astype(np.int32), "h": hashes.view(np.int64),
             }).to_batches()
 
     rows = items.select(F.col(key).cast("bigint").alias("key"), text)
-    return map_arrow(rows, task, "item bigint, width int, q bigint, size_class int, h bigint, sketched boolean")
+    shingles = map_arrow(rows, task, "item bigint, width int, h bigint").groupBy("item", "h").agg(F.min("width").alias("width"))
+    own = Window.partitionBy("item")
+    ranked = shingles.withColumns({"q": F.count("*").over(own), "rank": F.row_number().over(own.orderBy(_unsigned(F.col("h"))))})
+    needed = F.ceil(F.col("q") * percent / 100)
+    return stored(ranked.select(
+        "item", "width", "q", F.floor(F.log2("q")).cast("int").alias("size_class"), "h", (F.col("rank") <= F.col("q") - needed + 1).alias("sketched"),
+    ), "items")
+
+
+def _unsigned(h: Column) -> Column:
+    """Orders 64-bit hashes as unsigned numbers."""
+    return h.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 def contained_items(
@@ -66,34 +73,30 @@ def contained_items(
     document, or item, with the shingles of all of them; null keys are one key. Other columns are not read.
     """
     spark = docs.sparkSession
-    shingles = stored(item_sketches(items, item_key, item_text, width, percent), "items")
+    shingles = item_sketches(items, item_key, item_text, width, percent)
     sketch = shingles.where("sketched")
-    full = spark.sparkContext.broadcast(np.packbits(bit_map(shingles)))
-    asked = spark.sparkContext.broadcast(np.packbits(bit_map(sketch)))
-    # Per width and size class the largest hash in use, as unsigned numbers (two small integers for each class).
-    flip = F.col("h").bitwiseXOR(F.lit(-(1 << 63)))
-    tops = {}
-    for row in sketch.groupBy("width", "size_class").agg(F.max(flip).alias("top")).collect():
-        tops[row.width] = max(tops.get(row.width, 0), row.top + (1 << 63))
+    # Each size class has a bound of its own, the largest hash that its sketches use, and a map of its own.
+    classes = [
+        (r.width, r.top + (1 << 63), bit_map(sketch.where((F.col("width") == r.width) & (F.col("size_class") == r.size_class))))
+        for r in sketch.groupBy("width", "size_class").agg(F.max(_unsigned(F.col("h"))).alias("top")).collect()
+    ]
+    shared = spark.sparkContext.broadcast((bit_map(shingles), classes))
 
     def task(batches):
-        low = np.uint64((1 << MAP_BITS) - 1)
-        all_bits, sketch_bits = (np.unpackbits(x.value).astype(bool) for x in (full, asked))
+        full, asked = shared.value
         for rest, texts in slabs(batches, text):
             slab = split_words(texts, ALNUM, lower=True)
             found_doc, found = [], []
-            for wide, top in tops.items():
+            for wide in sorted({w for w, _, _ in asked}):
                 begin, hashes = slab.windows(wide)
                 hashes = mix(hashes)
-                one, two = (hashes & low).astype(np.int64), ((hashes >> np.uint64(MAP_BITS)) & low).astype(np.int64)
-                hit = np.flatnonzero(all_bits[one])
-                hit = hit[all_bits[two[hit]]]
-                start = hit[(hashes[hit] <= np.uint64(top)) & sketch_bits[one[hit]] & sketch_bits[two[hit]]]
-                doc = slab.doc[begin]
+                hit = np.flatnonzero(full.holds(hashes))
                 candidate = np.zeros(len(texts), bool)
-                candidate[doc[start]] = True
-                hit = hit[candidate[doc[hit]]]
-                found_doc.append(doc[hit])
+                for w, top, sketched in asked:
+                    low = hit[hashes[hit] <= np.uint64(top)] if w == wide else hit[:0]
+                    candidate[slab.doc[begin[low[sketched.holds(hashes[low])]]]] = True
+                hit = hit[candidate[slab.doc[begin[hit]]]]
+                found_doc.append(slab.doc[begin[hit]])
                 found.append(hashes[hit])
             if found and sum(map(len, found)):
                 doc, hashes = _distinct(np.concatenate(found_doc), np.concatenate(found))
@@ -101,17 +104,14 @@ def contained_items(
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), text)
     hits = stored(map_arrow(rows, task, "key bigint, h bigint").distinct(), "hits")
-    # Sides are named apart; null keys are equal. Frequent shingles make skewed joins, which Spark splits.
-    candidates = hits.join(sketch.select("item", "h").distinct(), "h").select("key", "item").distinct()
-    # One shingle table for each item key: rows that repeat a key add up.
-    whole = shingles.select("item", "h").distinct()
-    size = whole.groupBy("item").agg(F.count("*").alias("n_shingles"))
-    wanted = whole.join(size.withColumnRenamed("item", "_i"), F.col("item").eqNullSafe(F.col("_i"))).drop("_i")
-    h = hits.select(F.col("key").alias("_k"), F.col("h").alias("_h"))
-    pairs = h.join(wanted, F.col("_h") == F.col("h")).groupBy("_k", "item", "n_shingles").agg(F.count("*").alias("n_found"))
-    c = candidates.select(F.col("key").alias("_ck"), F.col("item").alias("_ci"))
-    same = F.col("_ck").eqNullSafe(F.col("_k")) & F.col("_ci").eqNullSafe(F.col("item"))
-    sure = pairs.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent).join(c, same, "left_semi")
+    # Sides are named apart; null keys are equal. Frequent shingles make skewed joins, which Spark splits. Only shingles of
+    # candidates are looked up, so a phrase of all items makes no row for each document and item.
+    candidates = stored(hits.join(sketch.select("item", "h").distinct(), "h").select(F.col("key").alias("_k"), F.col("item").alias("_c")).distinct(), "candidates")
+    whole = shingles.select("item", F.col("q").alias("n_shingles"), F.col("h").alias("_h"))
+    wanted = candidates.join(whole, F.col("_c").eqNullSafe(F.col("item")))
+    same = F.col("key").eqNullSafe(F.col("_k")) & (F.col("h") == F.col("_h"))
+    pairs = wanted.join(hits, same).groupBy("_k", "item", "n_shingles").agg(F.count("*").alias("n_found"))
+    sure = pairs.where(F.col("n_found") * 100 >= F.col("n_shingles") * percent)
     return sure.select(F.col("_k").alias(key), F.col("item").alias(item_key), "n_shingles", "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from shardloom.session import scratch, ship_code, shared_folder
 
 
 BATCH_BYTES, _BATCH_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
-#: Bits of :func:`bit_map`, as a power of two.
-MAP_BITS = 23
+#: Least and most bits of a :class:`BitMap`, as powers of two: 16 MB at most.
+MAP_BITS = 16, 27
 
 
 def load(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -45,7 +47,23 @@ def map_arrow(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
     if not held.isdigit() or int(held) > BATCH_BYTES:
         spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
     ship_code()
-    return rows.mapInArrow(task, schema)
+
+    def released(batches):
+        try:
+            yield from task(batches)
+        finally:
+            release_memory()
+
+    return rows.mapInArrow(released, schema)
+
+
+def release_memory() -> None:
+    """Give a task's freed memory back: an idle worker would keep it beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no GNU library: memory stays with the worker
+        pass
 
 
 def shuffle_partitions(rows: DataFrame, factor: float = 1.0) -> int:
@@ -81,21 +99,35 @@ def components(edges: DataFrame, left: str = "a", right: str = "b", limit: int =
     return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bit_map(values: DataFrame) -> np.ndarray:
-    """A Bloom filter of the column ``h``: two bits a value, 1 MB in all."""
-    mask = (1 << MAP_BITS) - 1
-    bits = values.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", MAP_BITS).bitwiseAND(mask))).alias("bit"))
-    at = F.col("bit") + 1
-    parts = bits.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("data"))
-    out = np.zeros(1 << MAP_BITS, bool)
-    for row in parts.toLocalIterator():
-        out[(row.part - 1) << 15 : row.part << 15] = np.unpackbits(np.frombuffer(row.data, np.uint8), bitorder="little")
-    return out
+class BitMap:
+    """A Bloom filter, two bits a value, of ``2**bits`` bits. What it lets through by chance costs work, never a result."""
 
+    def __init__(self, data: np.ndarray, bits: int):
+        self.data, self.bits = data, bits
 
-def in_bit_map(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    low, values = np.uint64((1 << MAP_BITS) - 1), values.view(np.uint64)
-    return bits[(values & low).astype(np.int64)] & bits[((values >> np.uint64(MAP_BITS)) & low).astype(np.int64)]
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        values, low = values.view(np.uint64), np.uint64((1 << self.bits) - 1)
+        out = self._bit(values & low)
+        out[out] = self._bit((values[out] >> np.uint64(self.bits)) & low)
+        return out
+
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        at = at.astype(np.int64)
+        return (self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bit_map(values: DataFrame) -> BitMap:
+    """The column ``h`` of ``values`` as a filter of 16 bits a value; above eight million values it stays at 16 MB and lets
+    more through. ``values`` are counted first, so they should be stored."""
+    bits = min(max((16 * values.count()).bit_length(), MAP_BITS[0]), MAP_BITS[1])
+    mask = (1 << bits) - 1
+    places = values.select(F.explode(F.array(F.col("h").bitwiseAND(mask), F.shiftrightunsigned("h", bits).bitwiseAND(mask))).alias("bit"))
+    at = F.col("bit") + 1
+    parts = places.groupBy(F.bitmap_bucket_number(at).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("data"))
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for row in parts.toLocalIterator():
+        out[(row.part - 1) << 12 : row.part << 12] = np.frombuffer(row.data, np.uint8)
+    return BitMap(out, bits)
 
 
 def planes(numbers: np.ndarray) -> bytes:
