@@ -12,10 +12,11 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import free_name, load, map_arrow
+from shardloom.llm.tables import load, map_arrow
 from shardloom.llm.words import ALNUM, slabs
 
 CELLS, BLOCK = 1 << 16, 1 << 12
@@ -158,6 +159,27 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+class Judge:
+    """The learnt languages, and what they say of texts: best language, its share, all shares, and whether there is a verdict."""
+
+    def __init__(self, names: list[str], chance: Broadcast):
+        self.names, self.chance = names, chance
+        self.limit = max(1 << 16, (8 << 20) // max(len(names), 4))
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        shares = mixtures(texts, self.chance.value)
+        top = shares.argmax(1) if self.names else np.zeros(len(texts), np.int64)
+        sure = _letters(texts) & (shares.sum(1) > 0)
+        score = np.where(sure, shares[np.arange(len(texts)), top] if self.names else 0.0, 0.0)
+        return top, score, shares, sure
+
+
+def learned(labelled: DataFrame, text: str, lang: str) -> Judge:
+    names, counts = language_counts(labelled.select(text, lang), text, lang)
+    chance = ((counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)).T.astype(np.float32) if names else np.zeros((CELLS, 0), np.float32)
+    return Judge(names, labelled.sparkSession.sparkContext.broadcast(np.ascontiguousarray(chance)))
+
+
 def predict_languages(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Per row of ``docs``: ``key``, ``lang_pred``, ``score`` (the predicted language's share) and ``languages``, all
     shares above 0 by language. ``labelled`` has ``text`` and ``lang`` to learn from.
@@ -165,17 +187,12 @@ def predict_languages(docs: DataFrame, labelled: DataFrame, key: str = "doc_id",
     Null texts, texts without a letter, and all texts if nothing is labelled are ``und`` with score 0. Ties go to the first
     language in alphabetical order. Rows are judged one by one, so repeated rows are alike; other columns are not read.
     """
-    names, counts = language_counts(labelled.select(text, lang), text, lang)
-    chance = ((counts + SMOOTHING) / (counts + SMOOTHING).sum(1, keepdims=True)).T.astype(np.float32) if names else np.zeros((CELLS, 0), np.float32)
-    model = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(chance))
-    limit = max(1 << 16, (16 << 20) // max(len(names), 4))
+    judge = learned(labelled, text, lang)
 
     def task(batches):
-        for rest, texts in slabs(batches, text, limit):
-            shares = mixtures(texts, model.value)
-            top = shares.argmax(1) if names else np.zeros(len(texts), np.int64)
-            sure = _letters(texts) & (shares.sum(1) > 0)
-            score = np.where(sure, shares[np.arange(len(texts)), top] if names else 0.0, 0.0)
+        for rest, texts in slabs(batches, text, judge.limit):
+            top, score, shares, sure = judge(texts)
+            names = judge.names
             yield from pa.table({
                 "key": rest.column(0), "lang_pred": [names[t] if s else UNKNOWN for t, s in zip(top, sure, strict=True)], "score": np.clip(score, 0.0, 1.0),
                 "languages": pa.array([[(names[j], float(row[j])) for j in np.flatnonzero(row > 0)] if s else [] for row, s in zip(shares, sure, strict=True)], pa.map_(pa.string(), pa.float64())),
@@ -193,13 +210,20 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in which no language is found (``und``) go; the others stay. Learns from the labelled rows of ``docs``.
+    """Texts in which no language is found (``und``) go; the others stay as they are. Learns from the labelled rows of ``docs``.
 
-    The decision is on the whole text, so rows that share a ``doc_id`` are decided by ``doc_id`` and text together.
+    Each row is judged by its whole text where it lies: nothing is shuffled, and rows that share a ``doc_id`` are judged one by one.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull())
-    k = F.struct("doc_id", F.xxhash64("text").alias("h"))
-    found = predict_languages(docs.select(k.alias("k"), "text"), labelled, key="k")
-    name = free_name(docs, "_gone")
-    gone = found.where(F.col("lang_pred") == UNKNOWN).select(F.col("k").alias(name)).distinct()
-    return docs.join(gone, k.eqNullSafe(F.col(name)), "left_anti")
+    judge = learned(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()), "text", "lang")
+    names = docs.columns
+
+    def task(batches):
+        for rest, texts in slabs(batches, "text", judge.limit):
+            sure = judge(texts)[3]
+            if sure.any():
+                kept = rest.filter(pa.array(sure))
+                text = pa.array([t for t, s in zip(texts, sure, strict=True) if s], pa.binary()).cast(pa.string())
+                yield from kept.add_column(names.index("text"), "text", text).to_batches()
+
+    fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_arrow(docs, task, fields)
