@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def learning_rate(
     step: Column, max_lr: float = 3e-4, min_lr: float = 3e-5, warmup_steps: int = 100, total_steps: int = 1120
 ) -> Column:
-    """Linear warmup to ``max_lr``, cosine decay to ``min_lr``, then constant."""
+    """Linear warmup to ``max_lr``, cosine decay to ``min_lr``, then constant: a fixed formula, which logged rates must meet."""
     if not 0 < min_lr <= max_lr:
         raise ValueError("min_lr must lie in (0, max_lr]")
     if not 0 < warmup_steps < total_steps:

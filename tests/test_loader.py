@@ -1,3 +1,5 @@
+"""Windows, orders, batches and states. Shard numbers, sizes and seeds of the cases are fixed values (FIXTURES.md)."""
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
