@@ -7,8 +7,11 @@ places as differences in byte planes, which compress to little; that is about te
 the thirty-odd of a row. Each bucket finds the first place of every hash; the other places go back to their
 texts, where overlapping windows merge into maximal intervals.
 
-Two different windows of one hash would be taken for repeats. With 64 bits and the bucket, which other bits
-choose, that is expected once in some 10**21 / (windows squared / 2) runs: 1e-2 false windows on 30 GB.
+Two different windows of one hash would be taken for repeats. Windows are told apart by 64 bits of one hash and by their
+bucket, which an independent hash chooses: among ``w`` windows in ``b`` buckets about ``w**2 / (2**65 * b)`` are false, some
+0.003 on 30 GB (5e9 windows, 200 buckets); as buckets grow with the input, the share of false windows does not.
+
+Texts that lose nothing, most of them, are not shuffled: a bit map tells them from those that meet their removals.
 """
 
 from __future__ import annotations
@@ -17,10 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.llm.tables import free_name, from_planes, load, map_arrow, planes, shuffle_partitions
+from shardloom.llm.tables import BitMap, bit_map, free_name, from_planes, load, map_arrow, planes, shuffle_partitions, stored
 from shardloom.llm.words import SPACED, mix, slabs, split_words
 
 WIDTH = 20
@@ -40,7 +44,7 @@ def pack(bucket, hashes, keys, tags, places):
         k, t, p = keys[a:b], tags[a:b], places[a:b]
         new = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (t[1:] != t[:-1])])
         row = [
-            int(bucket[a]), None if hashes is None else hashes[a:b].tobytes(), planes(np.diff(k[new], prepend=np.int64(0))), planes(t[new].astype(np.uint32)),
+            int(bucket[a]), None if hashes is None else hashes[a:b].tobytes(), planes(np.diff(k[new], prepend=np.int64(0))), planes(t[new]),
             planes(np.diff(np.r_[new, b - a]).astype(np.uint32)), planes(np.diff(p, prepend=0).astype(np.int32)),
         ]
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, PACKED, strict=True)], schema=PACKED)
@@ -50,7 +54,7 @@ def unpack(held: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, tags and places of the entries of several rows."""
     counts = [from_planes(r["counts"], np.uint32).astype(np.int64) for r in held]
     keys = np.concatenate([np.repeat(np.cumsum(from_planes(r["keys"], np.int64)), c) for r, c in zip(held, counts, strict=True)])
-    tags = np.concatenate([np.repeat(from_planes(r["tags"], np.uint32).astype(np.int64), c) for r, c in zip(held, counts, strict=True)])
+    tags = np.concatenate([np.repeat(from_planes(r["tags"], np.int64), c) for r, c in zip(held, counts, strict=True)])
     return keys, tags, np.concatenate([np.cumsum(from_planes(r["places"], np.int32)) for r in held])
 
 
@@ -68,14 +72,33 @@ def grouped(batches, keep):
         yield held
 
 
-def text_tags(texts: list[bytes]) -> np.ndarray:
-    """Tells different texts of one key apart: 32 bits of a digest."""
-    return np.array([int.from_bytes(hashlib.blake2b(t, digest_size=4).digest(), "little") for t in texts], np.int64)
+def text_tags(keys: np.ndarray, texts: list[bytes], repeated: BitMap) -> np.ndarray:
+    """Tells different texts of one key apart: 64 bits of a digest. Texts of a key that no other row has need none."""
+    out = np.zeros(len(texts), np.int64)
+    for i in np.flatnonzero(repeated.holds(mix(keys.view(np.uint64)))):
+        out[i] = int.from_bytes(hashlib.blake2b(texts[i], digest_size=8).digest(), "little", signed=True)
+    return out
+
+
+def repeated_keys(docs: DataFrame, key: str) -> BitMap:
+    """Keys of several rows. Only the key column is read."""
+    k = F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)).alias("key")
+
+    def hashed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(mix(batch.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
+
+    several = docs.select(k).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return bit_map(stored(map_arrow(several, hashed, "h bigint"), "repeated"))
+
+
+def text_hash(keys: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    return mix(keys.view(np.uint64) ^ mix(tags.view(np.uint64)))
 
 
 def _by_text(keys, tags, starts, buckets: int):
     """Packed rows of starts, bucketed by text; input in any order."""
-    bucket = (mix(keys.view(np.uint64) ^ (tags.astype(np.uint64) << np.uint64(20))) >> np.uint64(33)).astype(np.int64) % buckets
+    bucket = (text_hash(keys, tags) >> np.uint64(33)).astype(np.int64) % buckets
     order = np.lexsort((starts, tags, keys, bucket))
     yield from pack(bucket[order], None, keys[order], tags[order], starts[order])
 
@@ -98,8 +121,8 @@ def _repeats(hashes, keys, tags, places) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([alone, some[new]]), some[~new & ~place]
 
 
-def repeated_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``key, tag, starts``: windows (first words as 32-bit numbers, ascending) that also start earlier; a row for each text with any."""
+def repeated_windows(docs: DataFrame, key: str, text: str, width: int, repeated: Broadcast) -> DataFrame:
+    """``key, tag, h, starts``: windows (first words as 32-bit numbers, ascending) that also start earlier; a row for each text with any."""
     buckets = shuffle_partitions(docs, 2.0)
 
     def scan(batches):
@@ -108,13 +131,16 @@ def repeated_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFr
             begin, hashes = slab.windows(width)
             if not len(begin):
                 continue
-            doc_keys, doc_tags = rest.column(0).combine_chunks().fill_null(_NO_KEY).to_numpy(), text_tags(texts)
+            doc_keys = rest.column(0).combine_chunks().fill_null(_NO_KEY).to_numpy()
+            doc_tags = text_tags(doc_keys, texts, repeated.value)
             doc, places = slab.doc[begin], begin - slab.first[slab.doc[begin]]
             first, later = _repeats(hashes, doc_keys[doc], doc_tags[doc], places)
             yield from _by_text(doc_keys[doc[later]], doc_tags[doc[later]], places[later], buckets)
-            bucket = (mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(33)).astype(np.int64) % buckets
-            first = first[np.lexsort((first, bucket[first]))]
-            yield from pack(bucket[first], hashes[first], doc_keys[doc[first]], doc_tags[doc[first]], places[first])
+            first.sort()
+            bucket = (mix(slab.other_hashes(begin[first], width)) >> np.uint64(33)).astype(np.int64) % buckets
+            by_bucket = np.argsort(bucket, kind="stable")
+            first, bucket = first[by_bucket], bucket[by_bucket]
+            yield from pack(bucket, hashes[first], doc_keys[doc[first]], doc_tags[doc[first]], places[first])
 
     def join(batches):
         passing = []
@@ -139,12 +165,13 @@ def repeated_windows(docs: DataFrame, key: str, text: str, width: int) -> DataFr
             new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])])
             offsets = (np.r_[new, len(keys)] * 4).astype(np.int32)
             data = pa.Array.from_buffers(pa.binary(), len(new), [None, pa.py_buffer(offsets), pa.py_buffer(starts)])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(tags[new]), data], names=["key", "tag", "starts"])
+            hashes = text_hash(keys[new], tags[new]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(tags[new]), pa.array(hashes), data], names=["key", "tag", "h", "starts"])
 
     rows = docs.select(F.col(key).cast("bigint").alias("key"), text)
     places = map_arrow(rows, scan, PACKED_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
     texts = map_arrow(places, join, PACKED_DDL).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    return map_arrow(texts, gather, "key bigint, tag bigint, starts binary")
+    return map_arrow(texts, gather, "key bigint, tag bigint, h bigint, starts binary")
 
 
 def covered_words(counts: np.ndarray, starts: list[bytes | None], width: int) -> np.ndarray:
@@ -160,22 +187,31 @@ def covered_words(counts: np.ndarray, starts: list[bytes | None], width: int) ->
 
 
 def with_starts(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """``docs`` and a last column, ``_starts`` or the like: all removed windows of the text, null for none."""
-    k, t, mark, starts = (free_name(docs, n) for n in ("_k", "_t", "_tag", "_starts"))
-    joined = repeated_windows(docs, key, text, width)
+    """``docs`` and a last column, ``_starts`` or the like: all removed windows of the text, null for none.
+
+    Texts that a bit map rules out stay where they are; the others are joined with their windows."""
+    k, t, mark, maybe, starts = (free_name(docs, n) for n in ("_k", "_t", "_tag", "_maybe", "_starts"))
+    context = docs.sparkSession.sparkContext
+    repeated = context.broadcast(repeated_keys(docs, key))
+    found = stored(repeated_windows(docs, key, text, width, repeated), "windows")
+    touched = context.broadcast(bit_map(found.select("h")))
     names = [f.name for f in docs.schema]
-    side = joined.select(F.col("key").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
+    side = found.select(F.col("key").alias(k), F.col("tag").alias(t), F.col("starts").alias(starts))
 
     def tag(batches):
         for batch in batches:
             texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-            arrays = [*batch.columns, pa.array(text_tags(texts))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, mark])
+            keys = batch.column(key).cast(pa.int64()).fill_null(_NO_KEY).to_numpy()
+            tags = text_tags(keys, texts, repeated.value)
+            arrays = [*batch.columns, pa.array(tags), pa.array(touched.value.holds(text_hash(keys, tags)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, mark, maybe])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    tagged = map_arrow(docs, tag, f"{fields}, {mark} bigint")
-    same = F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col(k)
-    return tagged.join(side, same & (F.col(mark) == F.col(t)), "left").select(*[F.col("`" + n.replace("`", "``") + "`") for n in names], starts)
+    tagged = map_arrow(docs, tag, f"{fields}, {mark} bigint, {maybe} boolean")
+    same = (F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)) == F.col(k)) & (F.col(mark) == F.col(t))
+    columns = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    joined = tagged.where(maybe).join(side, same, "left").select(*columns, starts)
+    return tagged.where(~F.col(maybe)).select(*columns, F.lit(None).cast("binary").alias(starts)).unionAll(joined)
 
 
 def removal_report(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
