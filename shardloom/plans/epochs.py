@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 
 from shardloom.functions.checks import required
 from shardloom.functions.names import NAME_FORMAT, shard_name
-from shardloom.functions.shuffle import permuted, permuted_column, round_keys, round_keys_column
+from shardloom.functions.shuffle import permuted, permuted_column, place_column, round_keys
 from shardloom.functions.splits import check_split
 from shardloom.operators.ordered import running_sums
 from shardloom.operators.windows import batch_count, check_shape, cut_batches
 
-# Shards listed in one task when a layout is expanded.
-LAYOUT_CHUNK = 1 << 16
+# Shards listed from one row when a layout is expanded, and places looked up at once.
+LAYOUT_CHUNK = 1 << 12
 # Largest shard list that numpy mode shuffles on the driver.
 NUMPY_LIMIT = 1_000_000
 PLAN_COLUMNS = ("split", "epoch", "position", "shard_index", "shard_name", "token_count", "n_batches", "first_ordinal")
@@ -34,7 +34,9 @@ def _div(a, b) -> Column:
 def expand_chunks(rows: DataFrame, last: Column, *carried: str) -> DataFrame:
     """One row for each number ``0 .. last``, as ``index``, beside ``carried``; chunks of numbers are spread over tasks."""
     chunk = F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(LAYOUT_CHUNK).cast("bigint"))).alias("_chunk")
-    spread = rows.select(*carried, last.alias("_last"), chunk).repartition(*carried, "_chunk")
+    # Chunks are few and small, what is made of them is not: a given number of partitions is not merged into one.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = rows.select(*carried, last.alias("_last"), chunk).repartition(parts, *carried, "_chunk")
     index = F.explode(F.sequence("_chunk", F.least(F.col("_last"), F.col("_chunk") + (LAYOUT_CHUNK - 1))))
     return spread.select(*carried, index.alias("index"))
 
@@ -150,6 +152,11 @@ class EpochOrder:
                     return
 
 
+def _numbers(values) -> Column:
+    """Numbers known here as one ``array<bigint>`` constant."""
+    return F.split(F.lit(",".join(str(int(v)) for v in values)), ",").cast("array<bigint>")
+
+
 def ordered_shards(shards: DataFrame, order: EpochOrder, epochs: range) -> DataFrame:
     """Rows of an evenly cut set for each of some epochs, with ``epoch, position, n_batches, first_ordinal``. Narrow: every
     added column is an expression of the shard's number."""
@@ -157,8 +164,11 @@ def ordered_shards(shards: DataFrame, order: EpochOrder, epochs: range) -> DataF
     rows = own.withColumn("epoch", F.explode(F.sequence(F.lit(epochs.start), F.lit(epochs.stop - 1))))
     index, count = F.col("shard_index").cast("bigint"), F.lit(order.shards).cast("bigint")
     if order.split == "train":
-        keys = round_keys_column(order.seed, F.col("epoch"))
-        rows = rows.withColumns({"position": permuted_column(index, count, keys), "_short": permuted_column(count - 1, count, keys)})
+        # Rows hold tokens, which would wait in a queue beside a Python function: an expression, with the keys at hand.
+        at = (F.col("epoch") - epochs.start + 1).cast("int")
+        keys = F.element_at(F.array(*(_numbers(round_keys(order.seed, e)) for e in epochs)), at)
+        short = F.element_at(_numbers([order.place(order.shards - 1, e) for e in epochs]), at)
+        rows = rows.withColumns({"position": permuted_column(index, count, keys), "_short": short})
     else:
         rows = rows.withColumns({"position": index, "_short": count - 1})
     return _with_ordinals(rows, F.lit(order.full), F.lit(order.last), index == count - 1, F.lit(order.per_epoch)).drop("_short")
@@ -184,15 +194,15 @@ def total_plan(
     tokens = F.col("tokens")
     last = _div(tokens - 1, shard_size)
     every = F.explode(F.sequence(F.lit(first_epoch), F.lit(first_epoch + epochs - 1))).alias("epoch")
-    rows = expand_chunks(totals.filter("tokens > 0").select("split", "tokens", every), last, "split", "tokens", "epoch")
-    index, train, count = F.col("index"), F.col("split") == "train", last + 1
-    keys = round_keys_column(seed, F.col("epoch"))
+    index, train = F.col("index"), F.col("split") == "train"
 
     def place(shard: Column) -> Column:
-        return F.when(train, permuted_column(shard, count, keys)).otherwise(shard)
+        return F.when(train, place_column(shard, last + 1, seed, F.col("epoch"))).otherwise(shard)
 
+    each = totals.filter("tokens > 0").select("split", "tokens", every).withColumn("_short", place(last))
+    rows = expand_chunks(each, last, "split", "tokens", "epoch", "_short")
     full, of_last = F.lit(max(shard_size - 1, 0) // step), _div(tokens - last * shard_size - 1, step)
-    rows = rows.withColumns({"position": place(index), "_short": place(last)})
+    rows = rows.withColumn("position", place(index))
     rows = _with_ordinals(rows, full, of_last, index == last, last * full + of_last)
     size = F.least(F.lit(shard_size).cast("bigint"), tokens - index * shard_size).cast("int")
     rows = rows.withColumns({"shard_index": index.cast("int"), "token_count": size})
@@ -213,7 +223,7 @@ def permuted_order(shards: DataFrame, seed: int, first_epoch: int, end_epoch: in
     )
     ranked = running_sums(rows, ["split"], "_block", ["shard_index"], {"_rank": "_one"}, whole={"_count": "_one"})
     ranked = ranked.withColumn("epoch", F.explode(F.sequence(F.lit(first_epoch), F.lit(end_epoch - 1))))
-    place = permuted_column(F.col("_rank"), F.col("_count"), round_keys_column(seed, F.col("epoch")))
+    place = place_column(F.col("_rank"), F.col("_count"), seed, F.col("epoch"))
     ranked = ranked.withColumn("_key", F.when(F.col("split") == "train", place).otherwise(F.col("_rank")))
     name = shard_name(F.col("split"), F.col("shard_index")).alias("shard_name")
     block = F.coalesce(F.shiftright("_key", 16), F.lit(0).cast("bigint")).alias("_block")
