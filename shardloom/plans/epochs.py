@@ -142,7 +142,9 @@ class EpochOrder:
         """Runs of batches of one shard that make up ``start <= ordinal < end``: ``shard, epoch, ordinal, batch, batches``."""
         while start < end:
             epoch, place, batch = self.locate(start)
-            places = np.arange(place, min(place + LAYOUT_CHUNK, self.shards))
+            # A read of few batches looks up few shards: the last one may hold fewer batches than the others.
+            need = (batch + end - start) // max(self.full, 1) + 2
+            places = np.arange(place, min(place + min(need, LAYOUT_CHUNK), self.shards))
             for shard in self.shard_at(places, epoch).tolist():
                 take = min((self.last if shard == self.shards - 1 else self.full) - batch, end - start)
                 if take > 0:

@@ -32,7 +32,7 @@ from shardloom.functions.shuffle import permuted, round_keys
 from shardloom.functions.splits import SPLITS, check_split
 from shardloom.functions.tokenizers import MAX_TOKEN_ID
 from shardloom.plans.epochs import EpochOrder
-from shardloom.session import ship_code
+from shardloom.session import bound_batches, ship_code
 from shardloom.sources.files import arrow_fs
 
 SHARD_SCHEMA = "split string, shard_index int, token_count int, tokens array<int>"
@@ -40,6 +40,8 @@ FAULT_SCHEMA = SHARD_SCHEMA + ", fault string"
 HEADER_SCHEMA = "shard_name string, split string, shard_index int, length bigint, header binary"
 BATCH_SCHEMA = "split string, epoch int, ordinal bigint, row int, inputs array<int>, targets array<int>"
 PARTITION_BYTES = 32 << 20
+# Batches of a task, if not given: this many, or more where a read would have more tasks than this.
+TASK_BATCHES, TASKS = 1024, 1000
 HEADERS_PER_TASK = 256
 WRITING = "_writing"
 
@@ -364,14 +366,16 @@ class BatchOptions:
             raise ValueError("batchsize and sequencelength must be at least 1")
         self.first = int(options.get("firstordinal", 0))
         self.until = int(options["untilordinal"]) if "untilordinal" in options else None
-        self.per_task = int(options.get("batchespertask", 1024))
-        if self.per_task < 1 or self.first < 0:
+        self.per_task = int(options["batchespertask"]) if "batchespertask" in options else None
+        if (self.per_task is not None and self.per_task < 1) or self.first < 0:
             raise ValueError("batchespertask must be at least 1 and firstordinal 0 or more")
         self.seed = int(options.get("seed", 32))
         self.sizes = options.get("sizespath")
 
     def draws(self, low: int, high: int) -> list[Draw]:
-        return [Draw(at, min(at + self.per_task, high)) for at in range(low, high, self.per_task)]
+        most = max(TASK_BATCHES, PARTITION_BYTES // (TOKEN_BYTES * self.size * self.length))
+        each = self.per_task or min(max(TASK_BATCHES, -(-(high - low) // TASKS)), most)
+        return [Draw(at, min(at + each, high)) for at in range(low, high, each)]
 
     def read(self, partition: Draw) -> Iterator[pa.RecordBatch]:
         fs, path = arrow_fs(self.folder)
@@ -491,4 +495,5 @@ class TokenShardSource(DataSource):
 def register(spark: SparkSession) -> None:
     """Make ``format("tokenshard")`` known to a session."""
     ship_code()
+    bound_batches(spark)
     spark.dataSource.register(TokenShardSource)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shardloom.functions.shuffle import permuted, place_column, round_keys
 from shardloom.plans import epochs
 from shardloom.plans.epochs import EpochOrder, batch_ordinals, epoch_plan, shard_layout, total_plan
+from shardloom.sources.tokenshard import BatchReader
 
 
 def test_places_of_whole_batches(spark):
@@ -29,3 +30,20 @@ def test_a_plan_of_many_shards_is_not_one_task(spark):
     plan = total_plan(totals, 10, 1, 4, epochs=2)
     assert batch_ordinals(plan, 1, 4).select(F.spark_partition_id()).distinct().count() > 1
     assert plan.select("epoch", "position").distinct().count() == 80_000
+
+
+def test_a_short_read_looks_up_few_shards(monkeypatch):
+    order, asked = EpochOrder("train", 100_000, 1_000, 100_000_000, 1, 10, seed=3), []
+    monkeypatch.setattr(epochs, "permuted", lambda x, *a, **b: asked.append(np.size(x)) or permuted(x, *a, **b))
+    pieces = list(order.segments(500, 500 + 990))
+    assert sum(p[-1] for p in pieces) == 990 and max(asked) < 20
+
+
+def test_long_reads_have_few_tasks():
+    def draws(until, **more):
+        return BatchReader({"path": "/none", "batchsize": 4, "sequencelength": 128, "untilordinal": until} | more).partitions()
+
+    assert len(draws(5_000_000)) <= 1_000 and len(draws(5_000)) == 5 and len(draws(100, batchespertask=7)) == 15
+    for until in (1, 5_000, 5_000_001):
+        cut = draws(until)
+        assert cut[0].low == 0 and cut[-1].high == until and all(a.high == b.low for a, b in zip(cut, cut[1:], strict=False))
