@@ -10,10 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.session import scratch, ship_code, shared_folder
+from shardloom.session import bound_batches, scratch, ship_code, shared_folder
 
 
-BATCH_BYTES, _BATCH_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Least and most bits of a :class:`BitMap`, as powers of two: 16 MB at most.
 MAP_BITS = 16, 27
 
@@ -43,9 +42,7 @@ def map_arrow(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose code travels with the plan, in batches bounded by bytes: long texts make short batches."""
     spark = rows.sparkSession
     shared_folder(spark)
-    held = spark.conf.get(_BATCH_BYTES, None) or ""
-    if not held.isdigit() or int(held) > BATCH_BYTES:
-        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    bound_batches(spark)
     ship_code()
 
     def released(batches):

@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from shardloom.functions.splits import assign_split, check_split
 from shardloom.functions.tokenizers import tokens_of
 from shardloom.operators.ordered import key_block, running_sums
+from shardloom.session import bound_batches
 
 
 def tokenize(documents: DataFrame, tokenizer, text: str = "text") -> DataFrame:
     """Replace the text by ``tokens`` and their number. Ids that do not fit two bytes raise."""
+    bound_batches(documents.sparkSession)
     rest = [c for c in documents.columns if c != text]
     tokens = documents.select(*rest, tokens_of(tokenizer, F.col(text)).alias("tokens"))
     return tokens.withColumn("n_tokens", F.size("tokens").cast("bigint"))

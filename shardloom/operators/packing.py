@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from shardloom.functions.splits import assign_split
 from shardloom.functions.tokenizers import pack_ids, packed_slice, packed_tokens, unpack_ids
 from shardloom.operators.offsets import apply_budget, count_tokens, token_offsets
-from shardloom.session import scratch
+from shardloom.session import bound_batches, scratch
 
 
 def document_counts(documents: DataFrame, tokenizer, order_key: str, text: str) -> DataFrame:
     """``order_key, split, n_tokens`` of every document; also ``packed`` tokens if the tokenizer cannot count."""
+    bound_batches(documents.sparkSession)
     split = assign_split(documents.select(order_key, text), text)
     if hasattr(tokenizer, "count"):
         return count_tokens(split, tokenizer, text).select(order_key, "split", "n_tokens")
@@ -62,6 +63,7 @@ def pieces(placed: DataFrame, shard_size: int) -> DataFrame:
 
 def assemble(cut: DataFrame) -> DataFrame:
     """Join pieces to shards: ``split, shard_index, token_count, tokens``. Groups hold one shard each."""
+    bound_batches(cut.sparkSession)
     ordered = F.sort_array(F.collect_list(F.struct("lo", "piece")))
     shards = cut.groupBy("split", "shard_index").agg(ordered["piece"].alias("pieces"))
     tokens = shards.select("split", "shard_index", unpack_ids(F.col("pieces")).alias("tokens"))

@@ -9,12 +9,22 @@ import uuid
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+BATCH_BYTES, _BATCH_BYTES = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship_code() -> None:
     """Let this package's functions travel with the plan, so that workers need not have it installed."""
     cloudpickle.register_pickle_by_value(sys.modules["shardloom"])
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that Python tasks get by bytes: rows may be whole shards or long texts, and ten thousand of them
+    come in a batch otherwise. A lower setting is kept."""
+    held = spark.conf.get(_BATCH_BYTES, None) or ""
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

@@ -1,9 +1,13 @@
 """What keeps plans, reads and batches bounded: how much is looked up, listed and held at once."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from shardloom import ByteTokenizer, session
 from shardloom.functions.shuffle import permuted, place_column, round_keys
+from shardloom.operators.offsets import tokenize
+from shardloom.operators.packing import pack_documents
 from shardloom.plans import epochs
 from shardloom.plans.epochs import EpochOrder, batch_ordinals, epoch_plan, shard_layout, total_plan
 from shardloom.sources.tokenshard import BatchReader
@@ -47,3 +51,16 @@ def test_long_reads_have_few_tasks():
     for until in (1, 5_000, 5_000_001):
         cut = draws(until)
         assert cut[0].low == 0 and cut[-1].high == until and all(a.high == b.low for a, b in zip(cut, cut[1:], strict=False))
+
+
+def test_batches_of_shards_and_texts_are_bounded_by_bytes(spark):
+    """Rows of 100,000 tokens: ten thousand of them must not come in one batch."""
+    spark.conf.unset(session._BATCH_BYTES)
+    texts = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 99_999).alias("text")).coalesce(1)
+    tokens = tokenize(texts, ByteTokenizer())
+    assert int(spark.conf.get(session._BATCH_BYTES)) <= session.BATCH_BYTES
+    held = tokens.mapInArrow(lambda batches: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").agg(F.max("n")).first()[0]
+    assert held < 4 * session.BATCH_BYTES
+    spark.conf.unset(session._BATCH_BYTES)
+    pack_documents(texts, ByteTokenizer(), 100_000)
+    assert int(spark.conf.get(session._BATCH_BYTES)) <= session.BATCH_BYTES
