@@ -103,13 +103,22 @@ def update_loss_mean(losses: DataFrame, accumulation_steps: int) -> DataFrame:
 
 
 def align_schedule(
-    metrics: DataFrame, accumulation_steps: int, batch_size: int, sequence_length: int, **schedule
+    metrics: DataFrame, accumulation_steps: int, batch_size: int, sequence_length: int, updates: DataFrame | None = None, **schedule
 ) -> DataFrame:
     """Every record with ``planned_rate`` and ``planned_tokens`` of its step, and how far the logged values are from them:
-    ``rate_drift``, ``token_drift`` (null where nothing was logged). The plan is an expression of the step: nothing is joined."""
+    ``rate_drift``, ``token_drift`` (null where nothing was logged).
+
+    With ``updates`` (``update_step, tokens, micro_steps, learning_rate``, one row each) the plan is that of the update, which is
+    joined, and its ``micro_steps`` are told; they are null for a record beyond the last update, which keeps the schedule's values.
+    """
     step = F.col("step")
     rate = learning_rate(step, **schedule)
     tokens = tokens_seen(step, accumulation_steps, batch_size, sequence_length)
-    return metrics.withColumns({
+    if updates is not None:
+        planned = updates.select(F.col("update_step").alias("step"), F.col("tokens").alias("_tokens"), F.col("learning_rate").alias("_rate"), "micro_steps")
+        metrics = metrics.join(planned, "step", "left")
+        rate, tokens = F.coalesce("_rate", rate), F.coalesce("_tokens", tokens)
+    aligned = metrics.withColumns({
         "planned_rate": rate, "planned_tokens": tokens, "rate_drift": F.col("learning_rate") - rate, "token_drift": F.col("tokens") - tokens,
     })
+    return aligned if updates is None else aligned.drop("_tokens", "_rate")

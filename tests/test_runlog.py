@@ -177,3 +177,12 @@ def test_every_record_is_aligned_with_its_plan(spark):
 def test_schedule_rules(options):
     with pytest.raises(ValueError):
         learning_rate(F.lit(1), **options)
+
+
+def test_records_are_aligned_with_the_updates_planned(spark):
+    """A plan of other updates than the schedule's formula: records follow it, and those beyond it stay."""
+    rows = [("a", s, s * 64, 1.0, None, 1e-4, None) for s in (1, 2, 3)]
+    plan = spark.createDataFrame([(1, 60, 2, 2e-4), (2, 124, 1, 1e-4)], "update_step bigint, tokens bigint, micro_steps bigint, learning_rate double")
+    found = {r.step: r for r in runlog.align_schedule(spark.createDataFrame(rows, RECORDS), 2, 4, 8, plan).collect()}
+    assert {s: (r.token_drift, r.micro_steps) for s, r in found.items()} == {1: (4, 2), 2: (4, 1), 3: (0, None)}
+    assert found[1].rate_drift == pytest.approx(-1e-4) and found[2].rate_drift == 0 and found[3].planned_rate == pytest.approx(9e-6)
