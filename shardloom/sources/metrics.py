@@ -1,4 +1,5 @@
-"""Metric logs: JSON lines, one folder per run.
+"""Metric logs: JSON lines. A trainer's log is a folder per run; what is written here holds many runs in a file, whose records
+name theirs, so the number of files and folders grows with the records and not with the runs.
 
 A log that has been trimmed is a version: a folder of its own under ``_log``, which the file ``_current`` names. Trimming writes a new
 version and then replaces that file, in one step; so a reader finds the old log or the new one, wherever a trim stops.
@@ -23,6 +24,8 @@ RECORD_COLUMNS = [field.split()[0] for field in RECORD_SCHEMA.split(", ")]
 
 
 CURRENT, VERSIONS = "_current", "_log"
+# Field of a record that names its run, and what a run without a name is called.
+RUN, NAMELESS = "_run", "__HIVE_DEFAULT_PARTITION__"
 
 
 def current_log(spark: SparkSession, path: str) -> str:
@@ -32,20 +35,20 @@ def current_log(spark: SparkSession, path: str) -> str:
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all runs under ``path`` (``<run>/*.jsonl``, or the files Spark wrote under ``run_id=<run>``), with ``run_id``.
-    Other files of a run's folder, such as its config, are passed over.
+    """Records of all runs under ``path`` (``<run>/*.jsonl``, or files Spark wrote: of any runs, or under ``run_id=<run>``), with
+    ``run_id``. Other files of a run's folder, such as its config, are passed over.
 
     Blank lines are skipped; a malformed line fails the read.
     """
     lines = (
-        spark.read.schema(RECORD_SCHEMA)
+        spark.read.schema(f"{RUN} string, {RECORD_SCHEMA}")
         .options(mode="FAILFAST", recursiveFileLookup="true", pathGlobFilter="{*.jsonl,part-*.json*}")
         .json(current_log(spark, path))
     )
     # The path is an encoded URI; in it, Spark's own partition folders are encoded once more.
     folder = _decoded(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]*$", 1))
     value = _decoded(F.regexp_replace(folder, "^run_id=", ""))
-    return lines.select(F.when(folder.startswith("run_id="), value).otherwise(folder).alias("run_id"), *RECORD_COLUMNS)
+    return lines.select(F.coalesce(RUN, F.when(folder.startswith("run_id="), value).otherwise(folder)).alias("run_id"), *RECORD_COLUMNS)
 
 
 def _decoded(text):
@@ -55,10 +58,11 @@ def _decoded(text):
 
 def append_metrics(records: DataFrame, path: str) -> None:
     """Append records to the logs of their runs. A missing loss is written as null."""
-    rows = records.select("run_id", *RECORD_COLUMNS)
-    # Few files per run, yet no run whole in one task.
-    rows = rows.repartition("run_id", F.call_function("div", F.col("step"), F.lit(FILE_STEPS)))
-    rows.write.mode("append").option("ignoreNullFields", "false").partitionBy("run_id").json(current_log(records.sparkSession, path))
+    name = F.when(F.col("run_id") != "", F.col("run_id")).otherwise(NAMELESS).alias(RUN)
+    rows = records.select(name, *RECORD_COLUMNS)
+    # A run lies in few files, yet no run whole in one task.
+    rows = rows.repartition(RUN, F.call_function("div", F.col("step"), F.lit(FILE_STEPS)))
+    rows.write.mode("append").option("ignoreNullFields", "false").json(current_log(records.sparkSession, path))
 
 
 def sync_metrics(spark: SparkSession, path: str, saved: DataFrame) -> str | None:

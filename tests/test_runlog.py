@@ -186,3 +186,14 @@ def test_records_are_aligned_with_the_updates_planned(spark):
     found = {r.step: r for r in runlog.align_schedule(spark.createDataFrame(rows, RECORDS), 2, 4, 8, plan).collect()}
     assert {s: (r.token_drift, r.micro_steps) for s, r in found.items()} == {1: (4, 2), 2: (4, 1), 3: (0, None)}
     assert found[1].rate_drift == pytest.approx(-1e-4) and found[2].rate_drift == 0 and found[3].planned_rate == pytest.approx(9e-6)
+
+
+def test_files_of_a_log_do_not_grow_with_its_runs(spark, tmp_path):
+    path, old = str(tmp_path / "log"), tmp_path / "log" / "run_id=old%2F1"
+    names = [f"run {i}" for i in range(300)]
+    append_metrics(log(spark, {name: [(s, 1.0, None) for s in (1, 2)] for name in names}), path)
+    old.mkdir()  # as written before records named their run
+    (old / "part-0.json").write_text(json.dumps(record(1)) + "\n")
+    sync_metrics(spark, path, spark.createDataFrame([(name, 1) for name in names], "run_id string, saved_step bigint"))
+    assert sorted(r.run_id for r in read_metrics(spark, path).collect()) == sorted([*names, "old/1"])
+    assert len(list((tmp_path / "log").rglob("*.json"))) < 100
