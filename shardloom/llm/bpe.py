@@ -415,24 +415,29 @@ def decode_ids(rows: DataFrame, key: str = "doc_id", ids: str = "ids", path: str
     return map_arrow(rows.select(F.col(key).alias("key"), ids), task, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def token_report(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep_ids: bool = False) -> DataFrame:
+def token_report(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, keep_ids: bool = False, slab: int = SLAB
+) -> DataFrame:
     """Encode, then decode the ids again. Per row: ``key``, ``n_tokens``, ``ids_sha256`` (ids as little-endian 32-bit numbers),
     ``decoded_sha256`` of the text that the ids decode to, and ``ids`` if asked for. Both steps run in one Python task, so that
     one worker holds the vocabulary. Nulls, repeats and other columns as in :func:`encode_texts`."""
 
+    def report(words: Vocabulary, rest: pa.Table, texts: list[bytes]) -> pa.Table:
+        ids, counts = words.encode(texts)
+        raw, at = ids.astype("<u4").tobytes(), (4 * np.r_[0, np.cumsum(counts)]).tolist()
+        out = {
+            "key": rest.column(0), "n_tokens": counts,
+            "ids_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
+            "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in words.decode(ids, counts)],
+        }
+        if keep_ids:
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
+        return pa.table(out)
+
     def task(batches):
         words = vocabulary(path)
-        for rest, texts in slabs(batches, text, SLAB):
-            ids, counts = words.encode(texts)
-            raw, at = ids.astype("<u4").tobytes(), (4 * np.r_[0, np.cumsum(counts)]).tolist()
-            out = {
-                "key": rest.column(0), "n_tokens": counts,
-                "ids_sha256": [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:], strict=True)],
-                "decoded_sha256": [hashlib.sha256(t).hexdigest() for t in words.decode(ids, counts)],
-            }
-            if keep_ids:
-                out["ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(ids, pa.int32()))
-            yield from pa.table(out).to_batches()
+        for rest, texts in slabs(batches, text, slab):
+            yield from report(words, rest, texts).to_batches()  # the arrays of a slab are gone before the next one
 
     kind = docs.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
@@ -447,4 +452,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as token ids, with the digests that show that they decode to the text: one row for each document. Null texts
     count as empty and have no ids; rows that repeat a ``doc_id`` stay rows of their own. A text is encoded in one slab, however
     long, which takes some 60 bytes of memory a character."""
-    return token_report(docs, keep_ids=True)
+    # Beside what an executor holds after four stages, half a slab.
+    return token_report(docs, keep_ids=True, slab=SLAB // 2)

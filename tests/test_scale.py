@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from shardloom import ByteTokenizer, session
@@ -64,3 +65,10 @@ def test_batches_of_shards_and_texts_are_bounded_by_bytes(spark):
     spark.conf.unset(session._BATCH_BYTES)
     pack_documents(texts, ByteTokenizer(), 100_000)
     assert int(spark.conf.get(session._BATCH_BYTES)) <= session.BATCH_BYTES
+
+
+def test_slabs_of_the_bpe_report_do_not_change_it(spark):
+    bpe = pytest.importorskip("shardloom.llm.bpe")
+    texts = spark.createDataFrame([(i, None if i % 50 == 7 else f"word{i % 13} and more, " * (i % 9)) for i in range(200)], "doc_id bigint, text string")
+    whole, cut = (sorted(bpe.token_report(texts, keep_ids=True, slab=s).collect(), key=lambda r: r.doc_id) for s in (bpe.SLAB, 100))
+    assert whole == cut and len(cut) == 200
