@@ -4,7 +4,8 @@ A sequence of tokens is what the merges give for its bytes if and only if every
 (given that every token is what the merges give for its own bytes; tokens that are not are never guessed). A
 pair is tested by undoing the later of the two merges at the boundary, step by step: if a merge across the
 boundary would have come earlier, the guess is wrong. The test runs on all pairs of all new words at once;
-words with a bad pair are merged exactly. A worker remembers words by hash, so each is encoded once.
+words with a bad pair are merged exactly. A worker remembers words by hash, so few are encoded twice. Words stay in
+numpy arrays from text to ids: no step runs Python code for each word, but for very long ones.
 
 Texts are cut into words by runs of character classes, computed for a whole slab at once, which gives what the
 vocabulary's pattern ``'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`` gives.
@@ -25,12 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.llm.tables import load, map_arrow
-from shardloom.llm.words import Powers, hash_ranges, prefix_hash, ragged, range_hash, slabs
+from shardloom.llm.words import Powers, hash_ranges, ragged, slabs
 
 VOCABULARY = "byte_bpe_50k.json"
 SLAB = 2 << 20
 _NEVER, _LONG = 1 << 40, 64
 REMEMBERED = 1 << 18  # words a worker remembers before it forgets all; results do not depend on it
+_PLACES = 1 << 20  # where it remembers them: of two words with one place the later one stays
 OTHER, LETTER, NUMBER, SPACE, SPECIAL = range(5)
 _SPECIAL_AT = 0x110000  # code points from here on stand for special tokens
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -96,12 +98,7 @@ class Vocabulary:
             sound[t] &= sound[self.left[t]] and sound[self.right[t]]
         self.ids = {self.bytes_of[i]: i for i in vocab.values() if sound[i]}
         self.single = [self.ids[bytes([b])] for b in range(256)]
-        tokens = list(self.ids)
-        sizes = np.array([len(t) for t in tokens])
-        data = np.frombuffer(b"".join(tokens), np.uint8)
-        self.token_index = pd.Index(hash_ranges(data, np.cumsum(sizes) - sizes, np.cumsum(sizes), _powers))
-        self.token_of = np.array(list(self.ids.values()), np.int64)
-        self.token_sizes = sorted(set(sizes.tolist()), reverse=True)
+        self.steps, self.token_at = _trie(list(self.ids), np.array(list(self.ids.values()), np.int64))
         self.data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.size = np.array([len(b) for b in self.bytes_of], np.int64)
         self.first = np.cumsum(self.size) - self.size
@@ -109,7 +106,7 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.known_slot = np.zeros(_PLACES, np.uint64), np.full(_PLACES, -1, np.int32)
         self.starts, self.counts = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.arena = np.zeros(1 << 18, np.int32)
         self.used = self.words = 0
@@ -133,22 +130,22 @@ class Vocabulary:
             open_ = open_[~bad & (undo_x | undo_y)]
         return out
 
-    def guess(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Greedy longest match for all words at once: tokens in a row, and how many each word has. Prefixes are looked up
-        by hash, longest first; a word's next token starts where its last one ends."""
-        sizes = np.array([len(w) for w in words])
-        data = np.frombuffer(b"".join(words), np.uint8)
-        prefix = prefix_hash(data.astype(np.uint64) + np.uint64(1), _powers)
-        at, end, word = np.cumsum(sizes) - sizes, np.cumsum(sizes), np.arange(len(words))
+    def guess(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match for all words at once, whose bytes stand in a row: tokens in a row, and how many each word has.
+        All words walk the tree of tokens a byte a step; a word's next token starts where its last one ends."""
+        at, end, word = np.cumsum(sizes) - sizes, np.cumsum(sizes), np.arange(len(sizes))
         found_word, found_at, found = [], [], []
         while len(at):
             token = np.full(len(at), -1)
-            for n in self.token_sizes:
-                ask = np.flatnonzero((token < 0) & (end - at >= n))
-                if len(ask):
-                    hashes = range_hash(prefix, at[ask], at[ask] + n, _powers)
-                    slot = self.token_index.get_indexer(hashes)
-                    token[ask] = np.where(slot >= 0, self.token_of[slot], -1)
+            walk, node, here = np.arange(len(at)), np.zeros(len(at), np.int64), at
+            while len(walk):
+                node = self.steps.get_indexer(node << 8 | data[here]) + 1
+                on = node > 0
+                walk, node, here = walk[on], node[on], here[on] + 1
+                made = self.token_at[node]
+                token[walk[made >= 0]] = made[made >= 0]
+                on = here < end[walk]
+                walk, node, here = walk[on], node[on], here[on]
             found_word.append(word)
             found_at.append(at)
             found.append(token)
@@ -156,17 +153,16 @@ class Vocabulary:
             more = at < end
             at, end, word = at[more], end[more], word[more]
         order = np.argsort(np.concatenate(found_at), kind="stable")
-        return np.concatenate(found)[order], np.bincount(np.concatenate(found_word), minlength=len(words))
+        return np.concatenate(found)[order], np.bincount(np.concatenate(found_word), minlength=len(sizes))
 
     def pair_rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         slot = self.pair_index.get_indexer(a << 32 | b)
         return np.where(slot >= 0, self.pair_ranks[slot], _NEVER)
 
-    def merge_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def merge_all(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The merges themselves for all words at once, a merge of each word a round: the lowest rank, leftmost first."""
-        sizes = np.array([len(w) for w in words])
-        tokens = np.array(self.single)[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), sizes)
+        tokens = np.array(self.single)[data]
+        word = np.repeat(np.arange(len(sizes)), sizes)
         rank = np.full(len(tokens), _NEVER)  # of the pair that starts here
         inside = np.flatnonzero(word[1:] == word[:-1])
         rank[inside] = self.pair_rank(tokens[inside], tokens[inside + 1])
@@ -196,7 +192,7 @@ class Vocabulary:
                 fits = (at + 1 < len(word)) & (word[last] == word[at])
                 rank[at] = np.where(fits, self.pair_rank(tokens[at], tokens[last]), _NEVER)
         order = np.argsort(np.concatenate(done_at), kind="stable")
-        return np.concatenate(done)[order], np.bincount(np.concatenate(done_word), minlength=len(words))
+        return np.concatenate(done)[order], np.bincount(np.concatenate(done_word), minlength=len(sizes))
 
     def merge(self, word: bytes) -> list[int]:
         """The merges themselves: always the lowest rank, leftmost first."""
@@ -224,26 +220,38 @@ class Vocabulary:
             offer(i)
         return [t for t in tokens if t >= 0]
 
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
-        flat, counts = self.guess(words)
-        word = np.repeat(np.arange(len(words)), counts)
+    def learn(self, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Encode new words, whose bytes stand in a row, and give the number each is kept under."""
+        flat, counts = self.guess(data, sizes)
+        word = np.repeat(np.arange(len(sizes)), counts)
         inside = np.flatnonzero(word[1:] == word[:-1])
         codes, pairs = pd.factorize(flat[inside] << 32 | flat[inside + 1])
         good = self.compatible(pairs >> 32, pairs & 0xFFFFFFFF)[codes] if len(pairs) else np.ones(0, bool)
-        failing = np.unique(word[inside[~good]])
-        if len(failing):
-            long = np.array([len(words[i]) > _LONG for i in failing])
-            mended = [self.merge(words[i]) for i in failing[long]]
-            short, many = self.merge_all([words[i] for i in failing[~long]]) if not long.all() else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            right = ~np.isin(np.arange(len(words)), failing)
-            order = np.concatenate([np.flatnonzero(right), failing[long], failing[~long]])
+        right = np.ones(len(sizes), bool)
+        right[word[inside[~good]]] = False
+        if not right.all():
+            first, failing = np.cumsum(sizes) - sizes, np.flatnonzero(~right)
+            far = sizes[failing] > _LONG
+            long, near = failing[far], failing[~far]
+            mended = [self.merge(data[a:b].tobytes()) for a, b in zip(first[long].tolist(), (first + sizes)[long].tolist(), strict=True)]
+            short, many = self.merge_all(data[ragged(first[near], sizes[near])], sizes[near]) if len(near) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            order = np.concatenate([np.flatnonzero(right), long, near])
             new = np.concatenate([flat[np.repeat(right, counts)], np.array([t for m in mended for t in m], np.int64), short])
-            sizes = np.concatenate([counts[right], np.array([len(m) for m in mended], np.int64), many])
+            made = np.concatenate([counts[right], np.array([len(m) for m in mended], np.int64), many])
             back = np.argsort(order)
-            flat, counts = new[ragged((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
+            flat, counts = new[ragged((np.cumsum(made) - made)[back], made[back])], made[back]
         self.keep(flat, counts)
-        base = self.words - len(words)
-        self.known.update(zip(hashes, range(base, base + len(hashes)), strict=True))
+        return np.arange(self.words - len(sizes), self.words)
+
+    def slots(self, hashes: np.ndarray) -> np.ndarray:
+        """The number each word is kept under; -1: not known."""
+        place = (hashes & np.uint64(len(self.known) - 1)).astype(np.int64)
+        return np.where(self.known[place] == hashes, self.known_slot[place], -1).astype(np.int64)
+
+    def remember(self, hashes: np.ndarray, slots: np.ndarray) -> None:
+        place, last = np.unique((hashes & np.uint64(len(self.known) - 1))[::-1], return_index=True)
+        place, last = place.astype(np.int64), len(hashes) - 1 - last
+        self.known[place], self.known_slot[place] = hashes[last], slots[last]
 
     def keep(self, flat: np.ndarray, counts: np.ndarray) -> None:
         """Remember the tokens of more words."""
@@ -295,33 +303,39 @@ class Vocabulary:
         end = np.r_[start[1:], len(cp)]
         hashes = hash_ranges(cp, start, end, _powers)
         codes, unique = pd.factorize(hashes)
-        if len(self.known) > REMEMBERED:
+        if self.words > REMEMBERED:
             self.forget()
-        listed = unique.tolist()
-        slots = [self.known.get(h, -1) for h in listed]
-        new = [i for i, s in enumerate(slots) if s < 0]
-        if new:
+        slots = self.slots(unique)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
             where = np.full(len(unique), -1)
             where[codes[::-1]] = np.arange(len(codes))[::-1]
-            raw = cp.tobytes()
-            words, plain, plain_at = [], [], []
-            for i in new:
-                s, e = int(start[where[i]]), int(end[where[i]])
-                if cp[s] >= _SPECIAL_AT:
-                    self.known[listed[i]] = self._special_slot(int(cp[s]) - _SPECIAL_AT)
-                else:
-                    words.append(raw[4 * s : 4 * e].decode("utf-32-le").encode())
-                    plain.append(listed[i])
-                    plain_at.append(i)
-            if words:
-                self.learn(plain, words)
-            for i in new:
-                slots[i] = self.known[listed[i]]
-        slot = np.array(slots)[codes]
+            where = where[new]
+            special = cp[start[where]] >= _SPECIAL_AT
+            for i, c in zip(new[special].tolist(), cp[start[where[special]]].tolist(), strict=True):
+                slots[i] = self._special_slot(c - _SPECIAL_AT)
+            if not special.all():
+                sizes_8 = np.add.reduceat(self._width(cp), start, dtype=np.int64)
+                plain, where = new[~special], where[~special]
+                data = np.frombuffer(b"".join(texts), np.uint8)[ragged((np.cumsum(sizes_8) - sizes_8)[where], sizes_8[where])]
+                slots[plain] = self.learn(data, sizes_8[where])
+            self.remember(unique[new], slots[new])
+        slot = slots[codes]
         counts = self.counts[slot]
         ids = self.arena[ragged(self.starts[slot], counts)]
-        doc = np.searchsorted(ends, start, side="right")
-        return ids, np.bincount(doc, counts, len(texts)).astype(np.int64)
+        total = np.r_[0, np.cumsum(counts)]
+        return ids, total[np.searchsorted(start, ends)] - total[np.searchsorted(start, ends - sizes)]
+
+    def _width(self, cp: np.ndarray) -> np.ndarray:
+        """Bytes of each code point in UTF-8; a special token has those of its name."""
+        out = (cp >= 0x80).astype(np.int32)
+        out += cp >= 0x800
+        out += cp >= 0x10000
+        out += 1
+        special = np.flatnonzero(cp >= _SPECIAL_AT)
+        if len(special):
+            out[special] = np.array([len(name.encode()) for name in self.specials])[cp[special] - _SPECIAL_AT]
+        return out
 
     def _special_slot(self, number: int) -> int:
         self.keep(np.array([self.special_ids[number]]), np.array([1]))
@@ -337,6 +351,23 @@ class Vocabulary:
         return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
 
+def _trie(tokens: list[bytes], ids: np.ndarray) -> tuple[pd.Index, np.ndarray]:
+    """The tree of all prefixes of tokens: the steps ``node << 8 | byte``, where step ``i`` leads to node ``i + 1``, and each
+    node's token (-1: a prefix only). The root is node 0."""
+    sizes = np.array([len(t) for t in tokens])
+    data, first = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
+    node, steps, held = np.zeros(len(tokens), np.int64), [], 0
+    for depth in range(int(sizes.max())):
+        some = np.flatnonzero(sizes > depth)
+        codes, taken = pd.factorize(node[some] << 8 | data[first[some] + depth])
+        node[some] = codes + held + 1
+        held += len(taken)
+        steps.append(taken)
+    token_at = np.full(held + 1, -1)
+    token_at[node] = ids
+    return pd.Index(np.concatenate(steps)), token_at
+
+
 def word_starts(cp: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """Where the pattern's matches start; ``begin`` marks the starts of pieces (one entry more than ``cp``)."""
     kind = _classes()[cp]

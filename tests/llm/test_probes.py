@@ -4,6 +4,7 @@ import importlib.util
 import math
 import os
 import re
+import sys
 from collections import Counter
 
 import numpy as np
@@ -58,6 +59,37 @@ def test_thue_morse_words_are_told_apart(spark):
     assert {r.doc_id for r in decontaminate.contained_items(docs_of(spark, [ONE, TWO, "x " + TWO]), items).collect()} == {1, 2}
 
 
+def test_encoding_makes_no_python_calls_for_each_word():
+    rng = np.random.default_rng(3)
+    letters = rng.integers(97, 123, (20_000, 9), dtype=np.uint8)
+    text = b" ".join(x.tobytes()[: 3 + i % 7] for i, x in enumerate(letters))
+    vocabulary, calls = bpe.Vocabulary(bpe.vocabulary_path()), 0
+    vocabulary.encode([b"one"])
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        vocabulary.encode([text])
+    finally:
+        sys.setprofile(None)
+    assert calls < 20_000
+
+
+def test_words_are_encoded_alike_when_known_forgotten_or_overwritten(monkeypatch):
+    library = pytest.importorskip("tokenizers").Tokenizer.from_file(bpe.vocabulary_path())
+    texts = ["the cat's hat, the dog's 12 dögs", "", "你好<|endoftext|><|endoftext|> the 🙂🙂 cat", "x" * 300 + " qzxjv" * 20, " \n\n  the"]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "_PLACES", 8)
+    monkeypatch.setattr(bpe, "REMEMBERED", 40)
+    vocabulary = bpe.Vocabulary(bpe.vocabulary_path())
+    for some in ([0, 1, 2, 3, 4], [4, 3], [2], [1], [0, 0, 2]):
+        ids, counts = vocabulary.encode([texts[i].encode() for i in some])
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [want[i] for i in some]
+
+
 def test_op7_many_texts_of_one_key(spark):
     passage = " ".join(f"p{i}" for i in range(25))
     rows = [(None, f"n{i} {passage}" if i % 3 == 0 else " ".join(f"{i}x{j}" for j in range(22))) for i in range(300)] + [(1, passage), (2, "z " + passage)]
