@@ -74,12 +74,9 @@ def distance_bounds(queries: np.ndarray, codes: np.ndarray, norm: np.ndarray, fi
     low = turned.min(1, keepdims=True)
     step = np.maximum(turned.max(1, keepdims=True) - low, 1e-12) / ((1 << _QUERY_BITS) - 1)
     levels = np.rint((turned - low) / step).astype(np.uint16)
-    padded = np.zeros((len(queries), codes.shape[1] * 64), np.uint16)
-    padded[:, :d] = levels
-    dot = np.zeros((len(queries), len(codes)))
-    for j in range(_QUERY_BITS):
-        plane = np.packbits(((padded >> j) & 1).astype(bool), axis=1, bitorder="little").view(np.uint64)
-        dot += (1 << j) * np.bitwise_count(plane[:, None, :] & codes[None]).sum(2, dtype=np.int64)
+    # Whole numbers: sums of 2**(24 - _QUERY_BITS) levels are exact in single precision.
+    kind = np.float32 if d <= 1 << (24 - _QUERY_BITS) else np.float64
+    dot = (levels.astype(kind) @ np.unpackbits(codes.view(np.uint8), axis=1, count=d, bitorder="little").astype(kind).T).astype(np.float64)
     ones = np.bitwise_count(codes).sum(1, dtype=np.int64)
     # <bits, query> from the levels, then of the code's +-1 / sqrt(d) entries.
     bits_dot = step * dot + low * ones
