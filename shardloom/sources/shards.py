@@ -11,7 +11,7 @@ from shardloom.functions.names import header_word
 from shardloom.functions.splits import check_split
 from shardloom.operators.checks import shard_validity
 from shardloom.plans.epochs import EpochOrder
-from shardloom.session import scratch
+from shardloom.session import freed_shuffles, scratch
 from shardloom.sources.files import DriverFiles
 from shardloom.sources.tokenshard import register
 
@@ -36,7 +36,8 @@ def write_shards(shards: DataFrame, path: str, format: str = "tokenshard") -> No
         columns.write.mode("append").partitionBy("split").parquet(path)
     elif format == "tokenshard":
         register(shards.sparkSession)
-        columns.write.format("tokenshard").mode("append").save(path)
+        with freed_shuffles(shards.sparkSession):
+            columns.write.format("tokenshard").mode("append").save(path)
     else:
         raise ValueError("format must be 'tokenshard' or 'parquet'")
 
