@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from shardloom.functions.checks import required
-from shardloom.session import ship_code
+from shardloom.session import release_memory, ship_code
 
 # GPT-2's end-of-text id, and the largest id two bytes hold.
 END_OF_TEXT = 50256
@@ -60,6 +60,20 @@ def _binary(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(2 * ends.astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
 
+def array_udf(task: Callable[[pa.Array], pa.Array], kind: str):
+    """An Arrow UDF of whole batches whose worker gives its memory back after each task."""
+
+    def released(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for batch in batches:
+                yield task(batch)
+        finally:
+            release_memory()
+
+    ship_code()
+    return F.arrow_udf(released, kind)
+
+
 def pack_ids(tokens: Column) -> Column:
     """Ids as two bytes each, little-endian; an id that does not fit is an error. ``binary_slice`` and ``unpack_ids`` read it."""
 
@@ -72,8 +86,7 @@ def pack_ids(tokens: Column) -> Column:
         ends = lists.offsets.to_numpy().astype(np.int64)
         return _binary(np.ascontiguousarray(ids, "<u2"), ends - ends[0])
 
-    ship_code()
-    return F.arrow_udf(pack, "binary")(tokens)
+    return array_udf(pack, "binary")(tokens)
 
 
 def packed_tokens(tokenizer, text: Column) -> Column:
@@ -96,8 +109,7 @@ def unpack_ids(pieces: Column) -> Column:
         bounds = (ends - ends[0])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] // 2
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
 
-    ship_code()
-    return F.arrow_udf(unpack, "array<int>")(pieces)
+    return array_udf(unpack, "array<int>")(pieces)
 
 
 @dataclass(frozen=True)
@@ -134,8 +146,7 @@ class ByteTokenizer:
                 ids, starts = byte_ids(batch, eot)
                 return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))
 
-            ship_code()
-            return F.arrow_udf(encode, "array<int>")(present(text))
+            return array_udf(encode, "array<int>")(present(text))
         # Latin-1 has one character per byte, numbered like the byte.
         text = present(text)
         chars = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "")
@@ -152,8 +163,7 @@ class ByteTokenizer:
         def encode(batch: pa.Array) -> pa.Array:
             return _binary(*byte_ids(batch, eot, np.dtype("<u2")))
 
-        ship_code()
-        return F.arrow_udf(encode, "binary")(present(text))
+        return array_udf(encode, "binary")(present(text))
 
 
 class BpeTokenizer:

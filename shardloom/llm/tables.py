@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shardloom.session import bound_batches, freed_shuffles, scratch, ship_code, shared_folder
+from shardloom.session import bound_batches, freed_shuffles, release_memory, scratch, ship_code, shared_folder
 from shardloom.sources.files import DriverFiles
 
 
@@ -66,15 +64,6 @@ def map_arrow(rows: DataFrame, task: Callable, schema: str) -> DataFrame:
     return rows.mapInArrow(released, schema)
 
 
-def release_memory() -> None:
-    """Give a task's freed memory back: an idle worker would keep it beside those that work."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # no GNU library: memory stays with the worker
-        pass
-
-
 def shuffle_partitions(rows: DataFrame, factor: float = 1.0) -> int:
     """Partitions for a shuffle of ``factor`` times the input: the session's setting, or the number of
     input splits times ``factor`` where that is more."""

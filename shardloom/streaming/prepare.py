@@ -17,9 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from shardloom.functions.splits import SPLITS
 from shardloom.functions.tokenizers import pack_ids
 from shardloom.operators.packing import assemble, pieces, place_documents, stored_counts
+from shardloom.session import freed_shuffles
 from shardloom.sources.files import DriverFiles
 
 POSITION = "position.json"
+ROW_GROUP_BYTES = 8 << 20
 SHARDS = "shard_index int, token_count int, tokens array<int>, closed boolean, split string"
 PACKED_SCHEMA = f"{SHARDS}, batch bigint"
 
@@ -81,7 +83,9 @@ def pack_micro_batch(
         carried = still_open.select("split", "shard_index", F.lit(0).alias("lo"), pack_ids(F.col("tokens")).alias("piece"))
         cut = cut.unionByName(carried)
     shards = assemble(cut).withColumn("closed", F.col("token_count") == shard_size)
-    shards.write.mode("overwrite").partitionBy("closed", "split").parquet(batch_folder(root, batch_id))
+    # Rows of a group of rows are decoded together: small groups, or thousands of shards would be held as 32-bit numbers at once.
+    with freed_shuffles(spark):
+        shards.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("closed", "split").parquet(batch_folder(root, batch_id))
 
     end = F.max(F.col("shard_index").cast("bigint") * shard_size + F.col("token_count"))
     written = spark.read.schema(SHARDS).parquet(batch_folder(root, batch_id))
